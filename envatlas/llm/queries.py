@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envatlas.llm import bpe, language_id, resharding, source_mixing, token_counts
+from envatlas.llm import bpe, language_id, resharding, source_mixing, substring_dedup, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), model).drop("text")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(read(spark, sf_dir, "documents", "text"), vocabulary()))
 
@@ -51,5 +55,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary()).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_counts, op5_source_mixing, op9_resharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op5_source_mixing, op9_resharding, op10_bpe)}
 ORACLES: dict[str, str] = {}
