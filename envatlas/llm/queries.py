@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envatlas.llm import bpe, language_id, resharding, source_mixing, substring_dedup, token_counts
+from envatlas.llm import bpe, jaccard_join, language_id, resharding, source_mixing, substring_dedup, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard_join.link(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
@@ -55,5 +60,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary()).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op5_source_mixing, op9_resharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op5_source_mixing, op6_jaccard_join, op9_resharding, op10_bpe)}
 ORACLES: dict[str, str] = {}
