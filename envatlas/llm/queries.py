@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envatlas.llm import bpe, jaccard_join, language_id, resharding, source_mixing, substring_dedup, token_counts
+from envatlas.llm import bpe, jaccard_join, language_id, resharding, source_mixing, substring_dedup, surrogates, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
@@ -60,5 +64,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary()).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op5_source_mixing, op6_jaccard_join, op9_resharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op5_source_mixing, op6_jaccard_join, op8_surrogates, op9_resharding, op10_bpe)}
 ORACLES: dict[str, str] = {}
