@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envatlas.llm import bpe, jaccard_join, language_id, resharding, source_mixing, substring_dedup, surrogates, token_counts
+from envatlas.llm import bpe, jaccard_join, language_id, lattice_dedup, permutation_index, resharding, source_mixing, substring_dedup, surrogates, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(read(spark, sf_dir, "documents", "text"), vocabulary()))
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda i: i % 20 == 0)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
     rows, sizes, targets = source_mixing.mix(docs, F.array("source"))
@@ -46,6 +50,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op7_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.dedup(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -64,5 +72,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary()).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op5_source_mixing, op6_jaccard_join, op8_surrogates, op9_resharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op4_permutation_index, op5_source_mixing, op6_jaccard_join, op7_lattice_dedup, op8_surrogates, op9_resharding, op10_bpe)}
 ORACLES: dict[str, str] = {}
