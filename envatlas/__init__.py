@@ -1,0 +1 @@
+"""Environment-variable analytics over code corpora, on Spark DataFrames."""
