@@ -1,0 +1,363 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy, on small fixtures with hard rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from envatlas.llm import bpe, jaccard_join, language_id, lattice_dedup, permutation_index, queries, resharding, source_mixing, substring_dedup, surrogates, token_counts
+from envatlas.llm.shared import components, cuts
+
+SF = "/root/testdata/sf0.001"
+BITS = 16
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOC = "doc_id bigint, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 200))) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        words = base[i % 30].split(" ")
+        for _ in range(rng.randint(0, len(words) // 40)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, (" " if i % 3 else "\n").join(words), "en", f"s{i % 4}"))
+    rows += [(100, None, None, None), (101, "", "en", "s0"), (102, " \t\n", "en", None), (103, "a b", "en", "s1"), (104, "A B", "en", "s1"), (105, base[0], "en", "s2"), (105, base[0], "en", "s2"), (None, base[1], "en", "s3"), (106, " ".join(base) * 3, "de", "s0"), (107, "é 漢字  x Éa", "fr", "s1")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def frame(spark, docs):
+    return spark.createDataFrame(docs, DOC)
+
+
+def empty(spark, schema=DOC):
+    return spark.createDataFrame([], schema)
+
+
+def test_language_id(spark):
+    rng = random.Random(2)
+    parts = {"x": ["the", "ing", "ash"], "y": ["ou", "é", "aux"]}
+    rows = [(i, "".join(rng.choice(parts[k]) + rng.choice(["", " "]) for _ in range(40)), k) for i, k in enumerate("xy" * 60)]
+    df = spark.createDataFrame([*rows, (900, None, "x"), (901, "12 !!", "x"), (902, "the ash", None)], "doc_id bigint, text string, lang string").withColumn("score", F.lit("own"))
+    model = language_id.learn(df.where(~language_id.held_out()))
+    out = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    assert all(out[i].lang_pred == k for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 == 2)
+    assert out[900].lang_pred == out[901].lang_pred == "und" and out[900].score_ == 0.0 and out[902].lang_pred == "x" and out[902].score == "own"
+    assert language_id.learn(empty(spark)) == {}
+    assert {r.lang_pred for r in language_id.predict(df, {}).collect()} == {"und"}
+    (_, m), = language_id.vectors(["abc", "", "ab c"], 64)
+    want = sum(np.roll(language_id._letter(ord(a) if a != " " else 0, 64, 7), 2) * np.roll(language_id._letter(ord(b), 64, 7), 1).astype(int) * language_id._letter(ord(c) if c != " " else 0, 64, 7) for a, b, c in (" ab", "abc", "bc "))
+    assert (m[0] == want).all() and not m[1].any()
+
+
+def removed(rows, size):
+    split = [WORD.findall(r[1] or "") for r in rows]
+    n = collections.Counter(tuple(w[k : k + size]) for w in split for k in range(len(w) - size + 1))
+    for r, w in zip(rows, split, strict=True):
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            if n[tuple(w[k : k + size])] > 1:
+                gone[k : k + size] = [True] * size
+        yield r[0], len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("size", [35, 3, 1])
+def test_substring_dedup(spark, frame, docs, size):
+    out = substring_dedup.dedup(frame, size=size, bits=BITS)
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()), key=key) == sorted(removed(docs, size), key=key)
+    assert substring_dedup.dedup(empty(spark), bits=BITS).count() == 0
+
+
+def test_substring_dedup_tasks_meet(spark, docs):
+    df = spark.createDataFrame(docs, DOC).repartition(5)
+    assert sum(r.n_removed for r in substring_dedup.dedup(df, bits=BITS).collect()) == sum(x[2] for x in removed(docs, 35))
+
+
+def linked(rows, percent=85, size=4):
+    sets = []
+    for r in rows:
+        w = WORD.findall((r[1] or "").translate(LOWER))
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted(((r[0], len(sets[i]), least.get(find(i))) for i, r in enumerate(rows)), key=repr)
+
+
+@pytest.mark.parametrize(("percent", "direct"), [(85, 256), (85, 0), (50, 0)])
+def test_jaccard_join(spark, frame, docs, percent, direct):
+    out = jaccard_join.link(frame, percent=percent, direct=direct, bits=BITS)
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in out.collect()), key=repr) == linked(docs, percent)
+
+
+def test_jaccard_join_edges(spark, frame, docs):
+    assert jaccard_join.link(empty(spark), bits=BITS).count() == 0
+    kept = [r.doc_id for r in jaccard_join.one_of_each(frame, bits=BITS).collect()]
+    want = {c for i, n, c in linked(docs) if i is not None}
+    assert sorted(kept) == sorted(want)
+
+
+def test_surrogates(spark):
+    said = "Write to Ann.Lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, call +1 (415) 555-0199 or +1 415 555 0199, pay 4539 1488 0343 6467 or 4539148803436467, from 10.20.30.40, ssn 123-45-6789, Mr. John Smith and Mrs. Smith, key 0123456789abcdef0123456789abcdef, господин Иванов."
+    df = spark.createDataFrame([(1, said), (2, said), (3, "clean text, version 2.0."), (4, None), (5, "")], "doc_id bigint, text string").withColumn("n_entities", F.lit("own"))
+    out = {r.doc_id: r for r in surrogates.replace(df).collect()}
+    new = out[1].text
+    assert out[2].text == new and out[3].text == "clean text, version 2.0." and out[4].text is None and out[5].text == "" and out[3].n_entities_ == 0
+    for secret in ("Ann.Lee", "ANN.LEE", "415", "0199", "4539 1488", "10.20.30.40", "123-45-6789", "John", "Smith", "0123456789abcdef", "Иванов"):
+        assert secret not in new
+    a, b = re.findall(r"[\w.]+@[\w.]+\w", new)
+    assert a.upper() == b and a.endswith(".com")
+    c, d = re.search(r"pay (\d{4} \d{4} \d{4} \d{4}) or (\d{16})", new).groups()
+    assert c.replace(" ", "") == d and sum(int(x) if i % 2 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(d)) % 10 == 0
+    p, q = re.search(r"call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1 \d{3} \d{3} \d{4})", new).groups()
+    assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q)
+    first, last, again = re.search(r"Mr\. (\w+) (\w+) and Mrs\. (\w+),", new).groups()
+    assert last == again and re.search(r"господин [А-Яа-я]+\.", new) and len(re.findall(r"\b[0-9a-f]{32}\b", new)) == 1
+    assert surrogates.replace(empty(spark)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    # far more surnames than the first attempt's short forms hold
+    e = spark.range(3000).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("10"), F.lit("0"), F.expr("id div 250"), F.col("id") % 250).alias("norm"))
+    names = spark.range(4000).select(F.lit("given_f").alias("kind"), F.concat(F.lit("n"), "id").alias("norm"))
+    m = surrogates.surrogate_map(e.union(names)).collect()
+    assert len(m) == 7000 and len({(r.kind, r.new) for r in m}) == 7000 and not {r.new for r in m} & {r.norm for r in m}
+
+
+def test_source_mixing(spark, frame):
+    rows, sizes, targets = source_mixing.mix(frame.select("doc_id", "text", "source"), F.array("source"))
+    got = rows.collect()
+    assert sum(sizes.values()) == sum(r.mix_size for r in got)
+    assert abs(sum(targets.values()) - 1.5 * sum(sizes.values())) < 1e-6 * sum(sizes.values())
+    for s, t in targets.items():
+        took = sum(r.mix_size * r.mix_copies for r in got if r.source == s)
+        assert t <= 2 * sizes[s] + 1e-9 and abs(took - t) <= max([r.mix_size for r in got if r.source == s], default=0)
+    assert max(r.mix_copies for r in got) <= 2
+    again, _, _ = source_mixing.mix(frame.select("doc_id", "text", "source").repartition(3), F.array("source"))
+    assert sorted(map(repr, again.select("doc_id", "mix_copies").collect())) == sorted(map(repr, rows.select("doc_id", "mix_copies").collect()))
+    assert source_mixing.mix(empty(spark), F.array("source"))[0].count() == 0
+
+
+def test_flow_uses_overlap():
+    # the pattern in both sources serves the one that has nothing else, and no text repeats while fresh words serve
+    flow = source_mixing.route({"a": 100, "ab": 100}, {"a": ["A"], "ab": ["A", "B"]}, {"A": 100, "B": 100})
+    assert flow == {"a": 100, "ab": 100}
+    assert source_mixing.capped_targets({"a": 10, "b": 100, None: 10}, {"a": 5.0, "b": 2.0, None: 1.0}) == {"a": 20.0, "b": pytest.approx(140), None: 20.0}
+
+
+def test_cuts(spark):
+    df = spark.range(5000).select(F.lit("g").alias("g"), (F.col("id") * 922337203685).alias("k"), (F.col("id") % 7).alias("w"))
+    rows = sorted((r.k, r.w) for r in df.collect())
+    total = sum(w for _, w in rows)
+    for target in (0, total // 3, total - 1, total):
+        cut, below, following = cuts(df, "g", "k", "w", {"g": [target]}, fine=50, least=10)["g"][0]
+        assert below == sum(w for k, w in rows if k < cut) <= target
+        assert not following or below + sum(w for _, w in following) > target
+
+
+def test_resharding(spark, frame, docs, tmp_path):
+    assert sum(n for (a, b), n in resharding.transfers({0: 10, 1: 0, 2: 2}, {0: 4, 1: 4, 2: 4}).items() if a != b) == 6
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("string")).alias("text"))
+    key = resharding.order_key(F.col("text"), F.col("doc_id"))
+    placed, plan = resharding.reshard(df, F.length("text") + 1, F.shiftright(key, 60), key, shards=4)
+    out = resharding.with_slots(placed, "new_shard", "shard_key", "doc_id").collect()
+    assert len(out) == 4000
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.new_shard].append(r)
+    size = [sum(r.shard_size for r in x) for x in by.values()]
+    assert len(by) == 4 and max(size) - min(size) < 0.1 * sum(size) / 4
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
+    root = str(tmp_path / "shards")
+    placed.withColumn("shard", F.col("old_shard")).select("doc_id", "text", "shard").write.partitionBy("shard").parquet(root)
+    resharding.rewrite(placed, root)
+    assert {(r.doc_id, r.shard) for r in spark.read.parquet(root).collect()} == {(r.doc_id, r.new_shard) for r in out}
+
+
+def bpe_texts(docs):
+    rng = random.Random(4)
+    odd = ["", " ", "<|endoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "It's I'LL we'Re 12345 ½", "ΣΑΣ İ ß", "a\x1cb\x1f c\x85d　e​f", " x́ é", "x" * 300, "🙂👍🏽 漢字かな"]
+    return odd + [r[1] or "" for r in docs] + ["".join(rng.choice("aB,.'!é 1\n") for _ in range(50)) for _ in range(200)]
+
+
+def test_bpe_equals_library(spark, docs):
+    import tokenizers
+
+    path = queries.vocabulary()
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_padding()
+    library.no_truncation()
+    texts = bpe_texts(docs)
+    df = spark.createDataFrame([*enumerate(texts), (9999, None)], "doc_id bigint, text string").withColumn("n_tokens", F.lit("own"))
+    full = bpe.encode_decode(df, path, full=True)
+    for r in full.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert r.token_ids == ids and r.n_tokens_ == len(ids) and r.decoded == back
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+    again = bpe.decode_ids(full.select("doc_id", "token_ids"), path).collect()
+    assert {r.doc_id: r.decoded for r in again} == {r.doc_id: r.decoded for r in full.collect()}
+
+
+def test_trees_equal_naive():
+    rng = random.Random(5)
+    letters = "abc"
+    ranks, vocab = {}, {c: i for i, c in enumerate(letters)}
+    for _ in range(30):
+        a, b = rng.choice(list(vocab)), rng.choice(list(vocab))
+        if len(a + b) < 6 and (a, b) not in ranks:
+            ranks[a, b] = len(ranks)
+            vocab.setdefault(a + b, len(vocab))
+    trees = bpe.PairTrees(vocab, ranks)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 16))) for _ in range(300)]
+    flat = np.full((len(words), 16), -1)
+    for i, w in enumerate(words):
+        flat[i, : len(w)] = [vocab[c] for c in w]
+    names = {i: s for s, i in vocab.items()}
+    for w, row in zip(words, trees.merge(flat).tolist(), strict=True):
+        s = list(w)
+        while best := min(((ranks[p], i) for i, p in enumerate(zip(s, s[1:])) if p in ranks), default=None):  # noqa: B905
+            s[best[1] : best[1] + 2] = [s[best[1]] + s[best[1] + 1]]
+        assert [names[i] for i in row if i >= 0] == s == bpe.merge_all(list(w), ranks)
+
+
+def test_token_counts(spark, frame, docs):
+    path = queries.vocabulary()
+    lengths = sorted(r.n_tokens for r in bpe.encoded_lengths(frame, path).collect())
+    table = token_counts.limits(token_counts.length_histogram(frame, path)).cache()
+    for limit in (0, 1, lengths[len(lengths) // 2], lengths[-1] + 5, 17):
+        kept = sum(min(n, limit) for n in lengths)
+        assert token_counts.answer(table, limit) == {"docs_cut": sum(n > limit for n in lengths), "kept": kept, "lost": sum(lengths) - kept}
+    for q in (0.1, 0.5, 1.0):
+        assert token_counts.quantile(table, q) == lengths[max(0, int(np.ceil(q * len(lengths))) - 1)]
+    assert token_counts.limits(token_counts.length_histogram(empty(spark), path)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base, base[:20] + rng.normal(size=(20, 16)) * 0.03, base[:5], base[:1].repeat(30, axis=0) + rng.normal(size=(30, 16)) * 0.05])
+    rows = [(i, [float(v) for v in row], i % 2 if i < 40 else (i - 40) % 2) for i, row in enumerate(x)]
+    return [*rows, (500, None, 0), (501, [0.0] * 16, 0), (502, [float("nan")] * 16, 1), (503, rows[0][1], None), (504, [1.0, None] * 8, 0), (505, rows[0][1], 0), (505, rows[0][1], 0)]
+
+
+def test_lattice_dedup(spark, vectors):
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, label int")
+    ok = [r for r in vectors if r[1] and r[2] is not None and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    u = np.array([r[1] for r in ok])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (np.array([r[2] for r in ok])[:, None] == np.array([r[2] for r in ok])[None])
+    root = list(range(len(ok)))
+    for _ in ok:
+        root = [min([root[j] for j in np.flatnonzero(near[i])] + [root[i]], key=lambda k: (ok[k][0], k)) for i in range(len(ok))]
+    want = sorted((r[0], int(near[i].sum()) - 1, ok[root[i]][0]) for i, r in enumerate(ok))
+    for tile in (512, 4):
+        got = lattice_dedup.dedup(df, tile=tile).collect()
+        assert len(got) == len(vectors)
+        left = [r for r in got if r.vec_id in (500, 501, 502, 503, 504)]
+        assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in left) and len(left) == 5
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id not in (500, 501, 502, 503, 504)) == want
+    assert lattice_dedup.dedup(empty(spark, "vec_id bigint, embedding array<double>, label int")).count() == 0
+
+
+def test_lattice_points():
+    x = np.random.default_rng(7).normal(size=(200, 8)) * 2
+    c = lattice_dedup.decode(x)
+    for v in lattice_dedup._ROOTS:  # no neighbour is nearer
+        assert (((x - c) ** 2).sum(axis=1) <= ((x - c - v) ** 2).sum(axis=1) + 1e-9).all()
+
+
+def test_permutation_index(spark, vectors):
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, label int")
+    got = permutation_index.nearest(df, lambda i: i % 20 == 0, k=7).collect()
+    ok = [r for r in vectors if r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    for q in [r for r in ok if r[0] % 20 == 0]:
+        want = sorted((-float((np.array(r[1]) * np.array(q[1])).sum()), r[0]) for r in ok if r[0] != q[0])[:7]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q[0])
+        assert [(v, pytest.approx(-s)) for s, v in want] == [(v, s) for _, v, s in mine]
+    assert permutation_index.nearest(empty(spark, "vec_id bigint, embedding array<double>"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_permutation_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    x, ids = np.array([r.embedding for r in rows], dtype=np.float64), np.array([r.vec_id for r in rows])
+    got = collections.defaultdict(set)
+    for r in permutation_index.nearest(df, lambda i: i % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = n = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        hit, n = hit + len(best & got[ids[i]]), n + len(best)
+    assert hit / n >= 0.9
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_pipeline(spark):
+    import tokenizers
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    state = docs
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        state = stage(spark, state, SF)
+        seen.append((name, state.cache()))
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    first = {i for i, t in rows if any(c.isalpha() for c in t)}
+    assert {r.doc_id for r in seen[0][1].collect()} == first
+    second = {c for _, _, c in linked([x for x in rows if x[0] in first])}
+    assert {r.doc_id for r in seen[1][1].collect()} == second
+    third = {r.doc_id: r.text for r in seen[2][1].collect()}
+    assert set(third) == second and not [i for i, t in third.items() if (old := dict(rows)[i]) != t and not re.search(r"[0-9@]", old)]
+    library = tokenizers.Tokenizer.from_file(queries.vocabulary())
+    for r in seen[4][1].collect():
+        ids = library.encode(third[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert all(s[1].columns == docs.columns for s in seen[:-1])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
