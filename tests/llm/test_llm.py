@@ -136,6 +136,9 @@ def test_surrogates(spark):
     assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q)
     first, last, again = re.search(r"Mr\. (\w+) (\w+) and Mrs\. (\w+),", new).groups()
     assert last == again and re.search(r"господин [А-Яа-я]+\.", new) and len(re.findall(r"\b[0-9a-f]{32}\b", new)) == 1
+    twice = surrogates.replace(spark.createDataFrame([(1, "x 4465758382889437 4465758382889437 +1 (663) 555-6869 10.1.2.3 10.1.2.3")], "doc_id bigint, text string")).first()
+    a, b, *phone, c, d = twice.text.split(" ")[1:]
+    assert a == b != "4465758382889437" and c == d != "10.1.2.3" and twice.n_entities == 5 and "663" not in " ".join(phone)
     assert surrogates.replace(empty(spark)).count() == 0
 
 
