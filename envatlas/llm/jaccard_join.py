@@ -11,9 +11,11 @@ them. Shingles that the sketch proves unique have empty regions and are left out
 Recursion. Within a region documents are the pivots. All members' distances d to the pivot are computed exactly; members within
 e are linked to it. The rest is cut into Voronoi shells of width e around the pivot. By the triangle inequality two members
 within e of each other have distances to the pivot that differ by at most e, so a member is home in its shell and is replicated,
-as a guest, into the neighbouring ones only; guests need not meet guests. A region ends when its members are one component, or
-no home member is left. When few pairs remain they are compared directly; the number of pivots a region doubles each round,
-so the number of rounds is logarithmic.
+as a guest, into the neighbouring ones only; guests need not meet guests. The pivot is the member with the smallest share of unique
+shingles, the most central one. A region ends when its members are one component, or no home member is left. When few
+pairs remain those of different components, whose sizes and places of the region's shingle in both orders allow the
+similarity, are compared directly (the first shingle that two sets share leaves at most the rest of either order in common).
+Until then the number of pivots a region doubles each round, so the number of rounds is logarithmic.
 
 Null or empty text has an empty set and is linked with nothing. With fewer words than `size` the whole sequence is one
 shingle. Repeated rows are equal sets. The smallest non-null id names a component; it is null where all ids are. An empty table gives
@@ -42,11 +44,14 @@ SKETCH_BITS = 28
 #: Counts from which a shingle is of the shared and of the frequent class.
 CLASSES = (2, 64)
 #: Remaining pairs for each row of the regions up to which they are compared directly.
-DIRECT = 2
+DIRECT = 256
 
 
 def _sets(df: DataFrame, size: int, percent: int, lower: bool, bits: int) -> DataFrame:
-    """(id, n, name, prefix, text) of each row; prefix and text once a task for each set that may have a partner, else null."""
+    """(id, n, name, prefix, places, alone, text) of each row; all but the first three once a task for each set that may have a partner, else null.
+
+    places: where in the set's global order each shingle of the prefix stands; alone: how many of its shingles are unique.
+    """
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in words(batch.column(0), lower):
@@ -57,7 +62,7 @@ def _sets(df: DataFrame, size: int, percent: int, lower: bool, bits: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, names, prefixes, whole = [], [], [], []
+            sizes, names, prefixes, places, alone, whole = [], [], [], [], [], []
             for part in words(batch.column(1), lower):
                 values, at = shingle_sets(part, size)
                 rank = reaches(planes.value, values, 0).astype(np.uint8) + reaches(planes.value, values, 1)
@@ -67,21 +72,25 @@ def _sets(df: DataFrame, size: int, percent: int, lower: bool, bits: int) -> Dat
                     sizes.append(n)
                     name = hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if n else None
                     names.append(name)
-                    prefix = []
+                    prefix, place, single = [], [], None
                     if n and name not in seen:
                         length = n - (percent * n + 99) // 100 + 1
-                        if np.count_nonzero(rank[a:b] == 0) < length:
+                        single = int(np.count_nonzero(rank[a:b] == 0))
+                        if single < length:
                             first = np.lexsort((order_[a:b], rank[a:b]))[:length]
-                            prefix = values[a:b][first[rank[a:b][first] > 0]].view(np.int64).tolist()
+                            prefix = values[a:b][first[single:]].view(np.int64).tolist()
+                            place = list(range(single, length))
                         if len(seen) > 1 << 18:
                             seen.clear()
                         seen.add(name)
                     prefixes.append(prefix or None)
+                    places.append(place or None)
+                    alone.append(single)
                     whole.append(bool(prefix))
             text = pc.if_else(pa.array(whole, type=pa.bool_()), batch.column(1), pa.scalar(None, batch.column(1).type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(names, type=pa.binary()), pa.array(prefixes, type=pa.list_(pa.int64())), text], names=["id", "n", "name", "prefix", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(names, type=pa.binary()), pa.array(prefixes, type=pa.list_(pa.int64())), pa.array(places, type=pa.list_(pa.int32())), pa.array(alone, type=pa.int32()), text], names=["id", "n", "name", "prefix", "places", "alone", "text"])
 
-    return df.select("id", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n bigint, name binary, prefix array<bigint>, text string")
+    return df.select("id", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n bigint, name binary, prefix array<bigint>, places array<int>, alone int, text string")
 
 
 def _distances(pairs: DataFrame, texts: DataFrame, size: int, lower: bool) -> DataFrame:
@@ -126,21 +135,23 @@ def link(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = S
     docs = df.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     rows = save(_sets(docs, size, percent, lower, bits), "sets")
     width = (100 - percent) / 100.0
-    sets = save(rows.where("prefix is not null").groupBy("name").agg(F.min("prefix").alias("prefix"), F.min("n").alias("n"), F.min("text").alias("text")), "shared")
+    sets = save(rows.where("prefix is not null").groupBy("name").agg(F.min("prefix").alias("prefix"), F.min("places").alias("places"), F.min("n").alias("n"), (F.min("alone") / F.min("n")).alias("alone"), F.min("text").alias("text")), "shared")
     texts = sets.select("name", "text")
-    regions = sets.select(F.explode("prefix").alias("region"), "name", F.col("name").alias("component"), F.lit(True).alias("home"))
+    regions = sets.select(F.explode(F.arrays_zip("prefix", "places")).alias("x"), "name", F.col("name").alias("component"), F.lit(True).alias("home"), "n", "alone").select(F.col("x.prefix").alias("region"), F.col("x.places").alias("place"), "name", "component", "home", "n", "alone")
     regions = save(_active(regions), "regions")
     edges, joined, n = None, None, 0
     while regions.limit(1).count():
         sums = regions.groupBy("region", "component").agg(F.count("*").alias("c"), F.count_if("home").alias("h")).groupBy("region").agg(F.sum("c").alias("c"), F.sum("h").alias("h"), F.sum(F.col("c") * F.col("h")).alias("ch"), F.sum(F.col("h") * F.col("h")).alias("hh"))
         left, rows_now = sums.agg(F.sum(F.col("c") * F.col("h") - F.col("ch") - (F.col("h") * F.col("h") - F.col("hh")) / 2), F.sum("c")).first()
-        if left <= direct * rows_now:
+        if n and left <= direct * rows_now:
             a, b = regions.alias("a"), regions.alias("b")
-            pairs = a.join(b, "region").where("a.component <> b.component and a.home and (not b.home or a.name < b.name)").select(F.least("a.name", "b.name").alias("pivot"), F.greatest("a.name", "b.name").alias("name")).distinct()
+            pairs = a.join(b, "region").where(f"""a.component <> b.component and a.home and (not b.home or a.name < b.name)
+                and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+                and (100 + {percent}) * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n)""").select(F.least("a.name", "b.name").alias("pivot"), F.greatest("a.name", "b.name").alias("name")).distinct()
             done = True
         else:
             spread = F.pmod(F.xxhash64("name", F.lit(n)), F.lit(1 << n)).cast("int")
-            chosen = regions.where("home").groupBy("region", spread.alias("cell")).agg(F.min(F.struct(F.xxhash64("name", F.lit(n)).alias("p"), "name")).alias("x")).select("region", "cell", F.col("x.name").alias("pivot"))
+            chosen = regions.where("home").groupBy("region", spread.alias("cell")).agg(F.min(F.struct("alone", F.xxhash64("name", F.lit(n)).alias("p"), "name")).alias("x")).select("region", "cell", F.col("x.name").alias("pivot"))
             chosen = save(chosen, "pivots")
             met = regions.join(chosen, "region").where("name <> pivot")
             pairs = met.select("pivot", "name").distinct()
@@ -160,8 +171,9 @@ def link(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = S
         into = F.when(F.col("home"), F.array(F.struct(shell.alias("shell"), F.lit(True).alias("home")), F.struct((shell - 1).alias("shell"), F.lit(False).alias("home")))).otherwise(
             F.transform(F.array(shell - 1, shell, shell + 1), lambda x: F.struct(x.alias("shell"), F.lit(False).alias("home")))
         )
-        rest = rest.select("region", "pivot", "name", F.explode(into).alias("x")).select(F.xxhash64("region", "pivot", "x.shell").alias("region"), "name", F.col("x.home").alias("home"))
-        rest = rest.join(joined.withColumnRenamed("node", "name"), "name", "left").select("region", "name", F.coalesce("component", "name").alias("component"), "home")
+        same = ["name", "n", "place", "alone"]
+        rest = rest.select("region", "pivot", *same, F.explode(into).alias("x")).select(F.xxhash64("region", "pivot", "x.shell").alias("region"), *same, F.col("x.home").alias("home"))
+        rest = rest.join(joined.withColumnRenamed("node", "name"), "name", "left").select("region", *same, F.coalesce("component", "name").alias("component"), "home")
         after = save(_active(rest), "regions")
         drop(regions, chosen, found)
         regions, n = after, n + 1
