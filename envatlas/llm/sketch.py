@@ -91,7 +91,8 @@ def sketch(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray
     planes = np.zeros((rows, len(levels), 1 << (bits - 3)), dtype=np.uint8)
     span = 1 << (_BLOCK - 3)
     merged = df.mapInArrow(partial, "block int, cells binary").repartition("block").mapInArrow(merge, "block int, level int, sparse boolean, bits binary")
-    for r in merged.toLocalIterator():
+    # the planes' size is bounded: few parts mean few fetches
+    for r in merged.repartition(8).toLocalIterator():
         row, block = r.block >> (bits - _BLOCK), r.block & ((1 << (bits - _BLOCK)) - 1)
         own = planes[row, r.level, block * span : (block + 1) * span]
         if r.sparse:
