@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -29,8 +30,11 @@ from pyspark.sql import types as T
 
 from envatlas.llm.shared import column_named
 
-#: Words kept with their ids by each Python worker; others are merged again.
-CACHED_WORDS = 200_000
+#: Words kept with their ids by each Python worker, in each of two generations; others are merged again.
+CACHED_WORDS = 120_000
+#: Characters of texts whose words are merged together.
+_TOGETHER = 4 << 20
+_NEVER = np.int64(1 << 60)
 _NONE = (1 << 62, 0)
 
 # What Unicode 16 added to Python's Unicode 15.1 tables and the vocabulary files' own library knows.
@@ -104,6 +108,62 @@ def merge_all(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str
     return [s for s in symbols if s]
 
 
+class PairTrees:
+    """The same trees for many words at once, as rows of arrays; each step merges at the root of every word that has one."""
+
+    def __init__(self, vocab: dict[str, int], ranks: dict[tuple[str, str], int]):
+        pairs = sorted((vocab[a] << 32 | vocab[b], rank, vocab[a + b]) for (a, b), rank in ranks.items())
+        self.keys = np.array([x[0] for x in pairs], dtype=np.int64)
+        self.rank = np.array([x[1] for x in pairs], dtype=np.int64)
+        self.made = np.zeros(len(pairs), dtype=np.int64)
+        self.made[self.rank] = [x[2] for x in pairs]
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs; those without one, or with a side below 0, get a number above all ranks."""
+        key = (a.astype(np.int64) << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.rank[at], _NEVER >> 8)
+
+    def merge(self, symbols: np.ndarray) -> np.ndarray:
+        """Merges rows of symbol ids, padded at the end with -1 to a power of two of at most 256; what is left over is -1."""
+        n, width = symbols.shape
+        symbols = symbols.astype(np.int64)
+        place = np.arange(width)
+        after = np.where(symbols[:, 1:] >= 0, place[1:], -1)
+        after = np.concatenate([after, np.full((n, 1), -1)], axis=1).astype(np.int16)
+        before = np.broadcast_to(place - 1, (n, width)).astype(np.int16).copy()
+        tree = np.full((n, 2 * width), _NEVER, dtype=np.int64)
+        tree[:, width : 2 * width - 1] = self.ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, -1) << 8 | place[:-1]
+        half = width // 2
+        while half:
+            np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2], out=tree[:, half : 2 * half])
+            half //= 2
+        none = (_NEVER >> 8) << 8
+        row = np.flatnonzero(tree[:, 1] < none)
+        while len(row):
+            root = tree[row, 1]
+            i = root & 255
+            j = after[row, i].astype(np.int64)
+            symbols[row, i] = self.made[root >> 8]
+            symbols[row, j] = -1
+            k = after[row, j].astype(np.int64)
+            after[row, i] = k
+            has = k >= 0
+            before[row[has], k[has]] = i[has]
+            p = before[row, i].astype(np.int64)
+            right = np.where(has, self.ranks(symbols[row, i], symbols[row, k]), _NEVER >> 8) << 8 | i
+            left = self.ranks(np.where(p >= 0, symbols[row, p], -1), symbols[row, i]) << 8 | np.maximum(p, 0)
+            some = p >= 0
+            for who, at, value in ((row, j, np.full(len(row), _NEVER)), (row, i, right), (row[some], p[some], left[some])):
+                at = at + width
+                tree[who, at] = value
+                while at[0:1].size and at[0] > 1:
+                    at = at >> 1
+                    tree[who, at] = np.minimum(tree[who, 2 * at], tree[who, 2 * at + 1])
+            row = row[tree[row, 1] < none]
+        return symbols
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the others for U+0100 on, in order."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -135,8 +195,14 @@ class WordBpe:
         self.lower = str.maketrans(NEWER_LOWER)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.space = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.word_ids = lru_cache(CACHED_WORDS)(self._word_ids)
+        self.trees = PairTrees(self.vocab, self.ranks)
+        self.first = np.array([self.vocab.get(self.letters[b], -1) for b in range(256)])
+        self.final = np.array([self.vocab.get(self.letters[b] + self.suffix, -1) for b in range(256)])
+        self.whole = min(self.first.min(), self.final.min()) >= 0
+        self.young: dict[str, tuple[int, str, str]] = {"": (0, "", "")}
+        self.old: dict[str, tuple[int, str, str]] = {}
+        self.word_young: dict[str, tuple[int, str, str]] = {}
+        self.word_old: dict[str, tuple[int, str, str]] = {}
 
     def _word_ids(self, word: str) -> tuple[int, ...]:
         raw = [self.letters[b] for b in word.encode()]
@@ -148,10 +214,25 @@ class WordBpe:
         """Lower case letter by letter: a final sigma gets no form of its own."""
         return text.replace("Σ", "σ").lower()
 
+    def split_words(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).translate(self.lower)
+        return self.words.findall(self.lowered(self.space.sub(" ", text)))
+
+    def piece_words(self, piece: str) -> list[str]:
+        """split_words() of a piece without white space; letters alone, or letters before plain punctuation, need no pattern."""
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece).translate(self.lower)
+        low = self.lowered(piece)
+        if low.isalpha():
+            return [low]
+        core = low.rstrip(".,;:!?|")
+        if core.isalpha():
+            return [core, low[len(core) :]]
+        return self.words.findall(low)
+
     def plain_ids(self, text: str) -> list[int]:
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        text = self.lowered(text if text.isascii() else text.translate(self.lower))
-        return [i for w in self.words.findall(text) for i in self.word_ids(w)]
+        return [i for w in self.split_words(text) for i in self._word_ids(w)]
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text; a special token's string in it is that token."""
@@ -163,22 +244,74 @@ class WordBpe:
         """The file has no decoder: the tokens' own strings, joined by one blank."""
         return " ".join(self.names[i] for i in ids)
 
-    def chunk(self, text: str) -> tuple[int, str, str]:
-        """Count, ids and decoded string of a piece between white space, the latter two with their blanks before each token."""
-        if (got := self.chunks.get(text)) is None:
-            ids = self.encode(text)
-            got = (len(ids), "".join(f" {i}" for i in ids), "".join(f" {self.names[i]}" for i in ids))
-            if len(self.chunks) >= CACHED_WORDS:
-                self.chunks.clear()
-            if len(text) < 64:
-                self.chunks[text] = got
-        return got
-
-    def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """The chunks of a whole text. White space separates words before and after each normalisation step, so the pieces' ids together are the text's."""
-        seen, slow = self.chunks, self.chunk
-        for part in self.space.split(text) if not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split():
-            yield seen.get(part) or slow(part)
+    def _said(self, ids: list[int]) -> tuple[int, str, str]:
+        """Count, ids and decoded string, the latter two with a blank before each token."""
+        return len(ids), "".join([f" {i}" for i in ids]), "".join([" " + self.names[i] for i in ids])
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Merges words, those of about equal length together."""
+        kinds: dict[int, list[tuple[str, bytes]]] = {}
+        for w in new:
+            raw = w.encode()
+            kinds.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
+        for width, group in kinds.items():
+            if width > 128 or not self.whole:
+                for w, _ in group:
+                    self.word_young[w] = self._said(list(self._word_ids(w)))
+                continue
+            for a in range(0, len(group), 1 << 20 >> width.bit_length()):
+                some = group[a : a + (1 << 20 >> width.bit_length())]
+                flat = np.frombuffer(b"".join([raw.ljust(width, b"\0") for _, raw in some]), dtype=np.uint8).reshape(-1, width)
+                size = np.array([len(raw) for _, raw in some])
+                ids = np.where(np.arange(width) < size[:, None], self.first[flat], -1)
+                ids[np.arange(len(some)), size - 1] = self.final[flat[np.arange(len(some)), size - 1]]
+                for (w, _), row in zip(some, self.trees.merge(ids).tolist(), strict=True):
+                    self.word_young[w] = self._said([i for i in row if i >= 0])
+
+    def split(self, text: str) -> list[str]:
+        """Pieces between white space. It separates words before and after each normalisation step, so the pieces' ids together are the text's."""
+        # str.split() takes these four for white space too
+        return self.space.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Afterwards `young` has every one of the pieces, and what was used of late."""
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = {"": (0, "", "")}, self.young
+        if len(self.word_young) > CACHED_WORDS:
+            self.word_young, self.word_old = {}, self.word_young
+        young, old, split, new = self.young, self.old, {}, set()
+        for piece in pieces - young.keys():
+            if piece in old:
+                young[piece] = old[piece]
+            elif self.special and self.lead in piece:
+                young[piece] = self._said(self.encode(piece))
+            else:
+                split[piece] = ws = self.piece_words(piece)
+                new.update(ws)
+        new -= self.word_young.keys()
+        for w in new & self.word_old.keys():
+            self.word_young[w] = self.word_old[w]
+        self._learn_words(list(new - self.word_old.keys()))
+        seen = self.word_young
+        for piece, ws in split.items():
+            got = [seen[w] for w in ws]
+            young[piece] = got[0] if len(got) == 1 else (sum([g[0] for g in got]), "".join([g[1] for g in got]), "".join([g[2] for g in got]))
+
+    def batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Count, ids and decoded string (the latter two joined by one blank) of each whole text, in order."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j] or "") <= _TOGETHER):
+                size += len(texts[j] or "")
+                j += 1
+            split = [self.split(t or "") for t in texts[i:j]]
+            self.learn(set().union(*split))
+            seen = self.young
+            for pieces in split:
+                got = [seen[x] for x in pieces]
+                yield sum([g[0] for g in got]), "".join([g[1] for g in got])[1:], "".join([g[2] for g in got])[1:]
+            i = j
 
 
 @lru_cache(2)
@@ -211,13 +344,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = Fal
         bpe = _load(name, version)
         for batch in batches:
             out: list[list] = [[] for _ in own]
-            for value in batch.column(where):
-                n, ids, back = 0, [], []
-                for count, i, d in bpe.pieces(value.as_py() or ""):
-                    n += count
-                    ids.append(i)
-                    back.append(d)
-                ids, back = "".join(ids)[1:], "".join(back)[1:]
+            for n, ids, back in bpe.batch(batch.column(where).to_pylist()):
                 row = [n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
                 for column, x in zip(out, row + ([[int(i) for i in ids.split(" ") if i], back] if full else []), strict=True):
                     column.append(x)
@@ -250,7 +377,7 @@ def encoded_lengths(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(name, version)
         for batch in batches:
-            n = [sum(x[0] for x in bpe.pieces(v.as_py() or "")) for v in batch.column(0)]
+            n = [x[0] for x in bpe.batch(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(n, type=pa.int64())], names=["n_tokens"])
 
     return df.select(F.col(text)).mapInArrow(run, "n_tokens bigint")
