@@ -90,9 +90,10 @@ def reshard(df: DataFrame, size: Column, old_shard: Column, key: Column, capacit
 def with_slots(df: DataFrame, shard: str, key: str, *ties: str) -> DataFrame:
     """Adds slot, gapless from 0 in each shard, without ordering a whole shard in one task.
 
-    A shard is dealt into spans of its key; slots count within a span, and each span starts where the counts of those before it end.
+    A shard is dealt into spans by the key's lowest bits, which spread equal texts too; slots count within a span, and each
+    span starts where the counts of those before it end.
     """
-    span = F.shiftright(F.col(key), 62 - (_SPANS - 1).bit_length()).cast("int")
+    span = F.col(key).bitwiseAND(F.lit(_SPANS - 1)).cast("int")
     rows = df.withColumn("span", span)
     counts = rows.groupBy(shard, "span").agg(F.count("*").alias("n"))
     start = F.sum("n").over(Window.partitionBy(shard).orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
