@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from envatlas.sources.languages import BY_EXTENSION, BY_NAME, Language
 
+_BLOCK = re.compile(r"(?:\)|=>|\b(?:try|do|finally|unsafe|loop|impl|trait|interface|struct|enum|namespace|object)\b[^{;=]*)\s*\{$")
 SCHEMA = "file_id bigint, kind string, ord int, name string, key string, source string, module string, alias string, sl int, sc int, el int, ec int, nsl int, nsc int, nel int, nec int"
 _STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
 
@@ -86,12 +87,16 @@ def _scopes(text: str, spec: Language) -> list[tuple[str, int, int]]:
     opens = r"\b(?:function|def|do|if|for|while|class|module|case|begin)\b" if spec.closed_by_end else r"\{"
     for m in re.finditer(rf"(?P<open>{opens})|(?P<close>{r'\bend\b' if spec.closed_by_end else '}'})", _STRING.sub(lambda s: " " * len(s[0]), text)):
         if m["open"]:
-            lead = text[max(text.rfind("\n", 0, m.start()), text.rfind(";", 0, m.start()), text.rfind("}", 0, m.start())) + 1 : m.end()]
+            lead = text[max(text.rfind("\n", 0, m.start()), text.rfind(";", 0, m.start()), text.rfind("}", 0, m.start()), text.rfind("{", 0, m.start())) + 1 : m.end()]
             words = [w for w in re.findall(r"\w+", lead) if w in kinds]
+            if not spec.closed_by_end and not words and lead.strip() != "{" and not _BLOCK.search(lead):
+                stack.append((None, m.start()))  # an object or a list of names
+                continue
             stack.append((kinds[words[0]] if words else "Function" if "=>" in lead or re.search(r"\)\s*\{$", lead) else "Block", m.start()))
         elif stack:
             kind, start = stack.pop()
-            out.append((kind, start, m.end()))
+            if kind:
+                out.append((kind, start, m.end()))
     return sorted(out, key=lambda x: (x[1], -x[2]))
 
 
