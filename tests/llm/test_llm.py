@@ -364,3 +364,17 @@ def test_pipeline(spark):
     assert all(s[1].columns == docs.columns for s in seen[:-1])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_pipeline_takes_five_words(spark, docs):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(50)]
+    changed = [*words[:25], "other", *words[26:]]  # 41 of 51 runs of five words are common, and 43 of 51 of four
+    rows = [*docs, (200, " ".join(words), "en", "s0"), (201, " ".join(changed), "en", "s0")]
+    rows = [r for r in rows if r[0] is not None]
+    kept = {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, DOC), SF).collect()}
+    assert kept == {c for _, _, c in linked(rows, 80, 5)} and 200 in kept and 201 not in kept
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, table, SF).collect()}
+    assert kept == {c for _, _, c in linked([(r.doc_id, r.text) for r in table.collect()], 80, 5)}
