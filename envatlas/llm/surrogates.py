@@ -37,14 +37,14 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\p{{N}})",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,200}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16,}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])",
     "card": r"(?<!\p{N})(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?!\p{N})",
     "phone": r"(?<![\p{L}\p{N}])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\p{N})",
     "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? {_WORD}(?: {_WORD})?|(?:{'|'.join(GIVEN_F + GIVEN_M)}) {_WORD})(?!\p{{L}})",
 }
 #: One of these stands in every text that has an entity.
-HINT = rf"[0-9@]|(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N + GIVEN_F + GIVEN_M)})"
+HINT = rf"[0-9@]|AKIA|gh[pousr]_|(?<![\p{{L}}\p{{N}}])sk-|[a-f]{{32}}|[A-F]{{32}}|(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N + GIVEN_F + GIVEN_M)})"
 ANY = "|".join(p if k != "card" else p.replace(r"([ -])", r"(?<gap>[ -])").replace(r"\1", r"\k<gap>") for k, p in PATTERNS.items())
 
 _LETTERS = (("abcdefghijklmnopqrstuvwxyz", "a-z"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A-Z"), ("àâäçéèêëíîïóôöúùûüñ", "ß-öø-ÿ"), ("ÀÂÄÇÉÈÊËÍÎÏÓÔÖÚÙÛÜÑ", "À-ÖØ-Þ"), ("абвгдежзиклмнопрстуфхцчшэюя", "а-яё"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "А-ЯЁ"), ("αβγδεζηθικλμνξοπρστυφχψω", "α-ω"), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "Α-Ω"))
@@ -73,8 +73,8 @@ def _pick(words: list[str] | str, n: Column) -> Column:
 def _like(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
     """Each digit and letter replaced by another of its kind, script and case; all else as it is."""
 
-    def one(i: Column) -> Column:
-        c, b = F.substring(text, i, F.lit(1)), _byte(stream, i)
+    def one(c: Column, i: Column, s: Column) -> Column:
+        b = _byte(s, i + 1)
         if hexadecimal:
             return F.when(c.rlike("[0-9a-f]"), _pick("0123456789abcdef", b)).when(c.rlike("[A-F]"), _pick("ABCDEF", b)).otherwise(c)
         out = F.when(c.rlike("[0-9]"), _pick("0123456789", b))
@@ -82,7 +82,9 @@ def _like(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
             out = out.when(c.rlike(f"[{span}]"), _pick(letters, b))
         return out.otherwise(c)
 
-    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise(F.lit(""))
+    # split, and the stream bound once, as a substring or a digest at each place would cost the square of the length
+    whole = F.element_at(F.transform(F.array(stream), lambda s: F.array_join(F.transform(F.split(text, ""), lambda c, i: one(c, i, s)), "")), 1)
+    return F.when(F.length(text) > 0, whole).otherwise(F.lit(""))
 
 
 def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
