@@ -3,12 +3,13 @@
 Detected entities (emails, IPv4 addresses, phone numbers, card numbers, social security numbers, IBANs, secrets, and names after a
 title or a known given name) are replaced by keyed surrogates of the same type: digits for digits, letters for letters of
 the same script and case, Luhn-valid numbers for Luhn-valid ones, octets for octets, and names of the same gender and script.
-Separators, brackets, titles, top-level domains and leading digits of cards and country codes stay.
+Letters of scripts without a table here become Latin ones. Separators, brackets, titles, top-level domains and leading digits of cards and country codes stay.
 
 A surrogate is a function of the key, the type and the entity's normal form, so that all mentions of one entity, however
 spelled, stay one entity across the corpus (coreference); a domain or a surname keeps its surrogate in every entity. Over all
 distinct entities a collision check gives another surrogate to each that would share one or that would become a real
-entity of the corpus (distinctness).
+entity of the corpus (distinctness). Where the forms of the entity's own length run out, surrogates grow longer; IPv4 addresses
+cannot, and may end in an error where a corpus has more than about a quarter of all of them.
 
 Null text stays null; text without entities stays as it is, byte for byte. Repeated rows get equal results. An empty table gives no rows.
 All input columns come back; `n_entities` is added (a clashing name takes a trailing underscore).
@@ -23,6 +24,8 @@ from envatlas.llm.shared import column_named, drop, save
 
 KEY = "surrogate-key-1"
 MOST_ATTEMPTS = 40
+#: Attempts of the entity's own length; each later one is longer by one, so that no space of short forms runs out.
+SAME_LENGTH = 3
 
 # Titles and common given names by gender.
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Signora", "госпожа")
@@ -48,6 +51,13 @@ HINT = rf"[0-9@]|AKIA|gh[pousr]_|(?<![\p{{L}}\p{{N}}])sk-|[a-f]{{32}}|[A-F]{{32}
 ANY = "|".join(p if k != "card" else p.replace(r"([ -])", r"(?<gap>[ -])").replace(r"\1", r"\k<gap>") for k, p in PATTERNS.items())
 
 _LETTERS = (("abcdefghijklmnopqrstuvwxyz", "a-z"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A-Z"), ("àâäçéèêëíîïóôöúùûüñ", "ß-öø-ÿ"), ("ÀÂÄÇÉÈÊËÍÎÏÓÔÖÚÙÛÜÑ", "À-ÖØ-Þ"), ("абвгдежзиклмнопрстуфхцчшэюя", "а-яё"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "А-ЯЁ"), ("αβγδεζηθικλμνξοπρστυφχψω", "α-ω"), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "Α-Ω"))
+#: Letters and digits beyond these, by script; those of scripts not listed become Latin ones.
+_SCRIPTS = (
+    ("ąćčďęěğłńňőřśşšťůűźżž", r"\p{IsLatin}&&\p{Ll}"), ("ĄĆČĎĘĚĞŁŃŇŐŘŚŞŠŤŮŰŹŻŽ", r"\p{IsLatin}&&\p{Lu}"), (_LETTERS[4][0], r"\p{IsCyrillic}&&\p{Ll}"), (_LETTERS[5][0], r"\p{IsCyrillic}&&\p{Lu}"), (_LETTERS[6][0], r"\p{IsGreek}&&\p{Ll}"), (_LETTERS[7][0], r"\p{IsGreek}&&\p{Lu}"),
+    ("天地人山水火木金土日月星風雨花草鳥魚馬牛羊石田川林森村町海空春夏秋冬東西南北", r"\p{IsHan}"), ("あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ", r"\p{IsHiragana}&&\p{L}"), ("アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ", r"\p{IsKatakana}&&\p{L}"), ("가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추", r"\p{IsHangul}&&\p{L}"),
+    ("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", r"\p{IsArabic}&&\p{L}"), ("אבגדהוזחטיכלמנסעפצקרשת", r"\p{IsHebrew}&&\p{L}"), ("กขคงจฉชซญดตถทธนบปผพฟมยรลวศสหอ", r"\p{IsThai}&&\p{L}"), ("कखगघचछजझटठडढतथदधनपफबभमयरलवशसह", r"\p{IsDevanagari}&&\p{L}"), ("٠١٢٣٤٥٦٧٨٩", "٠-٩"),
+    (_LETTERS[1][0], r"\p{Lu}"), (_LETTERS[0][0], r"\p{L}"), ("0123456789", r"\p{N}"),
+)
 _SYLLABLES = {
     "latin": ("ba be bi bo da de di do fa fe ga ge go ha he jo ka ke ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te ti to va ve vi wa we za".split(), "lin ron mar bert dan gor nik tor".split(), "la na ra sa lia nia".split(), "man ley sen berg ford ton well kamp".split(), "man ley sen berg ford ton well kamp".split()),
     "cyrillic": ("ба бе бо ва ве ви га го да де до за зе ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се со та те ти то".split(), "рид мир слав дан тон лий рат".split(), "ла на ра ня лия".split(), "нов ров лин".split(), "нова рова лина".split()),
@@ -70,8 +80,8 @@ def _pick(words: list[str] | str, n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
 
 
-def _like(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
-    """Each digit and letter replaced by another of its kind, script and case; all else as it is."""
+def _like(text: Column, stream: Column, hexadecimal: bool = False, scripts: bool = False) -> Column:
+    """Each digit and letter replaced by another of its kind, script and case, of any script if so told; all else as it is."""
 
     def one(c: Column, i: Column, s: Column) -> Column:
         b = _byte(s, i + 1)
@@ -80,6 +90,8 @@ def _like(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
         out = F.when(c.rlike("[0-9]"), _pick("0123456789", b))
         for letters, span in _LETTERS:
             out = out.when(c.rlike(f"[{span}]"), _pick(letters, b))
+        for letters, span in _SCRIPTS if scripts else ():
+            out = out.when(c.rlike(f"[{span}]"), _pick(letters, b))
         return out.otherwise(c)
 
     # split, and the stream bound once, as a substring or a digest at each place would cost the square of the length
@@ -87,11 +99,17 @@ def _like(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
     return F.when(F.length(text) > 0, whole).otherwise(F.lit(""))
 
 
+def _longer(words: list[str] | str, stream: Column, attempt: Column, same: int = SAME_LENGTH, first: int = 22, step: int = 1) -> Column:
+    """Nothing in the first attempts, then one more of `words` with each."""
+    return F.when(attempt > same, F.array_join(F.transform(F.sequence(F.lit(0), attempt - same - 1), lambda i: _pick(words, _byte(stream, i * step + first))), "")).otherwise(F.lit(""))
+
+
 def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate of a normal form, as a normal form."""
     s = _stream(key, kind, norm, attempt)
     digits = _like(norm, s)
-    body = F.concat(F.substring(norm, 1, 1), F.substring(digits, F.lit(2), F.length(norm) - 2))
+    tail = _longer("0123456789", s, attempt)
+    body = F.concat(F.substring(norm, 1, 1), F.substring(digits, F.lit(2), F.length(norm) - 2), tail)
     check = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(body, d.cast("string")))), 1)
     card = F.when(F.call_function("luhn_check", norm), F.concat(body, check.cast("string"))).otherwise(F.concat(body, F.substring(digits, -1, 1)))
     ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(s, i) % 254 + 1).cast("string")), ".")
@@ -101,20 +119,20 @@ def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     top = F.substring_index(domain, ".", -1)
     labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
     local = F.substring(norm, F.lit(1), at - 1)
-    email = F.concat(_like(local, s), F.lit("@"), _like(labels, _stream(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), top)
+    email = F.concat(_like(local, s, scripts=True), _longer(_LETTERS[0][0], s, attempt), F.lit("@"), _like(labels, _stream(key, F.lit("domain"), domain, F.lit(0)), scripts=True), F.lit("."), top)
     iban = F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(3), F.length(norm)))
     prefix = F.regexp_extract(norm, "^(AKIA|gh[pousr]_|sk-)", 1)
-    secret = F.when(norm.rlike("^[0-9a-f]+$"), _like(norm, s, True)).otherwise(F.concat(prefix, F.substring(digits, F.length(prefix) + 1, F.length(norm))))
+    secret = F.concat(F.when(norm.rlike("^[0-9a-f]+$"), _like(norm, s, True)).otherwise(F.concat(prefix, F.substring(digits, F.length(prefix) + 1, F.length(norm)))), tail)
     scripts = {}
     for script, (middle, end_m, end_f, last_m, last_f) in _SYLLABLES.items():
         ends = F.when(kind == "given_f", _pick(end_f, _byte(s, F.lit(3)))).when(kind == "given_m", _pick(end_m, _byte(s, F.lit(3)))).when(kind == "given_n", _pick(end_m + end_f, _byte(s, F.lit(3))))
         ends = ends.when(kind == "surname_f", _pick(last_f, _byte(s, F.lit(3)))).otherwise(_pick(last_m, _byte(s, F.lit(3))))
         # longer with each attempt, so that distinct names never run out
-        more = F.when(attempt > 5, _pick(middle, _byte(s, F.lit(5)))).otherwise(F.lit(""))
+        more = _longer(middle, s, attempt, 5, 5, 10)
         whole = F.concat(_pick(middle, _byte(s, F.lit(7))), _pick(middle, _byte(s, F.lit(9))), F.when(kind.startswith("surname"), _pick(middle, _byte(s, F.lit(11)))).otherwise(F.lit("")), more, ends)
         scripts[script] = whole
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", digits)
-    return out.when(kind == "iban", iban).when(kind == "secret", secret).otherwise(F.when(norm.rlike(r"\p{IsCyrillic}"), scripts["cyrillic"]).otherwise(scripts["latin"]))
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", F.concat(phone, tail)).when(kind == "ssn", F.concat(digits, tail))
+    return out.when(kind == "iban", F.concat(iban, tail)).when(kind == "secret", secret).otherwise(F.when(norm.rlike(r"\p{IsCyrillic}"), scripts["cyrillic"]).otherwise(scripts["latin"]))
 
 
 def _kind(e: Column) -> Column:
@@ -165,7 +183,9 @@ def _dressed(kind: Column, said: Column, new: Column) -> Column:
     place = lambda i, of: F.length(F.regexp_replace(F.substring(said, F.lit(1), i), of, ""))
 
     def laid(keep: str, drop_: str) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(said)), lambda i: F.when(F.substring(said, i, F.lit(1)).rlike(keep), F.substring(new, place(i, drop_), F.lit(1))).otherwise(F.substring(said, i, F.lit(1)))), "")
+        laid_out = F.array_join(F.transform(F.sequence(F.lit(1), F.length(said)), lambda i: F.when(F.substring(said, i, F.lit(1)).rlike(keep), F.substring(new, place(i, drop_), F.lit(1))).otherwise(F.substring(said, i, F.lit(1)))), "")
+        # surrogates may be longer than what was said
+        return F.concat(laid_out, F.substring(new, place(F.length(said), drop_) + 1, F.length(new)))
 
     upper = (said == F.upper(said)) & (said != F.lower(said))
     name = F.when(upper & (F.length(said) > 1), F.upper(new)).otherwise(F.initcap(new))

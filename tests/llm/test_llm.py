@@ -387,3 +387,20 @@ def test_surrogates_of_letters_only_and_long_secrets(spark):
         new = out[i].text.removeprefix("key ").removesuffix(", kept")
         assert out[i].n_entities == 1 and new != x and len(new) == len(x) and new[8:] != x[8:], x[:40]
     assert out[99].text == "a risk-free task-force" and out[99].n_entities == 0
+
+
+def test_surrogates_of_other_scripts_and_full_spaces(spark):
+    said = ["漢字@例子.com", "محمد@مثال.com", "דוד@דוגמה.com", "김철수@한국.com", "สมชาย@ไทย.com", "łşč@łşč.com", "ქართ@ქართ.com", "漢@字.com"]
+    rows = [(i, f"to {x} now") for i, x in enumerate(said)]
+    full = [f"+1 {i:04d}" for i in range(6000)]  # more than half of all of this form
+    letters = [f"{c}@one.com" for c in "abcdefghijklmnopqrstuvwxyz漢字"]
+    out = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame([*rows, (100, " ".join(letters))], "doc_id bigint, text string")).collect()}
+    for i, x in rows:
+        old, new = x.split(" ")[1].removesuffix(".com").split("@"), out[i].text.split(" ")[1].removesuffix(".com").split("@")
+        assert out[i].n_entities == 1 and all(len(b) >= len(a) for a, b in zip(old, new, strict=True))
+        assert all(a != b for a, b in zip(old, new, strict=True)) and not (i < 5 and re.search("[a-z]", "".join(new)))
+    new = out[100].text.split(" ")
+    assert len(set(new)) == len(letters) and not set(new) & set(letters)
+    e = spark.createDataFrame([("phone", x.replace(" ", "")) for x in full], "kind string, norm string")
+    m = surrogates.surrogate_map(e).collect()
+    assert len({r.new for r in m}) == len(full) and not {r.new for r in m} & {r.norm for r in m}
