@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,7 +43,7 @@ class _Powers:
         return self.have
 
 
-_BYTE, _WORD = _Powers(_BASE), _Powers(_STEP)
+_BYTE, _WORD = (_Powers(_BASE), _Powers(np.uint64(0xD6E8FEB86659FD93))), _Powers(_STEP)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -81,13 +81,34 @@ class Words:
     at: np.ndarray
     lower: bool
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        data = _LOWER[self.data] if self.lower else self.data
-        power, inverse = _BYTE.upto(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+    def hashes(self, kind: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; the two kinds are independent. Memory for scratch is a few times `CHUNK_BYTES`, however long a text."""
+        out, i = np.empty(len(self.starts), dtype=np.uint64), 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + CHUNK_BYTES, side="right")))
+            starts, ends = self.starts[i:j], self.ends[i:j]
+            first, last = int(starts[0]), int(ends[-1])
+            if last - first > CHUNK_BYTES:  # one word of that length
+                total = np.uint64(0)
+                for a in range(first, last, CHUNK_BYTES):
+                    data, power, _ = self._weighed(a, min(last, a + CHUNK_BYTES), kind)
+                    ahead = np.uint64(pow(int(_BYTE[kind].base), a - first, 1 << 64))
+                    total = (np.array([(data * power).sum(dtype=np.uint64)]) * ahead + total)[0]
+                sums = np.array([total], dtype=np.uint64)
+            else:
+                data, power, inverse = self._weighed(first, last, kind)
+                upto = np.zeros(len(data) + 1, dtype=np.uint64)
+                np.cumsum(data * power, out=upto[1:])
+                sums = (upto[ends - first] - upto[starts - first]) * inverse[starts - first]
+            out[i:j] = mix(sums + (ends - starts).astype(np.uint64), 7 * kind)
+            i = j
+        return out
+
+    def _weighed(self, a: int, b: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes a to b plus one, and the powers (and their inverses) that weigh them."""
+        data = _LOWER[self.data[a:b]] if self.lower else self.data[a:b]
+        power, inverse = _BYTE[kind].upto(b - a + 1)
+        return data.astype(np.uint64) + np.uint64(1), power[: b - a], inverse
 
     def counts(self) -> np.ndarray:
         return np.diff(self.at)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from envatlas.llm.shared import column_named
+from envatlas.llm.shared import column_named, tidy
 
 #: Words kept with their ids by each Python worker, in each of two generations; others are merged again.
 CACHED_WORDS = 120_000
@@ -248,6 +248,10 @@ class WordBpe:
         """Count, ids and decoded string, the latter two with a blank before each token."""
         return len(ids), "".join([f" {i}" for i in ids]), "".join([" " + self.names[i] for i in ids])
 
+    def rest(self) -> None:
+        """Between tasks a worker process keeps only the words used of late."""
+        self.old, self.word_old = {}, {}
+
     def _learn_words(self, new: list[str]) -> None:
         """Merges words, those of about equal length together."""
         kinds: dict[int, list[tuple[str, bytes]]] = {}
@@ -350,8 +354,9 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = Fal
                     column.append(x)
             arrays = [pa.array(x, type=t) for x, t in zip(out, [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[f.name for f in schema.fields])
+        bpe.rest()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
@@ -367,7 +372,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
             back = pa.array([bpe.decode(x.as_py() or []) for x in batch.column(where)], type=pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, back], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def encoded_lengths(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -379,5 +384,6 @@ def encoded_lengths(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             n = [x[0] for x in bpe.batch(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(n, type=pa.int64())], names=["n_tokens"])
+        bpe.rest()
 
-    return df.select(F.col(text)).mapInArrow(run, "n_tokens bigint")
+    return df.select(F.col(text)).mapInArrow(tidy(run), "n_tokens bigint")

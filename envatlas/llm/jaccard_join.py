@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envatlas.llm.arrowtext import mix, shingle_sets, words
-from envatlas.llm.shared import components, drop, save
+from envatlas.llm.shared import components, drop, save, tidy
 from envatlas.llm.sketch import reaches, sketch
 
 SIZE = 4
@@ -90,7 +90,7 @@ def _sets(df: DataFrame, size: int, percent: int, lower: bool, bits: int) -> Dat
             text = pc.if_else(pa.array(whole, type=pa.bool_()), batch.column(1), pa.scalar(None, batch.column(1).type))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(names, type=pa.binary()), pa.array(prefixes, type=pa.list_(pa.int64())), pa.array(places, type=pa.list_(pa.int32())), pa.array(alone, type=pa.int32()), text], names=["id", "n", "name", "prefix", "places", "alone", "text"])
 
-    return df.select("id", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n bigint, name binary, prefix array<bigint>, places array<int>, alone int, text string")
+    return df.select("id", "text").mapInArrow(tidy(run), f"id {df.schema['id'].dataType.simpleString()}, n bigint, name binary, prefix array<bigint>, places array<int>, alone int, text string")
 
 
 def _distances(pairs: DataFrame, texts: DataFrame, size: int, lower: bool) -> DataFrame:
@@ -121,7 +121,7 @@ def _distances(pairs: DataFrame, texts: DataFrame, size: int, lower: bool) -> Da
                     either.append(len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, type=pa.int64()), pa.array(either, type=pa.int64())], names=["pivot", "name", "both", "either"])
 
-    return rows.mapInArrow(run, "pivot binary, name binary, both bigint, either bigint")
+    return rows.mapInArrow(tidy(run), "pivot binary, name binary, both bigint, either bigint")
 
 
 def _active(regions: DataFrame) -> DataFrame:

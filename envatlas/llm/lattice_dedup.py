@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envatlas.llm.arrowtext import mix
-from envatlas.llm.shared import components, save
+from envatlas.llm.shared import components, save, tidy
 from envatlas.llm.vectors import usable
 
 THRESHOLD = 0.98
@@ -141,7 +141,7 @@ def dedup(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label
     rows = rows.withColumn("key", F.when(usable(F.col("v")) & F.col("label").isNotNull(), F.xxhash64("label", "v")))
     points = rows.where("key is not null").groupBy("key", "label", "v").agg(F.count("*").alias("count"), F.min("vec_id").alias("least")).withColumn("point", F.monotonically_increasing_id())
     points = save(points, "points")
-    posted = save(points.select("point", "label", "v").mapInArrow(lambda b: _posted(b, tables, probes, seed), "cell bigint, t int, point bigint, home boolean"), "cells")
+    posted = save(points.select("point", "label", "v").mapInArrow(tidy(lambda b: _posted(b, tables, probes, seed)), "cell bigint, t int, point bigint, home boolean"), "cells")
     sizes = posted.groupBy("cell", "t").agg(F.count("*").alias("n"), F.max("home").alias("home")).where("n > 1 and home").select("cell", "t", (F.ceil(F.col("n") / tile)).cast("int").alias("tiles"))
     member = posted.join(sizes, ["cell", "t"]).join(points.select("point", "label", "v", "count"), "point")
     member = member.withColumn("own", F.pmod(F.xxhash64("point"), F.col("tiles")).cast("int"))
@@ -192,7 +192,7 @@ def dedup(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label
         if held and (found := flush(True)):
             yield rows_(found)
 
-    found = save(dealt.mapInArrow(run, schema), "pairs")
+    found = save(dealt.mapInArrow(tidy(run), schema), "pairs")
     links = found.where("kind = 'links'").groupBy("point").agg(F.sum("n").alias("links"))
     joined = save(components(found.where("kind = 'edge'").select(F.col("point").alias("a"), F.col("other").alias("b"))), "components")
     named = points.select("key", "label", "v", "count", "least", "point").join(links, "point", "left").join(joined.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))

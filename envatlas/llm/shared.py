@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,21 @@ def column_named(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, after whose end a worker process, which Spark uses again, gives freed memory back to the system."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected `edges` (a, b), for each node with an edge.
 

@@ -18,10 +18,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from envatlas.llm.arrowtext import mix
+from envatlas.llm.shared import tidy
 
 _BLOCK = 16
 #: Values that a task holds before it sends their cells on.
-_HELD = 4 << 20
+_HELD = 2 << 20
 
 
 def cells_of(values: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -71,26 +72,35 @@ def sketch(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lists.setdefault(block, []).append(cells)
-        out: list[list] = [[], [], [], []]
-        for block, cells in lists.items():
-            seen = np.bincount(np.frombuffer(b"".join(cells), dtype=np.uint16), minlength=1 << _BLOCK)
+        """Blocks arrive one after the other, so that one block's counts are held at a time."""
+        types = [pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        now, seen = None, np.zeros(1 << _BLOCK, dtype=np.int64)
+
+        def done() -> pa.RecordBatch:
+            out: list[list] = [[], [], [], []]
             for t, level in enumerate(levels):
                 hit = np.flatnonzero(seen >= level)
                 if len(hit):
                     sparse = len(hit) < 1 << (_BLOCK - 4)
                     bits_ = hit.astype(np.uint16).tobytes() if sparse else np.packbits(seen >= level, bitorder="little").tobytes()
-                    for column, x in zip(out, (block, t, sparse, bits_), strict=True):
+                    for column, x in zip(out, (now, t, sparse, bits_), strict=True):
                         column.append(x)
-        types = [pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(out, types, strict=True)], names=["block", "level", "sparse", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(out, types, strict=True)], names=["block", "level", "sparse", "bits"])
+
+        for batch in batches:
+            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield done()
+                    now = block
+                    seen[:] = 0
+                seen += np.bincount(np.frombuffer(cells.as_buffer(), dtype=np.uint16), minlength=1 << _BLOCK)
+        if now is not None:
+            yield done()
 
     planes = np.zeros((rows, len(levels), 1 << (bits - 3)), dtype=np.uint8)
     span = 1 << (_BLOCK - 3)
-    merged = df.mapInArrow(partial, "block int, cells binary").repartition("block").mapInArrow(merge, "block int, level int, sparse boolean, bits binary")
+    merged = df.mapInArrow(tidy(partial), "block int, cells binary").repartition("block").sortWithinPartitions("block").mapInArrow(tidy(merge), "block int, level int, sparse boolean, bits binary")
     # the planes' size is bounded: few parts mean few fetches
     for r in merged.repartition(8).toLocalIterator():
         row, block = r.block >> (bits - _BLOCK), r.block & ((1 << (bits - _BLOCK)) - 1)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envatlas.llm.arrowtext import words
-from envatlas.llm.shared import column_named, cuts, key62, save
+from envatlas.llm.shared import column_named, cuts, key62, save, tidy
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -46,7 +46,7 @@ def with_sizes(df: DataFrame, text: str = "text", drop_text: bool = False) -> Da
             kept = [c for i, c in enumerate(batch.columns) if not (drop_text and i == where)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, type=pa.int64())], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def capped_targets(sizes: dict, weights: dict, share: float = SHARE, most: float = MOST_REPEATS) -> dict:

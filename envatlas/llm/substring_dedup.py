@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envatlas.llm.arrowtext import Words, inside, mix, runs, words
-from envatlas.llm.shared import column_named
+from envatlas.llm.shared import column_named, tidy
 from envatlas.llm.sketch import reaches, sketch
 
 WINDOW = 35
@@ -37,7 +37,7 @@ SKETCH_ROWS = 2
 INNER = 16
 ONE_IN = 4
 _MINIMIZER = 8
-_HELD = 2 << 20
+_HELD = 1 << 19
 
 
 def _windows(part: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def repeated_stretches(df: DataFrame, text: str = "text", key: str = "key", size
                     continue
                 at, w = at[hit], w[hit]
                 doc = np.searchsorted(part.at, at, side="right") - 1
-                held.append((keys[part.first + doc], at - part.at[doc], w, runs(h, size, 1)[at], _minimizers(h, size)[at]))
+                held.append((keys[part.first + doc], at - part.at[doc], w, runs(part.hashes(1), size, 1)[at], _minimizers(h, size)[at]))
                 n += len(at)
             if n >= _HELD:
                 yield _stretches(held)
@@ -105,10 +105,10 @@ def repeated_stretches(df: DataFrame, text: str = "text", key: str = "key", size
         if n:
             yield _stretches(held)
 
-    found = rows.mapInArrow(second, "mini long, key long, start int, n int, hashes binary")
+    found = rows.mapInArrow(tidy(second), "mini long, key long, start int, n int, hashes binary")
     # a stretch that is known to be repeated has no hashes; it goes on by its own key
-    dealt = found.repartition(F.coalesce("mini", "key"))
-    return dealt.mapInArrow(_confirm, "key long, start int, n int")
+    dealt = found.repartition(F.coalesce("mini", "key")).sortWithinPartitions("mini")
+    return dealt.mapInArrow(tidy(_confirm), "key long, start int, n int")
 
 
 def _stretches(held: list[tuple]) -> pa.RecordBatch:
@@ -152,24 +152,41 @@ def _stretches(held: list[tuple]) -> pa.RecordBatch:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of windows that stand in a partition more than once, or were seen so before."""
+    """The stretches of windows that stand in a partition more than once, or were seen so before.
+
+    Rows arrive in order of their minimizer and equal windows share one, so runs of whole minimizers are grouped each for itself.
+    """
     names = ["key", "start", "n"]
-    keys, starts, sizes, blobs = [], [], [], []
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         known = pc.is_null(batch.column(4))
-        done = pa.table([c.filter(known) for c in batch.columns[1:4]], names=names).to_batches()
-        yield from done
+        yield from pa.table([c.filter(known) for c in batch.columns[1:4]], names=names).to_batches()
         new = batch.filter(pc.invert(known))
-        keys.append(new.column(1).to_numpy(zero_copy_only=False))
-        starts.append(new.column(2).to_numpy(zero_copy_only=False))
-        sizes.append(new.column(3).to_numpy(zero_copy_only=False))
-        _, offsets, data = new.column(4).buffers()
-        o = np.frombuffer(offsets, dtype=np.int32)[new.column(4).offset : new.column(4).offset + len(new) + 1] if len(new) else np.zeros(1, np.int32)
-        blobs.append(np.frombuffer(data, dtype=np.uint8)[o[0] : o[-1]].copy() if len(new) else np.zeros(0, np.uint8))
-    if not keys or not sum(map(len, keys)):
+        if not len(new):
+            continue
+        mini = new.column(0).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(mini[1:] != mini[:-1]) + 1
+        windows = np.cumsum(new.column(3).to_numpy(zero_copy_only=False))
+        if held and held[-1].column(0)[-1].as_py() != mini[0]:
+            ends = np.append(0, ends)
+        at = 0
+        for end in ends.tolist():  # a new minimizer starts here
+            if size + (windows[end - 1] if end else 0) - (windows[at - 1] if at else 0) >= _HELD:
+                held.append(new.slice(at, end - at))
+                yield from _grouped(held, names)
+                held, size, at = [], 0, end
+        held.append(new.slice(at))
+        size += int(windows[-1] - (windows[at - 1] if at else 0))
+    if held:
+        yield from _grouped(held, names)
+
+
+def _grouped(held: list[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    key, start, n = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (1, 2, 3))
+    if not len(key):
         return
-    key, start, n = np.concatenate(keys), np.concatenate(starts), np.concatenate(sizes)
-    blob = np.concatenate(blobs).view(np.uint32).reshape(-1, 3)
+    blob = np.frombuffer(b"".join([x for b in held for x in b.column(4).to_pylist()]), dtype=np.uint32).reshape(-1, 3)
     w1 = np.ascontiguousarray(blob[:, :2]).view(np.uint64).ravel()
     w2, often = blob[:, 2] >> np.uint32(1), (blob[:, 2] & np.uint32(1)) == 1
     order = np.lexsort((w2, w1))
@@ -223,7 +240,7 @@ def dedup(df: DataFrame, text: str = "text", ident: str = "doc_id", size: int =
                     lone[1:] = (starts[1:] != ends[:-1] + 1) | (part.data[ends[:-1]] != 0x20) if len(starts) > 1 else True
                     at = np.flatnonzero(lone)
                     tails = ends[[*(at[1:] - 1), len(ends) - 1]] if len(at) else []
-                    raw = part.data.tobytes() if len(part.at) == 2 else None
+                    raw = part.data.tobytes() if len(part.at) == 2 else None  # of one document alone
                     pieces = [(raw[x:y] if raw is not None else part.data[x:y].tobytes()) for x, y in zip(starts[at].tolist(), list(tails), strict=True)]
                     text_ = b" ".join(pieces)
                     total.append(b - a)
@@ -234,4 +251,4 @@ def dedup(df: DataFrame, text: str = "text", ident: str = "doc_id", size: int =
             arrays = [pa.array(total, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(sums, type=pa.string()), *([pa.array(texts, type=pa.string())] if with_text else [])]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *arrays], names=[f.name for f in schema.fields])
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(tidy(run), schema)
