@@ -47,7 +47,10 @@ def resolve_exports(exports: DataFrame, wildcards: DataFrame, most: int = MOST_D
         named = through.join(links, ["t", "n"]).select("file_id", "exported_name", "res_kind", "res_name", "defining_file", F.lit(depth).alias("depth"), "way", "seen")
         wild = through.join(wildcards.select("file_id", "ord", F.col("target_file").alias("t")), "t").select("file_id", F.col("n").alias("exported_name"), "res_kind", "res_name", "defining_file", F.lit(depth).alias("depth"), F.concat(F.array(F.col("ord").cast("int")), "way").alias("way"), "seen")
         wild = wild.where("exported_name <> 'default'").join(own, ["file_id", "exported_name"], "left_anti")
-        new = settled(named.unionByName(wild).where(~F.array_contains("seen", F.col("file_id"))).withColumn("seen", F.concat("seen", F.array("file_id"))))
+        onward = named.unionByName(wild).where(~F.array_contains("seen", F.col("file_id")))
+        # of the ways to one definition the first counts, so that diamonds of re-exports don't multiply
+        best = onward.groupBy("file_id", "exported_name", "defining_file", "res_kind", "res_name").agg(F.min(F.struct("way", "depth", "seen")).alias("x"))
+        new = settled(best.select("file_id", "exported_name", "res_kind", "res_name", "defining_file", "x.depth", "x.way", F.concat("x.seen", F.array("file_id")).alias("seen")))
         if not new.limit(1).count():
             break
         facts = facts.unionByName(new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envatlas.functions import ranges
@@ -14,41 +14,76 @@ ROOT = 1
 def numbered(spans: DataFrame) -> DataFrame:
     """(file_id, scope_id, parent_id, kind, start, end, size): ids from 2 in order of start, the root is 1.
 
-    `spans` has file_id, kind, sl, sc, el, ec of properly nested scopes. A file's scopes are bounded by its text, so the join is per file.
+    `spans` has file_id, kind, sl, sc, el, ec of properly nested scopes. One sorted sweep a file: the parent is the last scope before that has not
+    ended, kept as the stack of open ends while the file's scopes pass. A file's scopes are bounded by its text.
     """
-    at = Window.partitionBy("file_id").orderBy("start", F.desc("end"))
     rows = spans.withColumns({"start": ranges.point(F.col("sl"), F.col("sc")), "end": ranges.point(F.col("el"), F.col("ec")), "size": ranges.size(F.col("sl"), F.col("sc"), F.col("el"), F.col("ec"))})
-    rows = rows.withColumn("scope_id", F.row_number().over(at) + 1)
-    outer = rows.select("file_id", F.col("scope_id").alias("parent"), F.col("start").alias("ps"), F.col("end").alias("pe"))
-    inner = rows.join(outer, "file_id", "left").where("parent is null or (parent < scope_id and ps <= start and pe >= end)")
-    best = inner.groupBy("file_id", "scope_id").agg(F.max("parent").alias("parent_id"))
-    return rows.join(best, ["file_id", "scope_id"], "left").select("file_id", "scope_id", F.coalesce("parent_id", F.lit(ROOT)).alias("parent_id"), "kind", "start", "end", "size")
+    one = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "kind", "size")))
+    empty = F.struct(F.array().cast("array<struct<id:int,end:bigint>>").alias("open"), F.array().cast("array<int>").alias("parents"))
+
+    def step(state: Column, x: Column) -> Column:
+        still = F.filter(state["open"], lambda o: o["end"] >= -x["back"])
+        own = F.size(state["parents"]) + 2
+        parent = F.when(F.size(still) > 0, F.element_at(still, -1)["id"]).otherwise(F.lit(ROOT))
+        return F.struct(F.concat(still, F.array(F.struct(own.alias("id"), (-x["back"]).alias("end")))).alias("open"), F.concat(state["parents"], F.array(parent)).alias("parents"))
+
+    files = rows.groupBy("file_id").agg(one.alias("s")).withColumn("p", F.aggregate("s", empty, step, lambda state: state["parents"]))
+    each = files.select("file_id", F.posexplode(F.arrays_zip("s", "p")).alias("i", "x"))
+    return each.select("file_id", (F.col("i") + 2).alias("scope_id"), F.col("x.p").alias("parent_id"), F.col("x.s.kind").alias("kind"), F.col("x.s.start").alias("start"), (-F.col("x.s.back")).alias("end"), F.col("x.s.size").alias("size"))
 
 
 def scope_at(probes: DataFrame, scopes: DataFrame, key: str = "file_id", probe: str = "probe_id", at: str = "at") -> DataFrame:
-    """Adds scope_id, the smallest scope that holds the position, ties to the least id; the root where none does."""
-    s = scopes.select(key, "scope_id", "start", "end", "size")
-    hits = probes.join(s, key).where(ranges.contains_position(F.col("start"), F.col("end"), F.col(at)))
+    """Adds scope_id, the smallest scope that holds the position, ties to the least id; the root where none does.
+
+    Scopes are posted to the largest aligned blocks of positions that they fill or overlap: a scope of length n to the blocks of the power of two
+    at least n (two at most), and a probe to its block of each size that occurs. So a probe meets, by equality, few scopes but those around it.
+    """
+    s = scopes.select(key, "scope_id", "start", "end", "size").where(F.col("end") > F.col("start"))
+    level = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)))).cast("int")
+    s = s.withColumn("level", level)
+    s = s.withColumn("block", F.explode(F.array_distinct(F.array(F.expr("shiftright(start, level)"), F.expr("shiftright(end - 1, level)")))))
+    levels = s.groupBy(key).agg(F.collect_set("level").alias("levels"))  # 63 a file at most
+    asked = probes.select(key, probe, at).join(levels, key).withColumn("level", F.explode("levels")).withColumn("block", F.expr(f"shiftright({at}, level)"))
+    hits = asked.join(s, [key, "level", "block"]).where(ranges.contains_position(F.col("start"), F.col("end"), F.col(at)))
     best = hits.groupBy(key, probe).agg(F.min(F.struct("size", "scope_id")).alias("best"))
     return probes.join(best, [key, probe], "left").select(*probes.columns, F.coalesce("best.scope_id", F.lit(ROOT)).alias("scope_id"))
 
 
-def closure(scopes: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(file_id, scope_id, ancestor_id, depth): each scope's ancestors, itself at depth 0, the root last.
+def closure(scopes: DataFrame) -> DataFrame:
+    """(file_id, scope_id, ancestor_id, depth): each scope's ancestors, itself at depth 0, the root last, at any depth.
 
-    Each round joins the rows of the largest depth with all rows so far, which doubles the depth reached.
+    Each round joins the rows of the largest depth with all rows so far, which doubles the depth reached, until no row has it.
     """
     known = scopes.select("file_id", "scope_id", F.explode(F.array(F.struct(F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("depth")), F.struct(F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")))).alias("x")).select("file_id", "scope_id", "x.*")
     known, reach = settled(known), 1
-    while reach < most_levels:
+    while True:
         front = known.where(F.col("depth") == reach)
-        on = known.where("depth > 0").select("file_id", F.col("scope_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"), F.col("depth").alias("more"))
         if not front.limit(1).count():
-            break
-        known = known.unionByName(front.join(on, ["file_id", "ancestor_id"]).select("file_id", "scope_id", F.col("next").alias("ancestor_id"), (F.col("depth") + F.col("more")).alias("depth")))
-        known = settled(known)
+            return known
+        on = known.where("depth > 0").select("file_id", F.col("scope_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"), F.col("depth").alias("more"))
+        known = settled(known.unionByName(front.join(on, ["file_id", "ancestor_id"]).select("file_id", "scope_id", F.col("next").alias("ancestor_id"), (F.col("depth") + F.col("more")).alias("depth"))))
         reach *= 2
-    return known
+
+
+def overlapping(scopes: DataFrame, windows: DataFrame) -> DataFrame:
+    """(file_id, scope_id, window_id) of scopes that overlap windows (file_id, window_id, start, end); touching is not overlapping.
+
+    Both sides are dealt into buckets of 64 lines and meet where the later one begins, so that a long file's scopes don't all meet all windows.
+    """
+    a = bucketed(scopes.select("file_id", "scope_id", "start", "end"), "start", "end")
+    b = bucketed(windows.select("file_id", "window_id", F.col("start").alias("ws"), F.col("end").alias("we")), "ws", "we")
+    hit = a.join(b, ["file_id", "bucket"]).where(ranges.overlap(F.col("start"), F.col("end"), F.col("ws"), F.col("we")))
+    return hit.where(F.col("bucket") == F.greatest(bucket(F.col("start")), bucket(F.col("ws")))).select("file_id", "scope_id", "window_id")
+
+
+def bucket(point: Column) -> Column:
+    """The bucket of 64 lines that a position of ranges.point() stands in."""
+    return F.shiftright(point, 32 + 6)
+
+
+def bucketed(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each bucket of lines that a span touches."""
+    return rows.withColumn("bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
 
 
 def is_visible(closure_: DataFrame, from_: Column, target: Column) -> Column:

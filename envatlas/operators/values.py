@@ -26,16 +26,22 @@ def interpolated(values: DataFrame, enabled: bool = True, most: int = MOST_DEPTH
     """
     if not enabled:
         return values.select("key", "value")
+    return interpolated_in(values.select(F.lit("").alias("package_root"), "key", "value"), most).select("key", "value")
+
+
+def interpolated_in(values: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
+    """interpolated() of the values of many packages at once (package_root, key, value); names stand for values of the same package."""
     ref = r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}"
-    base = values.select(F.col("key").alias("name"), F.col("value").alias("to"))
-    now = settled(values.select("key", "value"))
+    base = values.select("package_root", F.col("key").alias("name"), F.col("value").alias("to"))
+    now = settled(values.select("package_root", "key", "value"))
     for _ in range(most):
         open_ = now.where(F.col("value").rlike(ref))
         if not open_.limit(1).count():
             break
-        parts = open_.select("key", F.split("value", ref, -1).alias("texts"), F.regexp_extract_all("value", F.lit(ref), 1).alias("names"))
-        each = parts.select("key", F.posexplode("names").alias("i", "name")).join(base, "name", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("to", F.lit("")).alias("to")))).alias("tos"))
-        filled = parts.join(each, "key").select("key", F.array_join(F.zip_with("texts", "tos", lambda a, b: F.concat(a, F.coalesce(b["to"], F.lit("")))), "").alias("value"))
+        parts = open_.select("package_root", "key", F.split("value", ref, -1).alias("texts"), F.regexp_extract_all("value", F.lit(ref), 1).alias("names"))
+        each = parts.select("package_root", "key", F.posexplode("names").alias("i", "name")).join(base, ["package_root", "name"], "left")
+        each = each.groupBy("package_root", "key").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("to", F.lit("")).alias("to")))).alias("tos"))
+        filled = parts.join(each, ["package_root", "key"]).select("package_root", "key", F.array_join(F.zip_with("texts", "tos", lambda a, b: F.concat(a, F.coalesce(b["to"], F.lit("")))), "").alias("value"))
         now = settled(now.where(~F.col("value").rlike(ref) | F.col("value").isNull()).unionByName(filled))
     return now
 

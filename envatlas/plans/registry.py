@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from envatlas.functions import ranges, text
 from envatlas.operators import locations, modules, scopes, symbols, values
-from envatlas.sources import dotenv, extract, languages
+from envatlas.sources import dotenv
 from envatlas.streaming import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-LINES = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,47 +33,6 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-# Extraction: a file holds the snippets of LINES parts, every third one in a comment.
-SNIPPETS = {
-    "javascript": ("const a{k} = process.env.", ";"), "typescript": ("let a{k} = process.env['", "']!;"), "typescriptreact": ("const a{k} = import.meta.env.", ";"), "python": ("a{k} = os.environ.get('", "')"),
-    "rust": ('let a{k} = std::env::var("', '").unwrap();'), "go": ('a{k} := os.Getenv("', '")'), "lua": ('local a{k} = os.getenv("', '")'), "php": ("$a{k} = $_ENV['", "'];"), "ruby": ("a{k} = ENV.fetch('", "')"),
-    "bash": ('a{k}="${{', ':-x}}"'), "c": ('char *a{k} = getenv("', '");'), "cpp": ('auto a{k} = std::getenv("', '");'), "java": ('String a{k} = System.getenv("', '");'), "kotlin": ('val a{k} = System.getenv("', '")'),
-    "csharp": ('var a{k} = Environment.GetEnvironmentVariable("', '");'), "elixir": ('a{k} = System.get_env("', '")'), "zig": ('const a{k} = std.posix.getenv("', '");'),
-}
-
-
-def snippets(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
-    """(file_id, lang, content) made of the part keys."""
-    a, b = (x.replace("{{", "{").replace("}}", "}") for x in SNIPPETS[lang])
-    before, after = a.split("{k}")
-    comment = languages.BY_NAME[lang].line_comment + " "
-    k = F.col("p_partkey").cast("string")
-    line = F.concat(F.when(F.col("p_partkey") % 3 == 0, comment).otherwise(""), F.lit(before), k, F.lit(after), F.lit("VAR_"), k, F.lit(b))
-    parts = table(spark, sf_dir, "part").select(F.expr(f"p_partkey div {LINES}").alias("file_id"), F.struct("p_partkey", line.alias("line")).alias("x"))
-    return parts.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("content")).select("file_id", F.lit(lang).alias("lang"), "content")
-
-
-def _snippet_sql(lang: str, kind: str) -> str:
-    a = SNIPPETS[lang][0].replace("{{", "{").replace("}}", "}")
-    before, after = (x.replace("'", "''") for x in a.split("{k}"))
-    own, name = ("'VAR_' || p_partkey", f"length('{before}' || p_partkey || '{after}')") if kind == "reference" else (("'$a'" if lang == "php" else "'a'") + " || p_partkey", f"length('{before[:-1] if not before.endswith('$a') else before[:-2]}')")
-    key = "'VAR_' || p_partkey" if kind == "binding" else "NULL::VARCHAR"
-    return f"""SELECT file_id, name, key, nsl, nsc FROM (SELECT p_partkey // {LINES} AS file_id, {own} AS name, {key} AS key,
-        CAST(row_number() OVER (PARTITION BY p_partkey // {LINES} ORDER BY p_partkey) - 1 AS INTEGER) AS nsl, CAST({name} AS INTEGER) AS nsc, p_partkey AS k FROM part) WHERE k % 3 <> 0"""
-
-
-def _extraction(lang: str, kind: str) -> None:
-    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return extract.extract(snippets(spark, sf_dir, lang)).where(F.col("kind") == kind).select("file_id", "name", "key", "nsl", "nsc")
-
-    query(_snippet_sql(lang, kind), f"ext{'03_refs' if kind == 'reference' else '05_bindings'}_{lang}")(f)
-
-
-for _lang in SNIPPETS:
-    _extraction(_lang, "reference")
-    _extraction(_lang, "binding")
-
-
 # Dotenv
 @query("""SELECT n_regionkey AS file_id, upper(replace(n_name, ' ', '_')) AS key, CASE WHEN n_nationkey % 4 = 3 THEN '' ELSE 'v ' || n_nationkey END AS value FROM nation WHERE n_nationkey % 5 <> 4""")
 def src04_dotenv(spark, sf_dir):
@@ -178,11 +136,11 @@ def jn03_usages(spark, sf_dir):
     return symbols.usages(_probes(spark, sf_dir), c, _order_symbols(spark, sf_dir)).select("probe_id", "symbol_id")
 
 
-@query(f"""WITH RECURSIVE {_CLOSURE}, {_SYMBOLS}, re AS (SELECT DISTINCT 'n' || (p_size % 40) AS name, p_partkey % 30 + 1 AS scope_id FROM part WHERE p_partkey % 11 = 0)
+@query(f"""WITH RECURSIVE {_CLOSURE}, {_SYMBOLS}, re AS (SELECT DISTINCT 'n' || (p_size % 40) AS name, p_partkey % 30 + 1 AS scope_id FROM part WHERE p_size < 6)
     SELECT symbol_id, is_valid AND NOT EXISTS (SELECT 1 FROM up JOIN re ON re.scope_id = up.ancestor_id WHERE up.scope_id = sym.scope_id AND re.name = sym.name) AS is_valid FROM sym""")
 def jn08_invalidate(spark, sf_dir):
     c = scopes.closure(_supplier_scopes(spark, sf_dir))
-    again = table(spark, sf_dir, "part").where("p_partkey % 11 = 0").select(F.lit(0).cast("bigint").alias("file_id"), F.concat(F.lit("n"), F.col("p_size") % 40).alias("name"), (F.col("p_partkey") % 30 + 1).alias("scope_id"))
+    again = table(spark, sf_dir, "part").where("p_size < 6").select(F.lit(0).cast("bigint").alias("file_id"), F.concat(F.lit("n"), F.col("p_size") % 40).alias("name"), (F.col("p_partkey") % 30 + 1).alias("scope_id"))
     return symbols.invalidated(_order_symbols(spark, sf_dir), again, c).select("symbol_id", "is_valid")
 
 
@@ -245,15 +203,20 @@ def agg09_line_cap(spark, sf_dir):
 def _values(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.lit("Shell").alias("source"), F.lit(None).cast("string").alias("source_path"), F.lit(0).alias("file_rank"), F.concat(F.lit("K"), F.col("c_custkey") % 300).alias("key"), F.concat(F.lit("c"), F.col("c_custkey") % 300).alias("value"))
     s = table(spark, sf_dir, "supplier").select(F.lit("Remote"), F.lit("vault"), F.lit(0), F.concat(F.lit("K"), F.col("s_suppkey") * 5), F.concat(F.lit("s"), F.col("s_suppkey")))
-    p = table(spark, sf_dir, "part").where("p_partkey <= 900").select(F.lit("File"), F.concat(F.lit(".env"), F.col("p_partkey") % 2), (F.col("p_partkey") % 2).cast("int"), F.concat(F.lit("K"), F.expr("p_partkey div 2")), F.concat(F.lit("p"), F.col("p_partkey")))
+    p = table(spark, sf_dir, "part").select(F.lit("File"), F.concat(F.lit(".env"), F.col("p_partkey") % 2), (F.col("p_partkey") % 2).cast("int"), F.concat(F.lit("K"), F.expr("p_partkey div 2")), F.concat(F.lit("p"), F.col("p_partkey")))
     return c.distinct().union(s).union(p)
 
 
 _VALUES = """v AS (SELECT DISTINCT 'Shell' AS source, NULL AS path, 0 AS r, 'K' || (c_custkey % 300) AS key, 'c' || (c_custkey % 300) AS value FROM customer UNION ALL SELECT 'Remote', 'vault', 0, 'K' || (s_suppkey * 5), 's' || s_suppkey FROM supplier
-    UNION ALL SELECT 'File', '.env' || (p_partkey % 2), p_partkey % 2, 'K' || (p_partkey // 2), 'p' || p_partkey FROM part WHERE p_partkey <= 900)"""
+    UNION ALL SELECT 'File', '.env' || (p_partkey % 2), p_partkey % 2, 'K' || (p_partkey // 2), 'p' || p_partkey FROM part)"""
 _MERGED = f"{_VALUES}, m AS (SELECT key, value, source FROM v WHERE source <> 'Remote' QUALIFY row_number() OVER (PARTITION BY key ORDER BY CASE source WHEN 'File' THEN 0 ELSE 1 END, r DESC) = 1)"
 
 
+def _used_name():
+    c = F.col("o_custkey")
+    return F.when(c % 7 == 0, F.concat(F.lit("U"), c % 50)).otherwise(F.concat(F.lit("K"), (c * 3) % 700))
+
+
 def _merged(spark, sf_dir):
     return values.merged(_values(spark, sf_dir), spark.createDataFrame([("File", 0), ("Shell", 1)], "source string, source_rank int"))
 
@@ -272,15 +235,15 @@ def rec05_interpolation(spark, sf_dir):
     return values.interpolated(n.union(a).union(b))
 
 
-@query(f"WITH {_MERGED} SELECT DISTINCT 'K' || ((o_custkey * 3) % 700) AS name FROM orders WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.key = 'K' || ((o_custkey * 3) % 700))")
+@query(f"WITH {_MERGED} SELECT DISTINCT CASE WHEN o_custkey % 7 = 0 THEN 'U' || (o_custkey % 50) ELSE 'K' || ((o_custkey * 3) % 700) END AS name FROM orders WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.key = CASE WHEN o_custkey % 7 = 0 THEN 'U' || (o_custkey % 50) ELSE 'K' || ((o_custkey * 3) % 700) END)")
 def jn16_undefined(spark, sf_dir):
-    used = table(spark, sf_dir, "orders").select(F.concat(F.lit("K"), (F.col("o_custkey") * 3) % 700).alias("name")).distinct()
+    used = table(spark, sf_dir, "orders").select(_used_name().alias("name")).distinct()
     return values.undefined(used, _merged(spark, sf_dir))
 
 
-@query(f"WITH {_MERGED} SELECT key FROM m WHERE NOT EXISTS (SELECT 1 FROM orders WHERE m.key = 'K' || ((o_custkey * 3) % 700))")
+@query(f"WITH {_MERGED} SELECT key FROM m WHERE NOT EXISTS (SELECT 1 FROM orders WHERE m.key = CASE WHEN o_custkey % 7 = 0 THEN 'U' || (o_custkey % 50) ELSE 'K' || ((o_custkey * 3) % 700) END)")
 def set02_unused(spark, sf_dir):
-    used = table(spark, sf_dir, "orders").select(F.concat(F.lit("K"), (F.col("o_custkey") * 3) % 700).alias("name")).distinct()
+    used = table(spark, sf_dir, "orders").select(_used_name().alias("name")).distinct()
     return values.unused(_merged(spark, sf_dir), used).select("key")
 
 
@@ -289,9 +252,9 @@ def jn17_definition(spark, sf_dir):
     return values.first_definition(table(spark, sf_dir, "part").select(F.concat(F.lit("K"), F.col("p_partkey") % 97).alias("key"), F.col("p_size").alias("file_rank"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") % 5).alias("file_id")))
 
 
-@query(f"WITH {_MERGED} SELECT key || '=' AS line FROM (SELECT key FROM m UNION SELECT 'K' || ((o_custkey * 3) % 700) FROM orders)")
+@query(f"WITH {_MERGED} SELECT key || '=' AS line FROM (SELECT key FROM m UNION SELECT CASE WHEN o_custkey % 7 = 0 THEN 'U' || (o_custkey % 50) ELSE 'K' || ((o_custkey * 3) % 700) END FROM orders)")
 def set01_env_example(spark, sf_dir):
-    used = table(spark, sf_dir, "orders").select(F.concat(F.lit("K"), (F.col("o_custkey") * 3) % 700).alias("name"))
+    used = table(spark, sf_dir, "orders").select(_used_name().alias("name"))
     return values.example(used.union(_merged(spark, sf_dir).select("key")))
 
 
@@ -333,37 +296,6 @@ def dst02_last_export(spark, sf_dir):
     return modules.last_exports(table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("file_id"), F.concat(F.lit("X"), F.col("n_nationkey") % 3).alias("exported_name"), F.col("n_nationkey").alias("ord")))
 
 
-# Endpoints
-@query(f"WITH {_LOCATIONS} SELECT file_id, sl, sc, kind FROM loc WHERE name = 'V7' AND kind <> 'BindingUsage'")
-def qry04_references(spark, sf_dir):
-    return _locations(spark, sf_dir).where((F.col("name") == "V7") & (F.col("kind") != "BindingUsage")).select("file_id", "sl", "sc", "kind")
-
-
-@query(f"WITH {_LOCATIONS} SELECT name, min(file_id) AS file_id FROM loc WHERE contains(lower(name), lower('v1')) GROUP BY name")
-def qry05_workspace_symbols(spark, sf_dir):
-    return _locations(spark, sf_dir).where(F.contains(F.lower("name"), F.lower(F.lit("v1")))).groupBy("name").agg(F.min("file_id").alias("file_id")).orderBy("name")
-
-
-@query(f"WITH {_LOCATIONS} SELECT file_id, count(*) AS edits, CAST(min(sl) AS BIGINT) AS first_line FROM loc WHERE name = 'V7' AND kind IN ('DirectReference', 'BindingDeclaration', 'PropertyAccess') GROUP BY 1")
-def qry07_rename(spark, sf_dir):
-    hit = _locations(spark, sf_dir).where((F.col("name") == "V7") & F.col("kind").isin("DirectReference", "BindingDeclaration", "PropertyAccess"))
-    return hit.groupBy("file_id").agg(F.count("*").alias("edits"), F.min("sl").cast("bigint").alias("first_line"))
-
-
-@query(f"""WITH {_LOCATIONS}, {_MERGED} SELECT file_id, sl, sc, hint FROM (SELECT file_id, sl, sc, CASE WHEN value = '' THEN '*(empty)*' ELSE value END AS hint, row_number() OVER (PARTITION BY file_id, sl ORDER BY sc) AS rn FROM loc JOIN m ON m.key = 'K' || substr(name, 2) WHERE sl >= 20 AND sl < 60) WHERE rn <= 2""")
-def qry10_inlay_hints(spark, sf_dir):
-    v = _merged(spark, sf_dir)
-    loc = _locations(spark, sf_dir).where("sl >= 20 and sl < 60").withColumn("key", F.concat(F.lit("K"), F.substring("name", F.lit(2), F.length("name"))))
-    return locations.capped(loc.join(v, "key"), ["file_id", "sl"], ["sc"], 2).select("file_id", "sl", "sc", text.shown(F.col("value")).alias("hint"))
-
-
-@query(f"WITH {_LOCATIONS}, {_MERGED} SELECT file_id, sl, sc, name, 'undefined-env-var' AS code FROM loc WHERE kind = 'DirectReference' AND NOT EXISTS (SELECT 1 FROM m WHERE m.key = 'K' || substr(name, 2) || '0')")
-def qry08_diagnostics(spark, sf_dir):
-    loc = _locations(spark, sf_dir).where("kind = 'DirectReference'")
-    known = _merged(spark, sf_dir).where("key like '%0'").select(F.concat(F.lit("V"), F.expr("substring(key, 2, length(key) - 2)")).alias("key"))
-    return values.undefined(loc, known).select("file_id", "sl", "sc", "name", F.lit("undefined-env-var").alias("code"))
-
-
 # Incremental
 @query("""SELECT user_id, first_edit, version, edits FROM (SELECT user_id, burst, min(ts) AS first_edit, max(event_id) AS version, count(*) AS edits FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM
     (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY 1, 2)""")
@@ -379,10 +311,10 @@ def str05_stale(spark, sf_dir):
     return index.stale(o, old).select("file_id")
 
 
-@query("SELECT DISTINCT l_orderkey AS file_id FROM lineitem WHERE l_partkey % 50 = 0")
+@query("SELECT DISTINCT l_orderkey AS file_id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 50")
 def str07_dirty(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("target_id"))
-    return index.dirty(table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("file_id")), edges)
+    return index.dirty(table(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("file_id")), edges)
 
 
 @query("SELECT l_orderkey AS file_id, l_partkey AS target_id FROM lineitem WHERE l_orderkey % 9 <> 0 AND l_partkey % 9 <> 0")

@@ -1,7 +1,9 @@
-"""One pass over source files: references, bindings, assignments, destructures, reassignments, identifiers, imports, exports and scopes.
+"""One pass over source files: references, bindings, assignments, destructures, reassignments, identifiers, imports, exports, property
+accesses, scopes and syntax errors.
 
-Every fact is a row (file_id, kind, ord, name, key, source, module, alias, range, name range). Positions are zero based, ranges half open.
-Null content has no facts. Matches in comments are dropped. Strings are not, except for identifiers.
+Every fact is a row (file_id, kind, ord, name, key, source, module, alias, range, name range, key range, scope). Positions are zero based,
+ranges half open. `scope` is the innermost scope around the name (1: the file itself), as the scopes of a file are known when its facts are made;
+a scope's own row has its parent there, its id in `own`, and its ids up to the file in `path`, so that nesting needs no join. Null content and unknown languages have no facts. Nothing in a comment or a string is a fact, but for code that a string interpolates.
 """
 
 from __future__ import annotations
@@ -12,190 +14,507 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from envatlas.sources.languages import BY_EXTENSION, BY_NAME, Language
+from envatlas.sources.languages import BY_EXTENSION, BY_ID, BY_NAME, END, Language
+from envatlas.sources.lexing import Code, scan
 
-_BLOCK = re.compile(r"(?:\)|=>|\b(?:try|do|finally|unsafe|loop|impl|trait|interface|struct|enum|namespace|object)\b[^{;=]*)\s*\{$")
-SCHEMA = "file_id bigint, kind string, ord int, name string, key string, source string, module string, alias string, sl int, sc int, el int, ec int, nsl int, nsc int, nel int, nec int"
-_STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
+_POSITIONS = ", ".join(f"{a}{b} int" for a in ("", "n", "k") for b in ("sl", "sc", "el", "ec"))
+SCHEMA = f"file_id bigint, kind string, ord int, name string, key string, source string, module string, alias string, {_POSITIONS}, scope int, own int, path array<int>"
+FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
+_END = re.compile(END)
+_TAIL = re.compile(r"(?:\s+as\s+[\w$<>\[\]. |&{}:;'\"]+|!)+$")
+_PROPERTY = re.compile(r"\s*(?P<key>[A-Za-z_$][\w$]*)(?:\s*:\s*(?P<local>[A-Za-z_$][\w$]*))?(?:\s*=[\s\S]*)?\s*$")
+_KEYWORDS = frozenset("true false null undefined None True False nil this self super new function await if else return for while do end then not and or in is let const var def class import from export default async static public private yield throw try catch typeof void delete match pub use mut fn func package type struct".split())
+_CLOSERS = frozenset(("end", "until", "fi", "done", "esac"))
+_BASH_BLOCKS = r"(?:(?<=\n)|(?<=[;&|])|^)[ \t]*(?:if|case|do)\b|(?:(?<=\n)|(?<=[;&|])|^)[ \t]*(?:fi|esac|done)\b"
+_METHOD = re.compile(r"\)\s*(?:(?:->|:)\s*[^{=;]+|throws\s+[\w., ]+|const|override|noexcept|where\s[^{]*)?\s*$")
+MOST_SHOWN = 30
 
 
 @lru_cache(64)
-def _comments(lang: str) -> re.Pattern:
+def _patterns(lang: str) -> dict[str, list[re.Pattern]]:
     spec = BY_NAME[lang]
-    parts = [r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"]
-    if spec.block_comment:
-        a, b = map(re.escape, spec.block_comment)
-        parts.append(rf"(?P<block>{a}[\s\S]*?(?:{b}|\Z))")
-    lead = r"(?<![$\w{])" if lang == "bash" else ""
-    parts.append(rf"(?P<line>{lead}{re.escape(spec.line_comment)}[^\n]*)")
-    return re.compile("|".join(parts))
+    return {
+        "reference": [re.compile(r) for r in spec.references],
+        "declare": [re.compile(rf"(?<![\w.$@]){d}") for d in spec.declares],
+        "keyed": [re.compile(k) for k in spec.keyed],
+        "object": [re.compile(spec.object_alias)] if spec.object_alias else [],
+        "extra": [re.compile(e) for e in spec.extra_bindings],
+        "reassign": [re.compile(spec.reassigns.replace("%s", spec.identifier))],
+        "import": [re.compile(p) for p in spec.imports],
+        "export": [re.compile(p) for p in spec.exports],
+        "identifier": [re.compile(rf"(?<![\w$.])(?<![\w$]\s\.)({spec.identifier})")],
+    }
 
 
-def without_comments(text: str, lang: str) -> str:
-    """The text with comments blanked, every other character in its place."""
-    return _comments(lang).sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m.lastgroup else m[0], text)
+def _listed(text: str, at: int) -> Iterator[tuple[str, str, tuple[int, int], tuple[int, int]]]:
+    """(name, local name, span of the name, span of the local one) of a list of names with `as`."""
+    for m in re.finditer(r"(?:\btype\s+)?([A-Za-z_$*][\w$]*)(?:\s+as\s+([\w$]+)|\s*:\s*([\w$]+))?(?:\s*=\s*[^,]*)?", text):
+        group = 2 if m[2] else 3 if m[3] else 1
+        yield m[1], m[group], (at + m.start(1), at + m.end(1)), (at + m.start(group), at + m.end(group))
 
 
-@lru_cache(64)
-def _patterns(lang: str) -> dict[str, list[re.Pattern]]:
-    spec = BY_NAME[lang]
-    ident, refs = spec.identifier, "|".join(re.sub(r"\?P<\w+>", "?:", r) for r in spec.references)
-    target = rf"(?P<target>{ident})"
-    out = {
-        "reference": [re.compile(r) for r in spec.references],
-        "binding": [re.compile(rf"(?<![\w.$]){spec.declare}{target}\s*{spec.operator}\s*[\"']?(?P<value>{refs})")],
-        "assignment": [re.compile(rf"(?<![\w.$])(?:{spec.declare})?{target}\s*{spec.operator}\s*(?P<source>{ident})\s*(?=[;\n]|$)")],
-        "destructure": [re.compile(rf"(?<![\w.$])(?:{spec.declare})?{target}\s*{spec.operator}\s*(?P<source>{ident})(?:\[\s*[\"'](?P<key>\w+)[\"']\s*\]|\.(?:get\(\s*[\"'](?P<key2>\w+)[\"']\s*\)|(?P<key3>[A-Za-z_]\w*)\s*(?=[;\n]|$)))")],
-        "reassignment": [re.compile(rf"(?m)(?:^|[;{{}}])[ \t]*{target}\s*{'=' if lang == 'bash' else '=(?![=>])'}")],
-    }
-    if spec.object_alias:
-        out["object"] = [re.compile(rf"(?<![\w.$]){spec.declare}{target}\s*{spec.operator}\s*{spec.object_alias}")]
-    if spec.name in ("javascript", "typescript", "typescriptreact"):
-        out["pattern"] = [re.compile(rf"(?:const|let|var)\s*\{{(?P<list>[^{{}}]*)\}}\s*=\s*(?P<source>process\.env|{ident})")]
-    out["import"], out["export"] = [re.compile(p) for p in spec.imports], [re.compile(p) for p in spec.exports]
+def _value_end(bare: str, i: int, pairs: dict[int, int]) -> int:
+    """Where an expression that starts at i ends: at a comma, a semicolon, a closing bracket or a line's end after which nothing carries on."""
+    for _ in range(len(bare)):
+        m = re.compile(r"[,;\n()\[\]{}]").search(bare, i)
+        if not m:
+            return len(bare)
+        c, at = m[0], m.start()
+        if c in "([{":
+            if at not in pairs:
+                return len(bare)
+            i = pairs[at] + 1
+        elif c == "\n":
+            before, after = bare[max(0, at - 200) : at].rstrip(), bare[at : at + 200].lstrip()
+            if not ((before and before[-1] in "=+-*/%&|^<>?:,.([{!~") or (after and after[0] in ".?:+-*/%&|=<>" and after[:2] not in ("//", "++", "--"))):
+                return at
+            i = at + 1
+        else:
+            return at
+    return len(bare)
+
+
+def _items(bare: str, span: tuple[int, int], pairs: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """What stands between the commas of a list."""
+    start = i = span[0]
+    for m in re.compile(r"[,(\[{]").finditer(bare, *span):
+        if m.start() < i:
+            continue
+        if m[0] == ",":
+            yield start, m.start()
+            start = i = m.end()
+        else:
+            i = pairs.get(m.start(), span[1]) + 1
+    yield start, span[1]
+
+
+def _declarators(code: Code, pairs: dict[int, int]) -> Iterator[tuple[tuple[int, int], bool, tuple[int, int], int]]:
+    """(span of the name or of the inside of a pattern, whether it is a pattern, span of the value, start) of JavaScript declarations."""
+    bare = code.bare
+    ident, space, typed = re.compile(r"[A-Za-z_$][\w$]*"), re.compile(r"\s*"), re.compile(r"\s*!?\s*:\s*(?:[^=,;\n<{]|<[^<>]*>|\{[^{}]*\})*")
+    for m in re.finditer(r"(?<![\w$.])(?:const|let|var)\s+", bare):
+        p = m.end()
+        while p < len(bare):
+            p = space.match(bare, p).end()
+            start = p
+            if bare[p : p + 1] in ("{", "["):
+                close = pairs.get(p)
+                if close is None:
+                    break
+                name, pattern, p = (p + 1, close), bare[p] == "{", close + 1
+            elif i := ident.match(bare, p):
+                name, pattern, p = i.span(), False, i.end()
+            else:
+                break
+            if t := typed.match(bare, p):
+                p = t.end()
+            e = re.compile(r"\s*=(?![=>])\s*").match(bare, p)
+            if not e:
+                if not re.compile(r"\s*,").match(bare, p):
+                    break
+                p = bare.index(",", p) + 1
+                continue
+            end = _value_end(bare, e.end(), pairs)
+            yield name, pattern, (e.end(), end), start
+            if bare[end : end + 1] != ",":
+                break
+            p = end + 1
+
+
+def _python_scopes(code: Code, pairs: dict[int, int]) -> list[tuple[str, int, int]]:
+    bare, out, stack, covered, at, last = code.bare, [], [], -1, 0, 0
+    closing = sorted(pairs.items())
+    starts = [a for a, _ in closing]
+    for line in bare.splitlines(keepends=True):
+        begin, end, body = at, at + len(line.rstrip()), line.strip()
+        at += len(line)
+        if not body or begin < covered:
+            last = max(last, end) if body else last
+            continue
+        indent = len(line) - len(line.lstrip())
+        while stack and stack[-1][0] >= indent:
+            _, kind, a = stack.pop()
+            out.append((kind, a, last))
+        i = bisect_right(starts, begin - 1)
+        while i < len(closing) and closing[i][0] < end:
+            if closing[i][1] > end:  # a logical line of several
+                covered = max(covered, closing[i][1])
+                end = max(end, closing[i][1])
+            i += 1
+        word = re.match(r"(?:async\s+)?(\w+)", body)
+        kinds = {"def": "Function", "class": "Class", "for": "Loop", "while": "Loop", "if": "Conditional", "elif": "Conditional", "else": "Conditional", "match": "Conditional", "case": "Conditional", "with": "Block", "try": "Block", "except": "Block", "finally": "Block"}
+        if word and word[1] in kinds and re.search(r":\s*(?:$|\S)", bare[begin : bare.find("\n", end) if bare.find("\n", end) >= 0 else len(bare)]) and not (word[1] in ("match", "case") and not body.endswith(":")):
+            stack.append((indent, kinds[word[1]], begin + indent))
+        last = max(last, end)
+    while stack:
+        _, kind, a = stack.pop()
+        out.append((kind, a, last))
     return out
 
 
-def _names(text: str, at: int) -> Iterator[tuple[str, str, int, int]]:
-    """(name, local name, start, end of the local name) in a list of names with `as`, `:` and defaults."""
-    for m in re.finditer(r"([A-Za-z_$*][\w$]*)(?:\s+as\s+([\w$]+)|\s*:\s*([\w$]+))?(?:\s*=\s*[^,]*)?", text):
-        group = 2 if m[2] else 3 if m[3] else 1
-        yield m[1], m[group], at + m.start(group), at + m.end(group)
+def _kind_of(lead: str, spec: Language) -> str | None:
+    depth = 0
+    for i in range(len(lead) - 1, -1, -1):  # what stands in an open bracket is an expression of its own
+        depth += (lead[i] in ")]") - (lead[i] in "([")
+        if depth < 0:
+            lead = lead[i + 1 :]
+            break
+    if lead.rstrip().endswith(("=>", "->")):
+        return "Function"
+    for w in re.findall(r"\w+", lead):
+        if w in spec.scope_words:
+            return spec.scope_words[w]
+    if _METHOD.search(lead):
+        return "Function"
+    return None if lead.strip() else "Block"
 
 
-def _scopes(text: str, spec: Language) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of blocks: by indentation, by `end`, or by braces."""
-    kinds, out = dict(spec.scope_words), []
+def _scopes(code: Code, spec: Language, pairs: dict[int, int]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of blocks, by indentation, by closing words or by braces. A block starts where its statement does."""
+    bare, out = code.bare, []
     if spec.indented:
-        lines, at = [], 0
-        for line in text.splitlines(keepends=True):
-            lines.append((at, len(line) - len(line.lstrip()), line.strip(), at + len(line.rstrip("\n"))))
-            at += len(line)
-        for i, (start, indent, body, end) in enumerate(lines):
-            word = re.match(r"(?:async\s+)?(\w+)", body)
-            if word and word[1] in kinds and body.endswith(":"):
-                for _, more, said, last in lines[i + 1 :]:
-                    if said and more <= indent:
-                        break
-                    end = last if said else end
-                out.append((kinds[word[1]], start + indent, end))
-        return out
-    stack = []
-    opens = r"\b(?:function|def|do|if|for|while|class|module|case|begin)\b" if spec.closed_by_end else r"\{"
-    for m in re.finditer(rf"(?P<open>{opens})|(?P<close>{r'\bend\b' if spec.closed_by_end else '}'})", _STRING.sub(lambda s: " " * len(s[0]), text)):
-        if m["open"]:
-            lead = text[max(text.rfind("\n", 0, m.start()), text.rfind(";", 0, m.start()), text.rfind("}", 0, m.start()), text.rfind("{", 0, m.start())) + 1 : m.end()]
-            words = [w for w in re.findall(r"\w+", lead) if w in kinds]
-            if not spec.closed_by_end and not words and lead.strip() != "{" and not _BLOCK.search(lead):
-                stack.append((None, m.start()))  # an object or a list of names
+        out = _python_scopes(code, pairs)
+    words = spec.closed_by_end or (_BASH_BLOCKS if spec.name == "bash" else None)
+    if words:
+        stack, line = [], 0
+        for m in re.finditer(rf"\n|{words}", bare):
+            if m[0] == "\n":
+                line = m.end()
+                continue
+            word = m[0].strip()
+            if word in _CLOSERS:
+                if stack:
+                    kind, start = stack.pop()
+                    out.append((kind, start, m.end()))
+                continue
+            lead = bare[line : m.end()]
+            if word == "do" and spec.name == "ruby" and re.match(r"\s*(?:while|until|for)\b", lead):
                 continue
-            stack.append((kinds[words[0]] if words else "Function" if "=>" in lead or re.search(r"\)\s*\{$", lead) else "Block", m.start()))
-        elif stack:
-            kind, start = stack.pop()
-            if kind:
-                out.append((kind, start, m.end()))
+            found = [spec.scope_words[w] for w in re.findall(r"\w+", lead if word in ("do", "fn", "then") else word) if w in spec.scope_words and w != "do"]
+            stack.append((found[0] if found else "Function" if word == "fn" else "Block", line + len(lead) - len(lead.lstrip()) if word == "do" else m.end() - len(word)))
+    if not spec.indented and not spec.closed_by_end:
+        hard, soft, depth = 0, 0, 0
+        for m in re.finditer(r"[;{}\n()]", bare):
+            c, at = m[0], m.start()
+            if c in "()":
+                depth += 1 if c == "(" else -1
+            elif c == "{":
+                lead, start = bare[max(hard, soft) : at], max(hard, soft)
+                if not lead.strip():
+                    lead, start = bare[hard:at], hard
+                kind = _kind_of(lead, spec)
+                if kind and at in pairs:
+                    out.append((kind, start + len(lead) - len(lead.lstrip()) if lead.strip() else at, pairs[at] + 1))
+                hard, depth = at + 1, 0
+            elif c == "}" or (c == ";" and depth <= 0):
+                hard = at + 1
+                depth = 0
+            elif c == "\n" and depth <= 0:
+                soft = at + 1
     return sorted(out, key=lambda x: (x[1], -x[2]))
 
 
-def facts(file_id: int, lang: str, content: str | None, aliases: dict[str, str] | None = None) -> list[tuple]:
-    """All rows of one file. `aliases` (name to module) admits references through imported names."""
+class _Nest:
+    """Nested spans in order of start: ids from 2, the file is 1."""
+
+    def __init__(self, blocks: list[tuple[str, int, int]]):
+        self.starts, self.ends, self.parents, stack = [a for _, a, _ in blocks], [b for _, _, b in blocks], [], []
+        for i, (_, a, b) in enumerate(blocks):
+            while stack and self.ends[stack[-1]] < b:
+                stack.pop()
+            self.parents.append(stack[-1] + 2 if stack else 1)
+            stack.append(i)
+
+    def at(self, place: int) -> int:
+        i = bisect_right(self.starts, place) + 1
+        while i > 1 and self.ends[i - 2] <= place:
+            i = self.parents[i - 2]
+        return max(i, 1)
+
+    def path(self, i: int) -> list[int]:
+        out = [i]
+        while out[-1] > 1:
+            out.append(self.parents[out[-1] - 2])
+        return out
+
+
+def scanned(content: str, spec: Language) -> Code:
+    return scan(content, spec.name, spec.line_comments, spec.block_comment)
+
+
+def facts(file_id: int, lang: str, content: str | None, use_imports: bool = False) -> list[tuple]:
+    """All rows of one file. With `use_imports`, names that an import makes stand for an environment object or module count as such."""
     spec = BY_NAME.get(lang)
     if not content or not spec:
         return []
-    text, ends = without_comments(content, lang), [m.start() for m in re.finditer("\n", content)]
+    code = scanned(content, spec)
+    text, bare, ends = code.text, code.bare, [m.start() for m in re.finditer("\n", content)]
+    pairs, alone = code.brackets()
+    p = _patterns(lang)
     out: list[tuple] = []
+    blocks = _scopes(code, spec, pairs)
+    nest = _Nest(blocks)
 
     def at(o: int) -> tuple[int, int]:
         line = bisect_right(ends, o - 1)
         return line, o - (ends[line - 1] + 1 if line else 0)
 
-    def add(kind: str, span: tuple[int, int], name_span: tuple[int, int], name: str | None, key=None, source=None, module=None, alias=None) -> None:
-        out.append((file_id, kind, len(out), name, key, source, module, alias, *at(span[0]), *at(span[1]), *at(name_span[0]), *at(name_span[1])))
+    def add(kind: str, span: tuple[int, int], name_span: tuple[int, int], name: str | None, key=None, source=None, module=None, alias=None, key_span=None) -> None:
+        k = (*at(key_span[0]), *at(key_span[1])) if key_span else (None,) * 4
+        out.append((file_id, kind, len(out), name, key, source, module, alias, *at(span[0]), *at(span[1]), *at(name_span[0]), *at(name_span[1]), *k, nest.at(name_span[0]), None, None))
 
-    def known(m: re.Match) -> bool:
+    def each(kind: str) -> Iterator[re.Match]:
+        for r in p[kind]:
+            for m in r.finditer(text):
+                first = m.start() + len(m[0]) - len(m[0].lstrip())
+                if not code.is_dead(first):
+                    yield m
+
+    aliases: dict[str, str] = {}
+    for m in each("import"):
         groups = m.groupdict()
-        if groups.get("alias"):
-            return (aliases or {}).get(groups["alias"]) in spec.modules
-        return not groups.get("object") or groups["object"] in spec.objects or (aliases or {}).get(groups["object"]) in spec.modules
+        module = groups["path"]
+        if (names := groups.get("list") or groups.get("more")) is not None:
+            start = m.start("list") if groups.get("list") is not None else m.start("more")
+            for name, local, _, span in _listed(names, start):
+                add("import", m.span(), span, name, module=module, alias=local)
+                aliases[local] = module
+        else:
+            local = groups.get("alias") or re.split(r"[./:\\]", module.rstrip("/*"))[-1 if spec.name != "python" else 0]
+            add("import", m.span(), m.span("alias") if groups.get("alias") else m.span("path"), module, module=module, alias=local)
+            aliases[local] = module
 
-    p = _patterns(lang)
-    for r in p["reference"]:
-        for m in filter(known, r.finditer(text)):
-            add("reference", m.span(), m.span("name"), m["name"])
-    for m in p["binding"][0].finditer(text):
+    def known(m: re.Match) -> bool:
+        o = m.groupdict().get("object")
+        return not o or o in spec.objects or (use_imports and aliases.get(o) in spec.modules)
+
+    def whole(m: re.Match) -> int:
+        """The end of a match with the bracket closed that it leaves open."""
+        for i in range(m.start(), m.end()):
+            if i in pairs and pairs[i] >= m.end() and bare[i] in "([":
+                return pairs[i] + 1
+        return m.end()
+
+    read: set[int] = set()
+    for m in each("reference"):
+        if known(m) and m.start("name") not in read:
+            read.add(m.start("name"))
+            add("reference", (m.start(), whole(m)), m.span("name"), m["name"])
+    if spec.name == "ruby":
+        for m in re.finditer(r"(?<!\w)ENV\.values_at\(([^()]*)\)", text):
+            for k in re.finditer(r"[\"'](\w+)[\"']", m[1]) if not code.is_dead(m.start()) else ():
+                add("reference", m.span(), (m.start(1) + k.start(1), m.start(1) + k.end(1)), k[1])
+
+    def valued(span: tuple[int, int], target: tuple[int, int], v: int, strict: bool) -> None:
+        """What the value at v makes of the target: a binding, an alias of the object, a destructuring or an assignment."""
+        name = text[slice(*target)]
         for r in p["reference"]:
-            if (v := r.match(text, m.start("value"))) and known(v):
+            if (m := r.match(text, v)) and known(m):
+                end = whole(m)
+                if not strict or _END.match(bare, end):
+                    add("binding", (span[0], end), target, name, key=m["name"])
+                    return
+        for r in p["object"]:
+            if (m := r.match(text, v)) and _END.match(bare, m.end()):
+                add("object", (span[0], m.end()), target, name, source=spec.default_object)
+                return
+        for r in p["keyed"]:
+            if (m := r.match(text, v)) and m["source"] not in spec.objects and _END.match(bare, whole(m)):
+                add("destructure", (span[0], whole(m)), target, name, key=m["key"], source=m["source"], key_span=m.span("key"))
+                return
+        m = re.compile(rf"(?:\$\{{?)?({spec.identifier}|[A-Za-z_]\w*)\}}?\"?" if spec.name == "bash" else rf"({spec.identifier})").match(text, v)
+        clone = re.compile(r"\.clone\(\)").match(text, m.end()) if m and spec.name == "rust" else None
+        if m and m[1] not in _KEYWORDS and _END.match(bare, clone.end() if clone else m.end()):
+            add("assignment", (span[0], m.end()), target, name, source=m[1])
+
+    targets: set[int] = set()  # where declared names stand, and all that stands in their declarations before the value
+    if spec.is_js:
+        for name, pattern, (a, b), start in _declarators(code, pairs):
+            targets.update(range(name[0], a) if not pattern else (name[0],))
+            value = text[a:b].strip()
+            bare_value = _TAIL.sub("", value).strip() if spec.name != "javascript" else value
+            source = re.fullmatch(spec.identifier, bare_value)
+            env = p["object"][0].fullmatch(bare_value)
+            if not pattern:
+                ref = next((m for r in p["reference"] if (m := r.fullmatch(bare_value))), None)
+                if ref:
+                    add("binding", (start, b), name, text[slice(*name)], key=ref["name"])
+                elif env:
+                    add("object", (start, b), name, text[slice(*name)], source=spec.default_object)
+                elif source and bare_value not in _KEYWORDS:
+                    add("assignment", (start, b), name, text[slice(*name)], source=bare_value)
+                continue
+            for i, j in _items(bare, name, pairs) if env or source else ():
+                m = _PROPERTY.fullmatch(text[i:j])
+                if m:
+                    local = "local" if m["local"] else "key"
+                    key, span = (i + m.start("key"), i + m.end("key")), (i + m.start(local), i + m.end(local))
+                    targets.add(span[0])
+                    add("binding" if env else "destructure", (start, b), span, m[local], key=m["key"], source=None if env else bare_value, key_span=key)
+        for m in re.finditer(rf"(?<![\w$.])(?P<target>{spec.identifier})\s*=(?![=>])\s*(?P<source>{spec.identifier})(?![\w$.(\[])", bare):
+            if m.start("target") not in targets and m["source"] not in _KEYWORDS and _END.match(bare, m.end()):
+                add("assignment", m.span(), m.span("target"), m["target"], source=m["source"])
+        for m in re.finditer(rf"(?<![\w$.])(?P<target>{spec.identifier})\s*=(?![=>])|(?<![\w$.])(?P<up>{spec.identifier})(?:\+\+|--)|(?:\+\+|--)(?P<down>{spec.identifier})", bare):
+            group = "target" if m["target"] else "up" if m["up"] else "down"
+            before = bare[max(0, m.start() - 200) : m.start()].rstrip(" \t")
+            if m.start(group) not in targets and m[group] not in _KEYWORDS and (group != "target" or not before or before[-1] in ";{}\n=&|?:!)"):
+                add("reassignment", m.span(group), m.span(group), m[group])
+    else:
+        strict = spec.name == "python"
+        for m in each("declare"):
+            start = m.start("target")
+            # of several targets on one left side none takes the first value
+            beside = spec.name in ("python", "ruby", "lua", "elixir") and re.search(r",[ \t]*$", text[max(0, start - 40) : start])
+            if start in targets or m["target"] in _KEYWORDS or beside:
+                continue
+            targets.update(range(start, m.end()))
+            valued(m.span(), m.span("target"), m.end(), strict)
+        for m in each("extra"):
+            v = next((x for r in p["reference"] if (x := r.match(text, m.start("value")))), None)
+            if v:
                 add("binding", m.span(), m.span("target"), m["target"], key=v["name"])
-                break
-    for r in p.get("object", ()):
-        for m in r.finditer(text):
-            add("object", m.span(), m.span("target"), m["target"], source=spec.default_object)
-    for kind in ("assignment", "destructure"):
-        for m in p[kind][0].finditer(text):
-            groups = m.groupdict()
-            key = groups.get("key") or groups.get("key2") or groups.get("key3")
-            if not re.match("|".join(map(re.escape, spec.objects)) or r"\Z", m["source"]) or kind == "assignment":
-                add(kind, m.span(), m.span("target"), m["target"], key=key, source=m["source"])
-    for r in p.get("pattern", ()):
-        for m in r.finditer(text):
-            for key, local, a, b in _names(m["list"], m.start("list")):
-                if m["source"] == "process.env":
-                    add("binding", m.span(), (a, b), local, key=key)
-                else:
-                    add("destructure", m.span(), (a, b), local, key=key, source=m["source"])
-    for m in p["reassignment"][0].finditer(text):
-        add("reassignment", m.span("target"), m.span("target"), m["target"])
-    for r in p["import"]:
-        for m in r.finditer(text):
-            groups = m.groupdict()
-            if groups.get("list"):
-                for name, local, a, b in _names(m["list"], m.start("list")):
-                    add("import", m.span(), (a, b), name, module=m["module"], alias=local)
-            else:
-                add("import", m.span(), m.span(), m["module"], module=m["module"], alias=groups.get("alias") or m["module"].split("/")[-1].split(".")[0])
-    for r in p["export"]:
-        for m in r.finditer(text):
-            groups = m.groupdict()
-            if groups.get("wild"):
-                add("wildcard", m.span(), m.span(), None, module=m["module"])
-            elif groups.get("list") is not None:
-                renames = m[0].lstrip().startswith("export {") or m[0].startswith("export{")
-                for name, local, a, b in _names(m["list"], m.start("list")):
-                    add("export", m.span(), (a, b), local, source=name if renames else local, module=groups.get("module"))
-            elif groups.get("default"):
-                add("export", m.span(), m.span(), "default", source=groups.get("local"))
-            else:
-                add("export", m.span(), m.span("export"), m["export"], source=m["export"])
-    for kind, a, b in _scopes(text, spec):
+        for m in p["reassign"][0].finditer(bare):
+            if m["target"] not in _KEYWORDS:
+                add("reassignment", m.span("target"), m.span("target"), m["target"])
+
+    for m in each("export"):
+        groups = m.groupdict()
+        value, module = (groups.get("value") or "").strip().rstrip(";").strip(), groups.get("path")
+        source = _TAIL.sub("", value).strip() if value else groups.get("local")
+        if groups.get("wild"):
+            add("wildcard", m.span(), m.span(), None, module=module)
+        elif groups.get("list") is not None:
+            for name, local, _, span in _listed(groups["list"], m.start("list")):
+                add("export", m.span(), span, local, source=name, module=module)
+        elif groups.get("pattern") is not None:
+            for _, local, _, span in _listed(groups["pattern"], m.start("pattern")):
+                add("export", m.span(), span, local, source=local)
+        elif groups.get("default"):
+            local = groups.get("local") or (source if source and re.fullmatch(spec.identifier, source) else None)
+            add("export", m.span(), m.span(), "default", key=source, source=local)
+        else:
+            add("export", m.span(), m.span("export"), m["export"], key=source, source=groups.get("local") or m["export"], module=module)
+    for i, (kind, a, b) in enumerate(blocks):
         add("scope", (a, b), (a, b), kind)
-    for m in re.finditer(rf"(?<![\w$.\"'])({spec.identifier})", _STRING.sub(lambda s: " " * len(s[0]), text)):
-        add("identifier", m.span(1), m.span(1), m[1])
-    for m in re.finditer(r"(?<![\w$.])([A-Za-z_$][\w$]*)(?:\.([A-Za-z_]\w*)|\[\s*[\"'](\w+)[\"']\s*\])", text):
-        if spec.name in ("javascript", "typescript", "typescriptreact"):
-            group = 2 if m[2] else 3
-            add("property", m.span(), m.span(group), m[group], source=m[1])
+        out[-1] = (*out[-1][:-3], nest.parents[i], i + 2, nest.path(i + 2))
+    for m in p["identifier"][0].finditer(bare):
+        if m[1] not in _KEYWORDS:
+            add("identifier", m.span(1), m.span(1), m[1])
+    if spec.is_js:
+        for m in re.finditer(r"(?<![\w$.])([A-Za-z_$][\w$]*)(?:\s*\??\.\s*([A-Za-z_$][\w$]*)|\[\s*[\"'](\w+)[\"']\s*\])", text):
+            if not code.is_dead(m.start()) and m[1] not in _KEYWORDS - {"this"}:
+                group = 2 if m[2] else 3
+                add("property", m.span(), m.span(group), m[group], source=m[1])
+    for place, c in alone:
+        if c in ")]}":
+            add("error", (place, place + 1), (place, place + 1), f"Unexpected: {shortened(text[place:])}")
+        else:
+            add("error", (place, place + 1), (place, place + 1), f"Missing: {dict(zip('([{', ')]}', strict=True))[c]}")
+    for place in code.open_strings:
+        add("error", (place, place + 1), (place, place + 1), f"Unexpected: {shortened(text[place:])}")
     return out
 
 
+def shortened(text: str, most: int = MOST_SHOWN) -> str:
+    text = text.split("\n")[0]
+    return text if len(text) <= most else text[:most] + "..."
+
+
 def extract(files: DataFrame, use_imports: bool = False) -> DataFrame:
-    """Facts of all files (file_id, lang, content), in one pass."""
+    """Facts of all files (file_id, lang, content), in one pass. Imports are only heeded if so told, as for open documents."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for frame in frames:
-            rows = []
+            rows: list[tuple] = []
             for file_id, lang, content in zip(frame["file_id"], frame["lang"], frame["content"], strict=True):
-                aliases = {f[7]: f[6] for f in facts(file_id, lang, content) if f[1] == "import"} if use_imports else None
-                rows += facts(file_id, lang, content, aliases)
-            yield pd.DataFrame(rows, columns=names)
+                rows += facts(file_id, lang, content, use_imports)
+                if len(rows) > 200_000:  # a task holds the facts of few files at a time
+                    yield _frame(rows)
+                    rows = []
+            yield _frame(rows)
 
     return files.select("file_id", "lang", "content").mapInPandas(run, SCHEMA)
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=FIELDS)
+    return out.astype({c: "Int32" for c in ("ksl", "ksc", "kel", "kec", "own")})
+
+
+def completion_context(lang: str, line: str | None, character: int) -> str | None:
+    """The object or module before the cursor after which names of variables complete, or null; `line` is the cursor's line."""
+    spec = BY_NAME.get(lang)
+    if not spec or line is None or character < 0:
+        return None
+    before = line[:character]
+    if any(a < character <= b for a, b in scanned(line, spec).comments):
+        return None
+    if spec.name == "bash":
+        return "$" if re.search(r"\$\{?\w*$", before) else None
+    for trigger in sorted(spec.triggers, key=len, reverse=True):
+        m = re.search(rf"(?P<object>[A-Za-z_$][\w$.:!]*?)\s*{re.escape(trigger)}(?P<part>\w*)$", before)
+        if m:
+            said = m["object"].rstrip(".")
+            inside = [o for o in spec.objects if said == o or said.startswith((o + ".", o + "::"))]
+            return max(inside, key=len) if inside else said
+    return None
+
+
+def property_at(lang: str, line: str | None, character: int) -> tuple[str, str] | None:
+    """(object, property) of the access that the cursor stands on, in the languages that know such accesses."""
+    spec = BY_NAME.get(lang)
+    if not spec or line is None or lang not in ("javascript", "typescript", "typescriptreact", "python", "go", "lua", "php", "ruby", "rust"):
+        return None
+    code = scanned(line, spec)
+    for m in re.finditer(rf"(?<![\w$.])({spec.identifier}(?:\.[A-Za-z_]\w*)*)(?:\.([A-Za-z_$][\w$]*)|\[\s*[\"':]?(\w+)[\"']?\s*\])", code.text):
+        if m.start() <= character < m.end() and not code.is_dead(m.start()):
+            return m[1], m[2] or m[3]
+    return None
+
+
+def is_env_source(lang: str, value: str | None) -> str | None:
+    """Object or Variable where the text of a value is the environment's object or one access to it, else null."""
+    spec = BY_NAME.get(lang)
+    if not spec or not value:
+        return None
+    p = _patterns(lang)
+    if any(r.fullmatch(value.strip()) for r in p["object"]) or value.strip() in spec.objects:
+        return "Object"
+    return "Variable" if any(r.match(value.strip()) for r in p["reference"]) else None
+
+
+def by_cursor(probes: DataFrame, contents: DataFrame) -> DataFrame:
+    """Adds context, object and property to probes (file_id, probe_id, line, character), from the cursor's line alone.
+
+    contents: file_id, lang, content. Only lines that a probe stands on leave the join.
+    """
+    lines = probes.join(contents, "file_id").select("file_id", "probe_id", "character", "lang", F.get(F.split("content", "\r?\n"), F.col("line")).alias("said"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for file_id, probe, character, lang, said in zip(f["file_id"], f["probe_id"], f["character"], f["lang"], f["said"], strict=True):
+                found = property_at(lang, said, character) or (None, None)
+                rows.append((file_id, probe, completion_context(lang, said, character), *found))
+            yield pd.DataFrame(rows, columns=["file_id", "probe_id", "context", "object", "property"])
+
+    found = lines.mapInPandas(run, "file_id bigint, probe_id bigint, context string, object string, property string")
+    return probes.join(found, ["file_id", "probe_id"], "left")
+
+
+def language_of(path: Column, language_id: Column | None = None) -> Column:
+    """The language of a path by its exact extension, or of a language id where that is known; null if neither is."""
+    pairs = F.create_map(*[F.lit(x) for e, spec in BY_EXTENSION.items() for x in (e, spec.name)])
+    out = F.try_element_at(pairs, F.regexp_extract(path, r"\.([^./]+)$", 1))
+    if language_id is None:
+        return out
+    ids = F.create_map(*[F.lit(x) for i, spec in BY_ID.items() for x in (i, spec.name)])
+    return F.coalesce(F.try_element_at(ids, language_id), out)
+
+
 def with_language(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds lang by exact extension; files of no known language have null."""
-    pairs = F.create_map(*[F.lit(x) for e, spec in BY_EXTENSION.items() for x in (e, spec.name)])
-    return files.withColumn("lang", F.try_element_at(pairs, F.regexp_extract(F.col(path), r"\.([^./]+)$", 1)))
+    return files.withColumn("lang", language_of(F.col(path)))

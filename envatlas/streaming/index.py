@@ -74,3 +74,111 @@ def current(facts: DataFrame, key: str = "uri") -> DataFrame:
     """Of what maintain() wrote, the rows of each document's latest version."""
     top = facts.groupBy(key).agg(F.max("version").alias("version"))
     return facts.join(top, [key, "version"], "left_semi")
+
+
+# The dependency graph: edges (file_id imports target_id), and the files that changes make dirty
+def replaced_edges(edges: DataFrame, files: DataFrame, new: DataFrame) -> DataFrame:
+    """The graph after the files (file_id) got new imports: their old edges go, wherever others point stays."""
+    return edges.join(files.select("file_id").distinct(), "file_id", "left_anti").unionByName(new.select("file_id", "target_id")).distinct()
+
+
+def dependents(edges: DataFrame) -> DataFrame:
+    """The graph the other way: target_id is imported by file_id."""
+    return edges.select(F.col("target_id").alias("file_id"), F.col("file_id").alias("dependent_id")).distinct()
+
+
+def dirty_after(dirty_: DataFrame, edges: DataFrame, changed: DataFrame, cleaned: DataFrame | None = None) -> DataFrame:
+    """The dirty files after some changed or went: their direct importers become dirty, those analysed anew (cleaned) do not stay so."""
+    now = dirty_.select("file_id").union(dirty(changed, edges)).distinct()
+    return now.join(cleaned.select("file_id").distinct(), "file_id", "left_anti") if cleaned is not None else now
+
+
+def removed(edges: DataFrame, dirty_: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, dirty) after files were deleted: edges at either end go, and the files that imported them become dirty; the deleted ones are not."""
+    left = dirty_after(dirty_, edges, gone).join(gone.select("file_id").distinct(), "file_id", "left_anti")
+    return without_files(edges, gone), left
+
+
+# Incremental graphs
+def is_large_edit(edit_lines, document_lines):
+    """Whether an edit covers more than half of a document, so that all of it is analysed anew."""
+    return edit_lines * 2 > document_lines
+
+
+def without_ranges(symbols: DataFrame, usages: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols and usages outside the ranges (file_id, start, end); usages of symbols that went go too."""
+    hit = symbols.join(ranges.select("file_id", F.col("start").alias("rs"), F.col("end").alias("re")), "file_id").where("end > rs and re > start").select("file_id", "symbol_id").distinct()
+    inside = usages.join(ranges.select("file_id", F.col("start").alias("rs"), F.col("end").alias("re")), "file_id").where("end > rs and re > start").select("file_id", "usage_id").distinct()
+    return symbols.join(hit, ["file_id", "symbol_id"], "left_anti"), usages.join(hit, ["file_id", "symbol_id"], "left_anti").join(inside, ["file_id", "usage_id"], "left_anti")
+
+
+# Open documents and watched files
+def open_documents(events: DataFrame, key: str = "uri") -> DataFrame:
+    """Documents that are open after all events: opened or changed, and not closed since; the text is that of the latest version."""
+    return latest(events.where(F.col("op").isin("open", "change", "close", "delete")), key)
+
+
+def watched_changes(events: DataFrame, is_env, config_file: str = "envatlas.toml", key: str = "path") -> DataFrame:
+    """(path, action) of file events (path, type, ts), the last one of a file: reload the config, refresh values, index again, or remove."""
+    last = events.groupBy(key).agg(F.max_by("type", "ts").alias("type"))
+    name = F.element_at(F.split(key, "/"), -1)
+    action = F.when(name == config_file, "reload").when(F.col("type") == "delete", "remove").when(is_env(F.col(key)), "refresh").otherwise("index")
+    return last.select(key, action.alias("action"))
+
+
+def after_changes(index: DataFrame, actions: DataFrame, fresh: DataFrame, key: str = "path") -> DataFrame:
+    """The index rows after watched changes: rows of removed and changed files go, those of `fresh` come."""
+    touched = actions.where(F.col("action").isin("remove", "index", "refresh")).select(key).distinct()
+    return index.join(touched, key, "left_anti").unionByName(fresh.join(actions.where("action <> 'remove'").select(key).distinct(), key, "left_semi"))
+
+
+def publish(edits: DataFrame, path: str, diagnose: Callable[[DataFrame], DataFrame], checkpoint: str, watermark: str = "10 seconds", available_now: bool = True) -> StreamingQuery:
+    """Follows a stream of edits and writes the diagnostics of each debounced version under `path`, and a row `published` for each document, so that an empty list is told too."""
+    bursts = debounced(edits.withWatermark("ts", watermark))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("uri").agg(F.max_by(F.struct("version", "content"), "version").alias("x")).select("uri", "x.*")
+        found = diagnose(last)
+        told = last.select("uri", "version").join(found.groupBy("uri").agg(F.count("*").alias("n")), "uri", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        # a batch that runs again overwrites its own folders
+        found.write.mode("overwrite").parquet(f"{path}/diagnostics/batch={batch_id}")
+        told.write.mode("overwrite").parquet(f"{path}/published/batch={batch_id}")
+
+    out = bursts.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out).start()
+
+
+def notifications(actions: DataFrame, key: str = "path") -> DataFrame:
+    """(kind, message) of what clients are told after watched changes: a request to refresh hints where values changed, and a log line a file."""
+    log = actions.select(F.lit("log").alias("kind"), F.concat(F.col("action"), F.lit(": "), F.col(key)).alias("message"))
+    return log.unionByName(actions.where(F.col("action").isin("refresh", "reload")).select(F.lit("refresh-hints").alias("kind"), F.lit("").alias("message")).distinct())
+
+
+def heartbeat(query: StreamingQuery) -> dict:
+    """What a running stream last did: rows, rows a second and the state's size."""
+    p = query.lastProgress or {}
+    return {"active": query.isActive, "batch": p.get("batchId"), "rows": p.get("numInputRows", 0), "rows_per_second": p.get("processedRowsPerSecond", 0.0), "state_rows": sum(o.get("numRowsTotal", 0) for o in p.get("stateOperators", []))}
+
+
+class Cancellable:
+    """Jobs under a tag that can be stopped from elsewhere, and streams that stop with them."""
+
+    def __init__(self, spark, tag: str):
+        self.spark, self.tag, self.streams = spark, tag, []
+
+    def __enter__(self) -> Cancellable:
+        self.spark.sparkContext.addJobTag(self.tag)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sparkContext.removeJobTag(self.tag)
+
+    def follow(self, query: StreamingQuery) -> StreamingQuery:
+        self.streams.append(query)
+        return query
+
+    def cancel(self) -> None:
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        for q in self.streams:
+            if q.isActive:
+                q.stop()
