@@ -1,15 +1,17 @@
 """Surrogate generation for personal data, in DataFrame functions only.
 
-Detected entities (emails, IPv4 addresses, phone numbers, card numbers, social security numbers, IBANs, secrets, and names after a
-title or a known given name) are replaced by keyed surrogates of the same type: digits for digits, letters for letters of
+Detected entities (emails, IPv4 and IPv6 addresses, phone numbers, card numbers, social security numbers, IBANs, secrets of known forms, and names
+after a title, a known given name or words that announce a name) are replaced by keyed surrogates of the same type: digits for digits, letters for letters of
 the same script and case, Luhn-valid numbers for Luhn-valid ones, octets for octets, and names of the same gender and script.
 Letters of scripts without a table here become Latin ones. Separators, brackets, titles, top-level domains and leading digits of cards and country codes stay.
 
 A surrogate is a function of the key, the type and the entity's normal form, so that all mentions of one entity, however
-spelled, stay one entity across the corpus (coreference); a domain or a surname keeps its surrogate in every entity. Over all
-distinct entities a collision check gives another surrogate to each that would share one or that would become a real
-entity of the corpus (distinctness). Where the forms of the entity's own length run out, surrogates grow longer; IPv4 addresses
-cannot, and may end in an error where a corpus has more than about a quarter of all of them.
+spelled, stay one entity across the corpus (coreference); a domain, a given name or a surname keeps its surrogate in every entity. Over all
+distinct entities, domains and parts of names among them, a collision check gives another surrogate to each that would share one or that would
+become a real entity of the corpus (distinctness). Where the forms of the entity's own length run out, surrogates grow longer; IPv4 addresses
+cannot: after OWN_ROUNDS rounds theirs may be real addresses of the corpus, but still no two share one. Initials are replaced letter by letter.
+
+Texts are scanned once. What the scan found is written with the rows, and all that follows reads that.
 
 Null text stays null; text without entities stays as it is, byte for byte. Repeated rows get equal results. An empty table gives no rows.
 All input columns come back; `n_entities` is added (a clashing name takes a trailing underscore).
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from envatlas.llm.shared import column_named, drop, save
 
 KEY = "surrogate-key-1"
-MOST_ATTEMPTS = 40
+#: Rounds after which a surrogate that cannot grow may be a real entity's form.
+OWN_ROUNDS = 20
 #: Attempts of the entity's own length; each later one is longer by one, so that no space of short forms runs out.
 SAME_LENGTH = 3
 
@@ -31,24 +34,33 @@ SAME_LENGTH = 3
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Signora", "госпожа")
 TITLES_M = ("Mr", "Mister", "Herr", "Señor", "Monsieur", "Signor", "господин")
 TITLES_N = ("Dr", "Prof")
-GIVEN_F = ("Mary", "Anna", "Maria", "Sarah", "Emma", "Laura", "Julia", "Sophie", "Elena", "Carmen", "Claire", "Katharina", "Linda", "Jennifer", "Elizabeth", "Isabel", "Camille", "Ursula", "Olga", "Анна", "Мария", "Елена", "Ольга")
-GIVEN_M = ("James", "John", "Robert", "Michael", "David", "Thomas", "Peter", "Hans", "Jürgen", "Pierre", "Jean", "Carlos", "José", "Antonio", "Luis", "William", "Richard", "Klaus", "Ivan", "Иван", "Пётр", "Сергей", "Алексей")
+GIVEN_F = ("Mary", "Anna", "Maria", "Sarah", "Emma", "Laura", "Julia", "Sophie", "Elena", "Carmen", "Claire", "Katharina", "Linda", "Jennifer", "Elizabeth", "Isabel", "Camille", "Ursula", "Olga", "Patricia", "Barbara", "Susan", "Jessica", "Karen", "Nancy", "Lisa", "Margaret", "Sandra", "Ashley", "Emily", "Michelle", "Amanda", "Melissa", "Deborah", "Stephanie", "Rebecca", "Helen", "Alice", "Fatima", "Aisha", "Priya", "Lakshmi", "Yuki", "Mei", "Ingrid", "Giulia", "Francesca", "Lucía", "Sofía", "Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина")
+GIVEN_M = ("James", "John", "Robert", "Michael", "David", "Thomas", "Peter", "Hans", "Jürgen", "Pierre", "Jean", "Carlos", "José", "Antonio", "Luis", "William", "Richard", "Klaus", "Ivan", "Joseph", "Charles", "Christopher", "Daniel", "Matthew", "Anthony", "Steven", "Andrew", "Kenneth", "George", "Joshua", "Kevin", "Brian", "Edward", "Ronald", "Timothy", "Jason", "Ahmed", "Mohammed", "Omar", "Raj", "Arjun", "Hiroshi", "Wei", "Sven", "Lars", "Marco", "Giovanni", "Miguel", "Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай", "Владимир")
+#: Words after which a name stands.
+ANNOUNCED = ("[Nn]ame is", "[Nn]ame:", "[Cc]ontact person:", "[Ii]ch heiße", "[Mm]e llamo", "[Jj]e m['’]appelle")
+#: One-digit and two-digit country codes; all others have three digits.
+COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+SECRET_STARTS = ("AKIA", "ASIA", "AIza", "gh[pousr]_", "github_pat_", "glpat-", "xox[abeoprs]-", "sk-", "[sr]k_(?:live|test)_", "eyJ")
 
 _WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_INITIAL = r"(?:\p{Lu}\. )*"
+#: Each pattern begins with what it may begin with, so that most places of a text are passed at a look.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
-    "ip": rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\p{{N}})",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16,}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])",
-    "card": r"(?<!\p{N})(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?!\p{N})",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\p{N})",
-    "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? {_WORD}(?: {_WORD})?|(?:{'|'.join(GIVEN_F + GIVEN_M)}) {_WORD})(?!\p{{L}})",
+    "ip": rf"(?=[0-9])(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\p{{N}})",
+    "ip6": rf"(?=[0-9A-Fa-f])(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,6}}|{_HEX}:(?::{_HEX}){{2,6}})(?![\p{{L}}\p{{N}}:])",
+    "iban": r"(?=[A-Za-z]{2}[0-9])(?<![\p{L}\p{N}])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?)(?![\p{L}\p{N}])",
+    "secret": r"(?=[0-9A-Fa-fegsrx])(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[0-9A-Z]{16,}|AIza[0-9A-Za-z_-]{30,}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])",
+    "card": r"(?=[0-9])(?<!\p{N})(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?!\p{N})",
+    "phone": r"(?=[+(0-9])(?<![\p{L}\p{N}])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\p{N})",
+    "ssn": r"(?=[0-9])(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
+    "name": rf"(?=[\p{{Lu}}г])(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? {_INITIAL}{_WORD}(?: {_INITIAL}{_WORD})?|(?:{'|'.join(GIVEN_F + GIVEN_M)}) {_INITIAL}{_WORD}|(?:{'|'.join(f'(?<={x} )' for x in ANNOUNCED)}){_WORD} {_INITIAL}{_WORD})(?!\p{{L}})",
 }
-#: One of these stands in every text that has an entity.
-HINT = rf"[0-9@]|AKIA|gh[pousr]_|(?<![\p{{L}}\p{{N}}])sk-|[a-f]{{32}}|[A-F]{{32}}|(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N + GIVEN_F + GIVEN_M)})"
-ANY = "|".join(p if k != "card" else p.replace(r"([ -])", r"(?<gap>[ -])").replace(r"\1", r"\k<gap>") for k, p in PATTERNS.items())
+#: No entity begins inside a word, but for a number right after a letter.
+_START = r"(?:(?<![\p{L}\p{N}])|(?<=\p{L})(?=[0-9]))"
+ANY = _START + "(?:" + "|".join(p if k != "card" else p.replace(r"([ -])", r"(?<gap>[ -])").replace(r"\1", r"\k<gap>") for k, p in PATTERNS.items()) + ")"
 
 _LETTERS = (("abcdefghijklmnopqrstuvwxyz", "a-z"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A-Z"), ("àâäçéèêëíîïóôöúùûüñ", "ß-öø-ÿ"), ("ÀÂÄÇÉÈÊËÍÎÏÓÔÖÚÙÛÜÑ", "À-ÖØ-Þ"), ("абвгдежзиклмнопрстуфхцчшэюя", "а-яё"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "А-ЯЁ"), ("αβγδεζηθικλμνξοπρστυφχψω", "α-ω"), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "Α-Ω"))
 #: Letters and digits beyond these, by script; those of scripts not listed become Latin ones.
@@ -113,15 +125,16 @@ def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     check = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(body, d.cast("string")))), 1)
     card = F.when(F.call_function("luhn_check", norm), F.concat(body, check.cast("string"))).otherwise(F.concat(body, F.substring(digits, -1, 1)))
     ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(s, i) % 254 + 1).cast("string")), ".")
-    phone = F.when(norm.startswith("+"), F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(3), F.length(norm)))).otherwise(digits)
+    code = F.regexp_extract(norm, f"^{COUNTRY}", 0)
+    phone = F.when(norm.startswith("+"), F.concat(code, F.substring(digits, F.length(code) + 1, F.length(norm)))).otherwise(digits)
     at = F.instr(norm, "@")
-    domain = F.substring(norm, at + 1, F.length(norm))
-    top = F.substring_index(domain, ".", -1)
-    labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    local = F.substring(norm, F.lit(1), at - 1)
-    email = F.concat(_like(local, s, scripts=True), _longer(_LETTERS[0][0], s, attempt), F.lit("@"), _like(labels, _stream(key, F.lit("domain"), domain, F.lit(0)), scripts=True), F.lit("."), top)
+    # an email's domain is an entity of its own; here it only tells the locals of one domain from those of another
+    email = F.concat(_like(F.substring(norm, F.lit(1), at - 1), s, scripts=True), _longer(_LETTERS[0][0], s, attempt), F.substring(norm, at, F.length(norm)))
+    top = F.substring_index(norm, ".", -1)
+    domain = F.concat(_like(F.substring(norm, F.lit(1), F.length(norm) - F.length(top) - 1), s, scripts=True), _longer(_LETTERS[0][0], s, attempt), F.lit("."), top)
+    ip6 = F.concat(_like(norm, s, True), _longer("0123456789abcdef", s, attempt))
     iban = F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(3), F.length(norm)))
-    prefix = F.regexp_extract(norm, "^(AKIA|gh[pousr]_|sk-)", 1)
+    prefix = F.regexp_extract(norm, f"^({'|'.join(SECRET_STARTS)})", 1)
     secret = F.concat(F.when(norm.rlike("^[0-9a-f]+$"), _like(norm, s, True)).otherwise(F.concat(prefix, F.substring(digits, F.length(prefix) + 1, F.length(norm)))), tail)
     scripts = {}
     for script, (middle, end_m, end_f, last_m, last_f) in _SYLLABLES.items():
@@ -131,7 +144,7 @@ def _surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         more = _longer(middle, s, attempt, 5, 5, 10)
         whole = F.concat(_pick(middle, _byte(s, F.lit(7))), _pick(middle, _byte(s, F.lit(9))), F.when(kind.startswith("surname"), _pick(middle, _byte(s, F.lit(11)))).otherwise(F.lit("")), more, ends)
         scripts[script] = whole
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", F.concat(phone, tail)).when(kind == "ssn", F.concat(digits, tail))
+    out = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "card", card).when(kind == "phone", F.concat(phone, tail)).when(kind == "ssn", F.concat(digits, tail))
     return out.when(kind == "iban", F.concat(iban, tail)).when(kind == "secret", secret).otherwise(F.when(norm.rlike(r"\p{IsCyrillic}"), scripts["cyrillic"]).otherwise(scripts["latin"]))
 
 
@@ -149,33 +162,40 @@ def _norm(kind: Column, e: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(e)).when(kind.isin("card", "ssn"), digits)
         .when(kind == "phone", F.when(e.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits))
-        .when(kind == "iban", F.replace(e, F.lit(" "))).when(kind == "secret", F.when(e.rlike("^[0-9A-F]+$"), F.lower(e)).otherwise(e))
+        .when(kind == "iban", F.upper(F.replace(e, F.lit(" ")))).when(kind == "ip6", F.lower(e)).when(kind == "secret", F.when(e.rlike("^[0-9A-F]+$"), F.lower(e)).otherwise(e))
         .when(kind == "ip", e).otherwise(F.lower(e))
     )
 
 
 def _parts(e: Column) -> Column:
-    """(kind, norm, said) parts of an entity: a name has its title, given name and surname, others have one part."""
+    """(kind, norm, said) parts of an entity, which stand one after the other: a name's words, an email's local part and its domain, others have one part."""
     kind = _kind(e)
-    words = F.split(e, " ")
+    words = F.filter(F.split(e, " "), lambda w: ~w.rlike(r"^\p{Lu}\.$"))
     title = F.rtrim(F.element_at(words, 1), F.lit("."))
     titled = title.isin(*TITLES_F, *TITLES_M, *TITLES_N)
     given = F.when(titled, F.when(F.size(words) > 2, F.element_at(words, 2))).otherwise(F.element_at(words, 1))
     gender = F.when(titled & title.isin(*TITLES_F) | F.coalesce(given, F.lit("")).isin(*GIVEN_F), "f").when(titled & title.isin(*TITLES_M) | F.coalesce(given, F.lit("")).isin(*GIVEN_M), "m").otherwise("n")
+    last = F.size(F.split(e, " ")) - 1
+
+    def part(k: Column, said: Column, norm: Column | None = None) -> Column:
+        return F.struct(k.alias("kind"), (_norm(k, said) if norm is None else norm).alias("norm"), said.alias("said"))
+
+    def word(w: Column, i: Column) -> Column:
+        # only Cyrillic surnames have a gender
+        family = F.when(w.rlike(r"\p{IsCyrillic}") & (gender == "f"), "surname_f").otherwise("surname")
+        k = F.when((i == 0) & titled, "title").when(w.rlike(r"^\p{Lu}\.$"), "initial").when((i < last) & w.eqNullSafe(given), F.concat(F.lit("given_"), gender)).otherwise(family)
+        return part(k, w)
 
-    def part(k: Column, said: Column) -> Column:
-        return F.struct(k.alias("kind"), _norm(k, said).alias("norm"), said.alias("said"))
+    at = F.instr(e, "@")
+    domain = F.substring(e, at + 1, F.length(e))
+    email = F.array(part(F.lit("email"), F.substring(e, F.lit(1), at - 1), F.lower(e)), part(F.lit("domain"), domain, F.lower(domain)))
+    return F.when(kind == "name", F.transform(F.split(e, " "), word)).when(kind == "email", email).otherwise(F.array(part(kind, e)))
 
-    named = F.filter(
-        F.array(
-            F.when(titled, part(F.lit("title"), F.element_at(words, 1))),
-            F.when(given.isNotNull(), part(F.concat(F.lit("given_"), gender), given)),
-            # only Cyrillic surnames have a gender
-            part(F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}") & (gender == "f"), "surname_f").otherwise("surname"), F.element_at(words, -1)),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return F.when(kind == "name", named).otherwise(F.array(part(kind, e)))
+
+def _initial(said: Column, key: str = KEY) -> Column:
+    """Another Latin capital for an initial, one and the same for each letter."""
+    letter, n = F.substring(said, 1, 1), _byte(_stream(key, F.lit("initial"), said, F.lit(0)), F.lit(1)) % 25 + 1
+    return F.concat(F.substring(F.lit(_LETTERS[1][0] * 2), F.coalesce(F.instr(F.lit(_LETTERS[1][0]), letter), F.lit(0)) + n, F.lit(1)), F.lit("."))
 
 
 def _dressed(kind: Column, said: Column, new: Column) -> Column:
@@ -188,26 +208,28 @@ def _dressed(kind: Column, said: Column, new: Column) -> Column:
         return F.concat(laid_out, F.substring(new, place(F.length(said), drop_) + 1, F.length(new)))
 
     upper = (said == F.upper(said)) & (said != F.lower(said))
+    local = F.substring_index(new, "@", 1)
     name = F.when(upper & (F.length(said) > 1), F.upper(new)).otherwise(F.initcap(new))
     return (
-        F.when(kind.isin("card", "ssn"), laid("[0-9]", "[^0-9]")).when(kind == "phone", laid("[0-9+]", "[^0-9+]")).when(kind == "iban", laid("[^ ]", " "))
-        .when(kind == "email", F.when(upper, F.upper(new)).otherwise(new)).when(kind == "secret", F.when(said.rlike("^[0-9A-F]+$"), F.upper(new)).otherwise(new))
-        .when(kind == "ip", new).when(kind == "title", said).otherwise(name)
+        F.when(kind.isin("card", "ssn"), laid("[0-9]", "[^0-9]")).when(kind == "phone", laid("[0-9+]", "[^0-9+]")).when(kind == "iban", F.when(said == F.lower(said), F.lower(laid("[^ ]", " "))).otherwise(laid("[^ ]", " ")))
+        .when(kind == "email", F.concat(F.when(upper, F.upper(local)).otherwise(local), F.lit("@"))).when(kind == "domain", F.when(upper, F.upper(new)).otherwise(new)).when(kind == "secret", F.when(said.rlike("^[0-9A-F]+$"), F.upper(new)).otherwise(new))
+        .when(kind == "ip", new).when(kind == "ip6", F.when(upper, F.upper(new)).otherwise(new)).when(kind == "title", said).when(kind == "initial", _initial(said)).otherwise(name)
     )
 
 
 def surrogate_map(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, norm, new) for the distinct (kind, norm) of `entities`: no two of a kind share a surrogate, and none gets a real entity's form."""
+    """(kind, norm, new) for the distinct (kind, norm) of `entities`: no two of a kind share a surrogate, and none gets a real entity's form.
+
+    Each round settles all entities but those whose surrogate another one has; surrogates grow from round to round, so that few rounds settle all.
+    """
     real = save(entities.select("kind", "norm").distinct(), "entities")
     family = F.regexp_replace("kind", "_[fmn]$", "")
     taken = real.select(family.alias("family"), F.col("norm").alias("new")).distinct()
     done, open_, attempt = None, real, 0
     while True:
-        if attempt >= MOST_ATTEMPTS:
-            raise RuntimeError("surrogates did not become distinct")
         new = open_.select("kind", "norm", family.alias("family"), _surrogate(key, F.col("kind"), F.col("norm"), F.lit(attempt)).alias("new"))
         first = new.groupBy("family", "new").agg(F.min(F.struct("norm", "kind")).alias("x"))
-        won = first.join(taken, ["family", "new"], "left_anti").select("x.kind", "x.norm", "new", "family")
+        won = first.join(taken if attempt < OWN_ROUNDS else taken.where("family <> 'ip'"), ["family", "new"], "left_anti").select("x.kind", "x.norm", "new", "family")
         if done is not None:
             won = won.join(done.select("family", "new"), ["family", "new"], "left_anti").select("kind", "norm", "new", "family").union(done)
         now = save(won, "surrogates")
@@ -220,21 +242,23 @@ def surrogate_map(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """The rows with surrogates in `text`, and n_entities. Column order is kept, the count comes last."""
-    own = column_named(df, "n_entities")
-    tag, spans = column_named(df, "tag"), column_named(df, "spans")
-    hint = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    hinted = df.where(hint).withColumn(spans, F.regexp_extract_all(text, F.lit(ANY), 0))
-    # texts that an entity was found in, with the entities; the others are scanned again rather than stored
-    dirty = save(hinted.where(F.size(spans) > 0).withColumn(tag, F.xxhash64(F.col(text))), "private")
-    each = dirty.select(F.col(tag).alias("tag"), F.posexplode(F.col(spans)).alias("i", "said")).select("tag", "i", F.posexplode(_parts(F.col("said"))).alias("j", "x")).select("tag", "i", "j", "x.*").distinct()
-    each = save(each, "mentions")
-    table = surrogate_map(each.where("kind <> 'title'"), key)
-    found = each.join(table, ["kind", "norm"], "left").select("tag", F.struct("i", "j", _dressed(F.col("kind"), F.col("said"), F.col("new")).alias("to")).alias("x"))
-    lists = found.groupBy("tag").agg(F.array_sort(F.collect_list("x")).alias("news"))
-    lists = lists.select(F.col("tag").alias(tag), "news")
-    whole = F.transform(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.array_join(F.transform(F.filter("news", lambda x: x["i"] == i), lambda x: x["to"]), " "))
+    own, tag, spans, news = (column_named(df, c) for c in ("n_entities", "tag", "spans", "news"))
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    scanned = save(df.withColumn(spans, found), "scanned")
+    dirty = scanned.where(F.size(spans) > 0).withColumn(tag, F.md5(F.col(text).cast("binary")))
+    said = dirty.select(F.col(tag).alias("tag"), F.posexplode(F.col(spans)).alias("i", "e")).distinct()
+    each = save(said.select("tag", "i", F.posexplode(_parts(F.col("e"))).alias("j", "x")).select("tag", "i", "j", "x.*"), "mentions")
+    # a form that stands anywhere is dressed once, however often it stands
+    forms = each.select("kind", "norm", "said").distinct()
+    table = surrogate_map(forms.where("kind not in ('title', 'initial')").select("kind", "norm"), key)
+    dressed = save(forms.join(table, ["kind", "norm"], "left").select("kind", "norm", "said", _dressed(F.col("kind"), F.col("said"), F.col("new")).alias("to")), "forms")
+    lead = F.when(F.col("kind").rlike("^(title|initial|given|surname)") & (F.col("j") > 0), F.lit(" ")).otherwise(F.lit(""))
+    parts = each.join(dressed, ["kind", "norm", "said"]).select("tag", F.struct("i", "j", F.concat(lead, "to").alias("to")).alias("x"))
+    # one string an entity, then one list a text: each in the order of its places
+    entities = parts.groupBy("tag", "x.i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.j", "x.to"))), lambda p: p["to"]), "").alias("to"))
+    lists = entities.groupBy(F.col("tag").alias(tag)).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "to"))), lambda p: p["to"]).alias(news))
     pieces = F.split(F.col(text), ANY, -1)
-    joined = F.array_join(F.zip_with(pieces, whole, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    clean = df.where(~hint | (F.coalesce(F.regexp_instr(F.col(text), F.lit(ANY)), F.lit(0)) == 0)).withColumn(own, F.lit(0))
+    joined = F.array_join(F.zip_with(pieces, F.col(news), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    clean = scanned.where(F.size(spans) == 0).withColumn(own, F.lit(0)).select(*df.columns, own)
     changed = dirty.join(lists, tag).withColumn(own, F.size(spans)).withColumn(text, joined).select(*df.columns, own)
     return clean.unionByName(changed)

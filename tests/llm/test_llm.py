@@ -404,3 +404,33 @@ def test_surrogates_of_other_scripts_and_full_spaces(spark):
     e = spark.createDataFrame([("phone", x.replace(" ", "")) for x in full], "kind string, norm string")
     m = surrogates.surrogate_map(e).collect()
     assert len({r.new for r in m}) == len(full) and not {r.new for r in m} & {r.norm for r in m}
+
+
+def test_surrogates_of_more_forms(spark):
+    said = {1: "Priya Raman and Dr. J. Q. Public, my name is Chen Dawei.", 2: "iban de89370400440532013000 or DE89 3704 0044 0532 0130 00", 3: "at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1ff:fe23:4567:890a at 12:30:45", 4: "AIzaSyA1234567890abcdefghijklmnopqrstuvw then xoxb-123456789012-abcdef", 5: "call +49 30 123456 or +358 40 1234567", 6: "std::map a::b 1::2"}
+    out = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(list(said.items()), "doc_id bigint, text string").withColumn("news", F.lit("own")).withColumn("x", F.lit(1))).collect()}
+    for gone in ("Priya", "Raman", "Public", "J. Q.", "Chen", "Dawei", "de8937", "8a2e", "1ff", "SyA123", "123456789012"):
+        assert not any(gone in r.text for r in out.values()), gone
+    assert out[1].n_entities == 3 and re.search(r"and Dr\. [A-Z]\. [A-Z]\. \w+, my name is \w+ \w+\.", out[1].text)
+    small, big = re.search(r"iban (\w+) or (.*)", out[2].text).groups()
+    assert small.upper() == big.replace(" ", "") and small.startswith("de") and "12:30:45" in out[3].text and out[4].text.startswith("AIza") and "xoxb-" in out[4].text
+    assert re.fullmatch(r"call \+49 \d\d \d{6} or \+358 \d\d \d{7}", out[5].text) and "123456 " not in out[5].text and out[6].text == said[6]
+
+
+def test_surrogates_keep_domains_distinct(spark):
+    domains = [f"{a}{b}.co" for a in "abcdefghijklm" for b in "nopqrs"]
+    out = surrogates.replace(spark.createDataFrame([(1, " ".join(f"x@{d}" for d in domains)), (2, "y@an.co z@AN.co")], "doc_id bigint, text string")).collect()
+    new = {r.doc_id: [e.split("@")[1] for e in r.text.split(" ")] for r in out}
+    assert len(set(new[1])) == len(domains) and not set(new[1]) & set(domains) and new[2][0] == new[2][1].lower() == new[1][0]
+
+
+def test_surrogates_of_many_addresses(spark):
+    e = spark.range(120_000).select(F.lit("given_f").alias("kind"), F.concat(F.lit("n"), "id").alias("norm"))
+    m = surrogates.surrogate_map(e)
+    assert m.count() == 120_000 and m.select("new").distinct().count() == 120_000
+
+
+def test_surrogates_of_edge_rows(spark):
+    long = "word " * 200_000 + "a@b.com " + "word " * 10
+    out = surrogates.replace(spark.createDataFrame([(None, long), (1, None), (1, None), (2, "a@b.com"), (2, "a@b.com"), (None, "a@b.com")], "doc_id bigint, text string").withColumn("tag", F.lit("t")).withColumn("spans", F.lit(0))).collect()
+    assert len(out) == 6 and sum(r.n_entities for r in out) == 4 and len({(r.text or "").split("word")[0].strip() for r in out if r.doc_id == 2}) == 1 and all(r.tag == "t" and r.spans == 0 for r in out)
