@@ -76,12 +76,16 @@ def cells(unit: np.ndarray, label: np.ndarray, tables: int, probes: int, seed: i
     return out
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    lists = column.to_pylist()
-    x = np.array(lists, dtype=np.float64)
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length. The largest component goes first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _units(column: pa.Array) -> np.ndarray:
+    return units(np.array(column.to_pylist(), dtype=np.float64))
+
+
 def _posted(batches: Iterator[pa.RecordBatch], tables: int, probes: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         point, label, dim = batch.column(0).to_numpy(), batch.column(1).to_numpy(), pa.array(batch.column(2)).value_lengths().to_numpy()
@@ -165,7 +169,7 @@ def dedup(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label
                 for d in {len(v) for v in lists[a:b]}:
                     at = np.array([len(v) == d for v in lists[a:b]])
                     unit = np.array([lists[a + k] for k in np.flatnonzero(at)], dtype=np.float64) if x.dtype == object else x
-                    unit = unit / np.sqrt((unit * unit).sum(axis=1))[:, None]
+                    unit = units(unit)
                     left = cols["left"][a:b][at]
                     sides = [{"unit": unit[s], **{c: cols[c][a:b][at][s] for c in ("point", "home", "label", "count")}} for s in (left, ~left)]
                     out += _tile(int(cols["t"][a]), *sides, threshold, tables, probes, seed)
