@@ -4,11 +4,11 @@ A vector is represented by the order of its nearest pivots, cut after `PREFIX` o
 inverted files: for each pivot the vectors that have it in their order, with its place. A query's order meets only the
 files of its own pivots, and the footrule distance between two orders (a missing pivot stands at the place after the
 last) is its value for disjoint orders less what each common pivot saves. Candidates are ranked by footrule; the best
-`RERANK` of each block, at least `LEAST`, are ranked anew by their exact inner products in double precision.
+`RERANK` of each block are ranked anew by their exact inner products in double precision.
 
 Every usable row is indexed; only the pivots are a bounded sample. Blocks of rows and of queries are bounded, so a task's memory does not
 grow with the table. Vectors that are null, zero or hold null or non-finite components take no part, nor do those of
-unusual length. Ties go to the smaller id. Rows that share the query's id are its own and no candidates. With too few
+unusual length (of the lengths that occur, the one that most vectors have counts). Ties go to the smaller id. Rows that share the query's id are its own and no candidates. With too few
 candidates there are fewer neighbours; an empty table gives no rows. Null ids take no part.
 """
 
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from envatlas.llm.vectors import usable, usual_length
 
-PIVOTS = 256
-PREFIX = 32
-RERANK = 0.3
-LEAST = 512
+PIVOTS = 512
+PREFIX = 64
+#: Of each block's rows the share that is ranked anew, at every size of input.
+RERANK = 0.2
 BLOCK = 1 << 16
 LEAST_BLOCKS = 12
 
@@ -57,12 +57,12 @@ class InvertedFiles:
         return np.bincount(np.concatenate([self.rows[s] for s in spans]), weights=gain, minlength=self.n)
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, prefix: int, rerank: float, least: int) -> pd.DataFrame:
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, prefix: int, rerank: float) -> pd.DataFrame:
     """The k best rows of one block for each query, with exact scores."""
     prefix = min(prefix, len(pivots))
     files = InvertedFiles(orders(vectors, pivots, prefix), len(pivots))
     order = orders(queries, pivots, prefix)
-    many = min(len(ids), max(least, int(rerank * len(ids))))
+    many = min(len(ids), max(1, int(np.ceil(rerank * len(ids)))))
     out = []
     for i, q in enumerate(queries):
         saved = files.saved(order[i])
@@ -79,7 +79,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
-def nearest(df: DataFrame, is_query: Callable[[Column], Column], k: int = 20, ident: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+def nearest(df: DataFrame, is_query: Callable[[Column], Column], k: int = 20, ident: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows found."""
     rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows = rows.where(F.size("v") == usual_length(rows, "v"))
@@ -93,7 +93,7 @@ def nearest(df: DataFrame, is_query: Callable[[Column], Column], k: int = 20, id
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_block(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), sample, k, prefix, rerank, least)
+        return search_block(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), sample, k, prefix, rerank)
 
     found = data.groupBy("b", "p").cogroup(queries.groupBy("b", "p")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
