@@ -8,7 +8,7 @@ which: all of them for each full round, then those that come first until the res
 choice among the next ones that leaves the smallest gap.
 
 Null texts have no words. A null source is a source of its own, last in order. An empty table gives no rows; repeated rows
-count each. Sources without words get target 0. Documents of equal id and text stand next to each other in the seeded order and share its decision.
+count each. Columns of any name pass through. Sources without words get target 0. Documents of equal id and text stand next to each other in the seeded order and share its decision.
 """
 
 from __future__ import annotations
@@ -135,9 +135,14 @@ def mix(df: DataFrame, membership: Column, weights=WEIGHTS, share: float = SHARE
 
     `membership` is an array of strings (null element: the null source); a document in no source is never taken. `weights`
     repeat over the sources in order of code point, null last. Sizes, targets and flows are kept a pattern; of the documents
-    the driver sees histograms and the few rows at each pattern's cut.
+    the driver sees histograms and the few rows at each pattern's cut. The three columns come last; where the input has such a name, they take a
+    trailing underscore, and no column of the input is lost or read as one of the operator's.
     """
-    rows = with_sizes(df.withColumn("mix_members", F.array_sort(F.array_distinct(membership))).withColumn("mix_key", key62(F.col(ident).cast("string"), F.col(text), seed=seed)), text, drop_text=not keep_text)
+    kept = [c for c in df.columns if keep_text or c != text]
+    own = [column_named(df, c) for c in ("mix_size", "mix_pattern", "mix_copies")]
+    # the input's columns travel as one, so that none can be taken for one of the operator's
+    packed = df.select(F.struct(*[df[c] for c in kept]).alias("row"), df[text].cast("string").alias("text"), F.array_sort(F.array_distinct(membership)).alias("mix_members"), key62(df[ident].cast("string"), df[text], seed=seed).alias("mix_key"))
+    rows = with_sizes(packed, "text", drop_text=True)
     rows = rows.withColumnRenamed(rows.columns[-1], "mix_size").withColumn("mix_pattern", F.to_json(F.struct("mix_members"), {"ignoreNullFields": "false"}))
     rows = save(rows, "mix")
     have = rows.groupBy("mix_pattern").agg(F.sum("mix_size").alias("n"), F.first("mix_members").alias("m")).limit(MOST_PATTERNS + 1).collect()
@@ -162,4 +167,5 @@ def mix(df: DataFrame, membership: Column, weights=WEIGHTS, share: float = SHARE
     out = rows.join(F.broadcast(plan_) if len(plan) <= 10_000 else plan_, "mix_pattern", "left")
     out = out.join(F.broadcast(extra_) if len(extra) <= 100_000 else extra_, ["mix_pattern", "mix_key"], "left")
     copies = F.coalesce(F.col("whole"), F.lit(0)) + F.when((F.col("mix_key") < F.col("cut")) | F.col("more").isNotNull(), 1).otherwise(0)
-    return out.withColumn("mix_copies", F.when(F.col("mix_size") > 0, copies).otherwise(0)).drop("whole", "cut", "more", "mix_key"), sizes, targets
+    out = out.select("row.*", F.col("mix_size").alias(own[0]), F.col("mix_pattern").alias(own[1]), F.when(F.col("mix_size") > 0, copies).otherwise(0).alias(own[2]))
+    return out, sizes, targets
