@@ -6,7 +6,7 @@ order in which equal texts stand together; each transfer is a stretch of that or
 texts where the nearest such place is within `tolerance` of a capacity, and inside a group where that group is too large.
 
 Null text has no bytes (and the CRC of none). Empty tables give no rows, repeated rows are placed each. Clashing names: the
-operator's columns replace none of the input's; query columns are chosen by the caller.
+operator's columns come last and take trailing underscores; none of the input's is lost.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from envatlas.llm.shared import _delete, cuts, save
+from envatlas.llm.shared import _delete, column_named, cuts, save
 from envatlas.llm.source_mixing import min_cost_flow
 
 SHARDS = 16
@@ -66,8 +66,13 @@ def _snapped(cut: tuple, target: int, within: float) -> int:
 
 
 def reshard(df: DataFrame, size: Column, old_shard: Column, key: Column, capacity=None, shards: int = SHARDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """Rows with shard_size, old_shard, shard_key and new_shard, and the transfers. The driver gets sizes by shard and histograms only."""
-    rows = save(df.withColumns({"shard_size": size.cast("bigint"), "old_shard": old_shard.cast("int"), "shard_key": key}), "reshard")
+    """Rows with shard_size, old_shard, shard_key and new_shard, and the transfers. The driver gets sizes by shard and histograms only.
+
+    A row without an old shard counts to shard 0.
+    """
+    own = [column_named(df, c) for c in ("shard_size", "old_shard", "shard_key", "new_shard")]
+    # the input's columns travel as one, so that none can be taken for one of the operator's
+    rows = save(df.select(F.struct("*").alias("row"), size.cast("bigint").alias("shard_size"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), key.alias("shard_key")), "reshard")
     old = {r.old_shard: r.n for r in rows.groupBy("old_shard").agg(F.sum("shard_size").alias("n")).collect()}
     capacity = capacity or equal_capacities(sum(old.values()), shards)
     plan = transfers(old, capacity)
@@ -83,8 +88,8 @@ def reshard(df: DataFrame, size: Column, old_shard: Column, key: Column, capacit
         spans += [(a, 0 if not i else ends[i - 1], ends[i], b) for i, (b, _) in enumerate(to)]
     # at most shards * shards rows, from the flow
     table = F.broadcast(df.sparkSession.createDataFrame(spans, "old_shard int, lo bigint, hi bigint, new_shard int"))
-    out = rows.join(table, "old_shard").where("shard_key >= lo and shard_key < hi").drop("lo", "hi")
-    return out, plan
+    out = rows.join(table, "old_shard").where("shard_key >= lo and shard_key < hi")
+    return out.select("row.*", *[F.col(c).alias(o) for c, o in zip(("shard_size", "old_shard", "shard_key", "new_shard"), own, strict=True)]), plan
 
 
 def with_slots(df: DataFrame, shard: str, key: str, *ties: str) -> DataFrame:
@@ -93,31 +98,42 @@ def with_slots(df: DataFrame, shard: str, key: str, *ties: str) -> DataFrame:
     A shard is dealt into spans by the key's lowest bits, which spread equal texts too; slots count within a span, and each
     span starts where the counts of those before it end.
     """
-    span = F.col(key).bitwiseAND(F.lit(_SPANS - 1)).cast("int")
-    rows = df.withColumn("span", span)
-    counts = rows.groupBy(shard, "span").agg(F.count("*").alias("n"))
-    start = F.sum("n").over(Window.partitionBy(shard).orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    slot = column_named(df, "slot")
+    packed = df.select(F.struct("*").alias("row"), F.col(shard).alias("s"), F.col(key).alias("k"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)])
+    rows = packed.withColumn("span", F.col("k").bitwiseAND(F.lit(_SPANS - 1)).cast("int"))
+    counts = rows.groupBy("s", "span").agg(F.count("*").alias("n"))
+    start = F.sum("n").over(Window.partitionBy("s").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
     # at most shards * _SPANS rows
-    starts = F.broadcast(counts.select(shard, "span", F.coalesce(start, F.lit(0)).alias("start")))
-    here = F.row_number().over(Window.partitionBy(shard, "span").orderBy(key, *ties)) - 1
-    return rows.withColumn("here", here).join(starts, [shard, "span"]).withColumn("slot", (F.col("start") + F.col("here")).cast("bigint")).drop("span", "here", "start")
+    starts = F.broadcast(counts.select("s", "span", F.coalesce(start, F.lit(0)).alias("start")))
+    here = F.row_number().over(Window.partitionBy("s", "span").orderBy("k", *[f"t{i}" for i in range(len(ties))])) - 1
+    return rows.withColumn("here", here).join(starts, ["s", "span"]).select("row.*", (F.col("start") + F.col("here")).cast("bigint").alias(slot))
 
 
 def rewrite(placed: DataFrame, root: str, shard: str = "new_shard", old: str = "old_shard") -> list[int]:
     """Writes anew, under root/shard=N, the shards that a transfer touched; the others' files stay as they are. Returns those written.
 
-    `placed` must not read from `root`: each affected shard is written beside its place and then takes it.
+    `placed` must not read from `root`: each affected shard is written beside its place, the old one is set aside, the new one takes its
+    place, and only when all stand is what was set aside deleted. If the driver is lost on the way, the next call first puts back what is missing.
     """
     spark = placed.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, aside = f"{root}/_new", f"{root}/_old"
+    if fs.exists(path(aside)):
+        for f in fs.listStatus(path(aside)):
+            home = path(f"{root}/{f.getPath().getName()}")
+            if not fs.exists(home):
+                fs.rename(f.getPath(), home)
+        _delete(spark, aside)
     touched = sorted({x for r in placed.where(F.col(shard) != F.col(old)).select(shard, old).distinct().collect() for x in r})
     if touched:
-        placed.where(F.col(shard).isin(touched)).withColumn("shard", F.col(shard)).drop(old, shard, "shard_key", "shard_size").write.mode("overwrite").partitionBy("shard").parquet(f"{root}/_new")
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        placed.where(F.col(shard).isin(touched)).withColumn("shard", F.col(shard)).drop(old, shard, "shard_key", "shard_size").write.mode("overwrite").partitionBy("shard").parquet(new)
+        fs.mkdirs(path(aside))
         for s in touched:
-            fs.delete(path(f"{root}/shard={s}"), True)
-            if fs.exists(path(f"{root}/_new/shard={s}")):
-                fs.rename(path(f"{root}/_new/shard={s}"), path(f"{root}/shard={s}"))
-        _delete(spark, f"{root}/_new")
+            if fs.exists(path(f"{root}/shard={s}")):
+                fs.rename(path(f"{root}/shard={s}"), path(f"{aside}/shard={s}"))
+            if fs.exists(path(f"{new}/shard={s}")):
+                fs.rename(path(f"{new}/shard={s}"), path(f"{root}/shard={s}"))
+        _delete(spark, aside)
+        _delete(spark, new)
     return touched
