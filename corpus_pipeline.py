@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next one's
 `docs`; all but the last return the columns of `documents`.
+
+Every stage takes null ids, texts, languages and sources, repeated rows, empty tables, texts of any length and further columns of any name, which pass
+through all stages but the last. Ties: of languages as near the first by code point, of near copies the least id stays, of documents that would
+close a source's gap as well the first in the seeded order.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from envatlas.llm import bpe, jaccard_join, language_id, source_mixing, surrogates
 from envatlas.llm.queries import vocabulary
-from envatlas.llm.shared import save
+from envatlas.llm.shared import column_named, save
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +39,8 @@ def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice, so that sources meet their targets."""
     rows, _, _ = source_mixing.mix(docs, F.array("source"), keep_text=True)
-    return rows.where("mix_copies > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    copies = F.col(rows.columns[-1])
+    return rows.where(copies > 0).select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias(column_named(rows, "again"))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envatlas.llm.arrowtext import mix, shingle_sets, words
-from envatlas.llm.shared import components, drop, save, tidy
+from envatlas.llm.shared import column_named, components, drop, save, tidy
 from envatlas.llm.sketch import reaches, sketch
 
 SIZE = 4
@@ -190,13 +190,16 @@ def link(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = S
 
 
 def one_of_each(df: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `df` that stay when one document of each component stays: the one of least id.
+    """The rows of `df` that stay when one document of each component stays: the one of least id, rows without an id last.
 
-    Rows that repeat an id with an equal text stay once. Rows without an id go if a document with one is linked to them, else they stay.
+    Rows are told apart by id and text, so that of a component whose ids are all null, or are repeated with other texts, one row stays as well. Rows
+    that repeat an id with an equal text stay once. Texts without words are linked with nothing and stay. Columns of any name pass through.
     """
-    rows = link(df, ident, text, **options).select(F.col("id").alias("stay_id"), "component_id")
-    stay = save(rows.where(F.col("stay_id").eqNullSafe(F.col("component_id"))).groupBy("stay_id").agg(F.count("*").alias("n")), "stay")
-    kept = df.join(stay, df[ident].eqNullSafe(stay["stay_id"]), "left_semi")
-    if not stay.where("n > 1 and stay_id is not null").limit(1).count():
-        return kept
-    return kept.withColumn("text_hash_", F.xxhash64(F.col(text))).dropDuplicates([ident, "text_hash_"]).drop("text_hash_")
+    mark, n = column_named(df, "mark"), "n"
+    keyed = df.withColumn(mark, F.struct(df[ident].isNull().alias("none"), df[ident].alias("id"), F.xxhash64(df[text]).alias("a"), F.xxhash64(F.lit(1), df[text]).alias("b")))
+    rows = link(keyed, mark, text, **options).select(F.col("id").alias("stay"), "component_id")
+    stay = save(rows.where(F.col("stay") == F.col("component_id")).groupBy("stay").agg(F.count("*").alias(n)), "stay")
+    kept = keyed.join(stay, keyed[mark] == stay["stay"], "left_semi")
+    if stay.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([mark])
+    return kept.drop(mark)
