@@ -296,7 +296,7 @@ def test_lattice_points():
 
 def test_permutation_index(spark, vectors):
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, label int")
-    got = permutation_index.nearest(df, lambda i: i % 20 == 0, k=7).collect()
+    got = permutation_index.nearest(df, lambda i: i % 20 == 0, k=7, rerank=1.0).collect()  # all reranked: exact
     ok = [r for r in vectors if r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
     for q in [r for r in ok if r[0] % 20 == 0]:
         want = sorted((-float((np.array(r[1]) * np.array(q[1])).sum()), r[0]) for r in ok if r[0] != q[0])[:7]
@@ -434,3 +434,179 @@ def test_surrogates_of_edge_rows(spark):
     long = "word " * 200_000 + "a@b.com " + "word " * 10
     out = surrogates.replace(spark.createDataFrame([(None, long), (1, None), (1, None), (2, "a@b.com"), (2, "a@b.com"), (None, "a@b.com")], "doc_id bigint, text string").withColumn("tag", F.lit("t")).withColumn("spans", F.lit(0))).collect()
     assert len(out) == 6 and sum(r.n_entities for r in out) == 4 and len({(r.text or "").split("word")[0].strip() for r in out if r.doc_id == 2}) == 1 and all(r.tag == "t" and r.spans == 0 for r in out)
+
+
+def test_lattice_dedup_of_any_norm(spark):
+    rng = np.random.default_rng(9)
+    a, c = rng.normal(size=16), rng.normal(size=16)
+    rows = [(1, a * 1e300), (2, a * 1e-300), (3, a + 1e-4), (4, c), (5, np.full(16, 5e-324))]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in lattice_dedup.dedup(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_clashing_names(spark, frame):
+    names = ["cut", "whole", "more", "mix_size", "mix_key", "mix_pattern", "name", "g", "w", "row", "size"]
+    df = frame.select("doc_id", "text", "source", *[F.lit(f"own {n}").alias(n) for n in names])
+    rows, sizes, _ = source_mixing.mix(df, F.array("source"))
+    got = rows.collect()
+    assert all(r[n] == f"own {n}" for r in got for n in names) and rows.columns[-3:] == ["mix_size_", "mix_pattern_", "mix_copies"] and sum(r.mix_size_ for r in got) == sum(sizes.values())
+    names = ["lo", "hi", "start", "here", "span", "slot", "shard_size", "row", "n", "old_shard"]
+    df = frame.select("doc_id", "text", *[F.lit(f"own {n}").alias(n) for n in names])
+    key = resharding.order_key(F.coalesce("text", F.lit("")), F.col("doc_id"))
+    placed, _ = resharding.reshard(df, F.length(F.coalesce("text", F.lit(""))) + 1, F.shiftright(key, 60), key, shards=4)
+    out = resharding.with_slots(placed, "new_shard", "shard_key", "doc_id").collect()
+    assert len(out) == frame.count() and all(r[n] == f"own {n}" for r in out for n in names) and {"shard_size_", "old_shard_", "slot_"} <= set(out[0].asDict())
+    keyed = frame.withColumns({n: F.lit(n) for n in ("mark", "stay", "n", "component_id", "text_hash_")})
+    assert jaccard_join.one_of_each(keyed, bits=BITS).columns == keyed.columns
+
+
+def test_one_of_each_without_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, words), (None, words + " x"), (None, "quite another text of its own"), (7, "one"), (7, "two"), (8, "one"), (None, None), (9, "")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), bits=BITS).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(None, words), (None, "quite another text of its own"), (7, "one"), (7, "two"), (None, None), (9, "")], key=repr)
+
+
+def test_least_moves_and_recovery(spark, tmp_path):
+    rng = random.Random(4)
+    old = {i: rng.randrange(1000) for i in range(16)}
+    capacity = resharding.equal_capacities(sum(old.values()))
+    assert sum(n for (a, b), n in resharding.transfers(old, capacity).items() if a != b) == sum(max(0, old[i] - capacity[i]) for i in old)
+    root = tmp_path / "shards"
+    (root / "_old" / "shard=3").mkdir(parents=True)
+    (root / "_old" / "shard=3" / "kept").write_text("x")
+    placed = spark.createDataFrame([(1, 0, 0)], "doc_id int, old_shard int, new_shard int")
+    assert resharding.rewrite(placed, str(root)) == [] and (root / "shard=3" / "kept").exists() and not (root / "_old").exists()
+
+
+def naive_language(rows, dimensions=language_id.DIMENSIONS):
+    """Predictions by the method's definition, text by text."""
+    def vector(t):
+        letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in t or "")
+        padded = " " + re.sub(" +", " ", letters) + " "
+        padded = re.sub(" +", " ", padded)
+        out = np.zeros(dimensions)
+        for n, i in collections.Counter(padded[i - 1 : i + 2] for i in range(1, len(padded) - 1) if padded[i] != " ").items():
+            codes = [ord(c) if c != " " else 0 for c in n]
+            out += i * np.prod([np.roll(language_id._letter(c, dimensions, language_id.SEED), 2 - k).astype(int) for k, c in enumerate(codes)], axis=0)
+        return out
+
+    sums = {}
+    for lang, text in {(r[2], r[1]) for r in rows if r[2] is not None and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2}:
+        v = vector(text)
+        sums[lang] = sums.get(lang, 0) + v / max(np.linalg.norm(v), 1e-9)
+    names = sorted(k for k, v in sums.items() if np.linalg.norm(v))
+    for r in rows:
+        v = vector(r[1])
+        cosine = [v @ sums[k] / max(np.linalg.norm(v) * np.linalg.norm(sums[k]), 1e-9) for k in names]
+        yield r[0], ("und", 0.0) if not v.any() or not names else (names[int(np.argmax(cosine))], min(1.0, max(0.0, max(cosine))))
+
+
+def test_registered_language_id(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = dict(naive_language(rows))
+    got = queries.op1_language_id(spark, SF).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-4 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    known = [r for r in rows if r[2] is not None and want[r[0]][0] != "und" and zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert sum(want[r[0]][0] == r[2] for r in known) >= 0.95 * len(known)
+
+
+def test_language_id_of_long_and_tied_texts(spark):
+    long = ("ab " * 400_000) + "é" * 600_000
+    (_, a), (_, b) = language_id.vectors([long, "x"])
+    parts = language_id.vectors(["ab " * 400_000]), language_id.vectors(["é" * 600_000])
+    assert np.allclose(a[0], sum(next(p)[1][0] for p in parts), rtol=1e-5) and b.any()
+    model = {"y": np.ones(8), "x": np.ones(8)}
+    df = spark.createDataFrame([(1, "abc"), (1, "abc"), (None, "abc")], "doc_id bigint, text string")
+    out = language_id.predict(df, model, dimensions=8).collect()
+    assert {r.lang_pred for r in out} == {"x"} and len(out) == 3
+
+
+def test_registered_sql_free_queries(spark):
+    """op2, op3, op5, op6, op9 and op10 on a whole table against versions by their definitions."""
+    import tokenizers
+
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    by = {r[0]: r for r in rows}
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in queries.op2_substring_dedup(spark, SF).collect()) == sorted(removed(rows, 35))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.op6_jaccard_join(spark, SF).collect()) == sorted(linked(rows))
+    library = tokenizers.Tokenizer.from_file(queries.vocabulary())
+    lengths = []
+    for r in queries.op10_bpe(spark, SF).collect():
+        ids = library.encode(by[r.doc_id][1] or "", add_special_tokens=False).ids
+        lengths.append(len(ids))
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    table = queries.op3_token_counts(spark, SF)
+    assert token_counts.answer(table, 100) == {"docs_cut": sum(n > 100 for n in lengths), "kept": sum(min(n, 100) for n in lengths), "lost": sum(max(0, n - 100) for n in lengths)}
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    whole = {s: sum(size[r[0]] for r in rows if r[3] == s) for s in names}
+    targets = source_mixing.capped_targets(whole, {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)})
+    mixed = queries.op5_source_mixing(spark, SF).collect()
+    assert len(mixed) == len(rows) and all(r.size == size[r.doc_id] and r.source_size == whole[by[r.doc_id][3]] and abs(r.target - targets[by[r.doc_id][3]]) < 1e-6 and 0 <= r.taken <= 2 * r.size and (not r.size or r.taken % r.size == 0) for r in mixed)
+    for s in names:
+        assert abs(sum(r.taken for r in mixed if by[r.doc_id][3] == s) - targets[s]) <= max(size[r[0]] for r in rows if r[3] == s)
+    placed = queries.op9_resharding(spark, SF).collect()
+    assert len(placed) == len(rows) and all(r.size == len((by[r.doc_id][1] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((by[r.doc_id][1] or "").encode()) and r.law == "bytes" and r.grown_shard is None for r in placed)
+    sums = [sum(r.size for r in placed if r.shard == i) for i in range(16)]
+    assert max(sums) - min(sums) <= 0.2 * sum(sums) / 16 + max(r.size for r in placed)
+    assert all(sorted(r.slot for r in placed if r.shard == i) == list(range(sum(r.shard == i for r in placed))) for i in range(16))
+
+
+def test_registered_vector_queries(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ok = [r for r in rows if r.embedding is not None and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
+    x = np.array([r.embedding for r in ok], dtype=np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & np.array([[a.label is not None and a.label == b.label for b in ok] for a in ok])
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r for r in queries.op7_lattice_dedup(spark, SF).collect()}
+    assert len(got) == len(rows) and all(got[r.vec_id].n_links == near[i].sum() for i, r in enumerate(ok))
+    found = collections.defaultdict(list)
+    for r in queries.op4_permutation_index(spark, SF).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hit = n = 0
+    for i, r in enumerate(ok):
+        if r.vec_id % 20 == 0:
+            best = [ok[j].vec_id for j in np.lexsort(([o.vec_id for o in ok], -(x @ x[i]))) if j != i][:20]
+            mine = sorted(found[r.vec_id])
+            assert [k for k, _, _ in mine] == list(range(1, len(mine) + 1)) and len(mine) == len(best)
+            hit, n = hit + len({v for _, v, _ in mine} & set(best)), n + len(best)
+    assert hit >= 0.9 * n
+
+
+def test_pipeline_run_equals_its_stages_by_definition(spark):
+    """run() against versions of the stages that need no Spark, but for surrogates and the mix's choice, which are taken from the operators alone."""
+    import tokenizers
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    first = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    stay = {c for _, _, c in linked(first, 80, 5)}
+    second = docs.where(F.col("doc_id").isin([int(i) for i in stay]))
+    texts = {r.doc_id: r.text for r in surrogates.replace(second).collect()}
+    again = spark.createDataFrame([(r[0], texts[r[0]], r[3]) for r in first if r[0] in stay], "doc_id bigint, text string, source string")
+    mixed, sizes, targets = source_mixing.mix(again, F.array("source"))
+    copies = {r.doc_id: r.mix_copies for r in mixed.collect()}
+    for s, t in targets.items():
+        took = sum(len(WORD.findall(texts[i])) * c for i, c in copies.items() if {r[0]: r[3] for r in rows}[i] == s)
+        assert t <= 2 * sizes[s] + 1e-9 and abs(took - t) <= max(len(WORD.findall(x)) for x in texts.values())
+    library = tokenizers.Tokenizer.from_file(queries.vocabulary())
+    want = collections.Counter()
+    for i, c in copies.items():
+        ids = library.encode(texts[i], add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] += c
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == collections.Counter({k: v for k, v in want.items() if v})
+
+
+def test_pipeline_takes_hard_rows(spark, docs):
+    import corpus_pipeline
+
+    state = spark.createDataFrame([*docs, *docs[:3], (500, "x" * 300_000 + " a@b.com", "en", None)], DOC).withColumns({n: F.lit("own") for n in ("lang_pred", "mark", "news", "mix_copies", "again", "row", "tag")})
+    for name, stage in corpus_pipeline.STAGES:
+        columns = state.columns
+        state = stage(spark, state, SF)
+        assert state.count() > 0 and (name == "bpe" or state.columns == columns and all(r == "own" for r in state.select("mark", "row").first())), name
