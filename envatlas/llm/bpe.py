@@ -221,9 +221,10 @@ class WordBpe:
 
     def piece_words(self, piece: str) -> list[str]:
         """split_words() of a piece without white space; letters alone, or letters before plain punctuation, need no pattern."""
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).translate(self.lower)
-        low = self.lowered(piece)
+        if piece.isascii():
+            low = piece.lower()
+        else:
+            low = self.lowered(unicodedata.normalize("NFC", piece).translate(self.lower))
         if low.isalpha():
             return [low]
         core = low.rstrip(".,;:!?|")
@@ -298,8 +299,14 @@ class WordBpe:
         self._learn_words(list(new - self.word_old.keys()))
         seen = self.word_young
         for piece, ws in split.items():
-            got = [seen[w] for w in ws]
-            young[piece] = got[0] if len(got) == 1 else (sum([g[0] for g in got]), "".join([g[1] for g in got]), "".join([g[2] for g in got]))
+            if len(ws) == 1:
+                young[piece] = seen[ws[0]]
+            elif len(ws) == 2:
+                (a, b, c), (x, y, z) = seen[ws[0]], seen[ws[1]]
+                young[piece] = a + x, b + y, c + z
+            else:
+                got = [seen[w] for w in ws]
+                young[piece] = sum([g[0] for g in got]), "".join([g[1] for g in got]), "".join([g[2] for g in got])
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Count, ids and decoded string (the latter two joined by one blank) of each whole text, in order."""
@@ -313,8 +320,11 @@ class WordBpe:
             self.learn(set().union(*split))
             seen = self.young
             for pieces in split:
-                got = [seen[x] for x in pieces]
-                yield sum([g[0] for g in got]), "".join([g[1] for g in got])[1:], "".join([g[2] for g in got])[1:]
+                if not pieces:
+                    yield 0, "", ""
+                    continue
+                n, ids, back = zip(*map(seen.__getitem__, pieces), strict=True)
+                yield sum(n), "".join(ids)[1:], "".join(back)[1:]
             i = j
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,12 +69,20 @@ def column_named(df: DataFrame, wanted: str) -> str:
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """`run` for mapInArrow, after whose end a worker process, which Spark uses again, gives freed memory back to the system."""
+    """`run` for mapInArrow, in a worker process that Spark uses again: afterwards freed memory goes back to the system.
+
+    The functions here make many small objects and no cycles, so the search for cycles pauses while they run.
+    """
 
     def whole(batches: Iterator) -> Iterator:
+        searched = gc.isenabled()
+        gc.disable()
         try:
             yield from run(batches)
         finally:
+            if searched:
+                gc.enable()
+            gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
             if trim:
