@@ -35,11 +35,11 @@ def relative(path: Column, root: str) -> Column:
 
 
 def env_files(files: DataFrame, globs: list[str]) -> DataFrame:
-    """Files (path) whose names match an env pattern, with file_rank, the pattern's place: of two files of one folder the later pattern's overrides."""
+    """Files (path) whose names match an env pattern, with file_rank, the place of the first such pattern: of two files of one folder the later one's overrides."""
     name = text.base_name(F.col("path"))
     rank = None
-    for i in range(len(globs) - 1, -1, -1):
-        hit = text.matches_any(name, [globs[i]])
+    for i, glob in enumerate(globs):
+        hit = text.matches_any(name, [glob])
         rank = F.when(hit, i) if rank is None else rank.when(hit, i)
     return files.withColumn("file_rank", rank).where("file_rank is not null") if rank is not None else files.withColumn("file_rank", F.lit(0)).limit(0)
 

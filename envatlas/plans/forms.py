@@ -130,10 +130,11 @@ HOLDS = {
         "python": (("A{k} = x", (("A{k}", "x", "A{k}", None, None),)), ("def f{k}(): pass", (("f{k}", None, "f{k}", None, None),)), ("class C{k}: pass", (("C{k}", None, "C{k}", None, None),))), "rust": (("pub const A{k}: T = x;", (("A{k}", "x", "A{k}", None, None),)), ("pub fn f{k}() {}", (("f{k}", None, "f{k}", None, None),)), ("fn g{k}() {}", ())), "go": (("func F{k}() {}", (("F{k}", None, "F{k}", None, None),)), ("func f{k}() {}", ()), ("type T{k} struct{}", (("T{k}", None, "T{k}", None, None),))), "java": (("public class C{k} {}", (("C{k}", None, "C{k}", None, None),)),), "kotlin": (("fun f{k}() {}", (("f{k}", None, "f{k}", None, None),)),), "elixir": (("def f{k}(x), do: x", (("f{k}", None, "f{k}", None, None),)),), "zig": (("pub fn f{k}() void {}", (("f{k}", None, "f{k}", None, None),)),),
     },
     "property": {"javascript": (("use(env.P{k});", (("P{k}", None, "env", None, None),)), ('use(env["Q{k}"]);', (("Q{k}", None, "env", None, None),)), ("use('env.R{k}');", ())), "python": (("use(env.P{k})", ()),)},
+    "identifier": {"javascript": (("use(a{k}, b.c{k}, 'd{k}');", (("use", None, None, None, None), ("a{k}", None, None, None, None), ("b", None, None, None, None))),), "php": (("$x = [$a{k}, '$b'];", (("$x", None, None, None, None), ("$a{k}", None, None, None, None))),), "python": (("f{k}(g) if h else f'{i{k}}'", tuple((x, None, None, None, None) for x in ("f{k}", "g", "h", "i{k}"))),)},
     "error": {"javascript": (("f{k}();", ()), ("g{k} ];", (("Unexpected: ];", None, None, None, None),)), ("h{k} = 'x;", (("Unexpected: 'x;", None, None, None, None),)))},
 }
 _COLUMNS = ("name", "key", "source", "module", "alias")
-QUERY_OF = {"import": "ext06_imports", "assignment": "ext10_assignments", "destructure": "ext11_destructures", "reassignment": "ext08_reassignments", "export": "ext12_exports", "property": "ext14_members", "error": "ext13_syntax_errors"}
+QUERY_OF = {"import": "ext06_imports", "assignment": "ext10_assignments", "destructure": "ext11_destructures", "reassignment": "ext08_reassignments", "export": "ext12_exports", "property": "ext14_members", "identifier": "ext09_identifiers", "error": "ext13_syntax_errors"}
 
 
 def _holds(kind: str) -> None:

@@ -43,7 +43,7 @@ def entries(files: DataFrame) -> DataFrame:
     )
     sc = F.length("line") - F.length("body")
     out = lines.select("file_id", F.col("sl").alias("ord"), F.trim("key").alias("key"), "raw_value", value.alias("value"), "is_comment", error.alias("error_code"), "sl", sc.alias("sc"), (sc + F.length(F.trim("key"))).alias("ec"), "eq", "line")
-    place = F.when(F.col("error_code") == CODES["invalid_utf8"], F.instr("line", "\ufffd") - 1).when(F.col("error_code") == CODES["double_equals"], F.col("sc") + F.col("eq")).when(F.col("error_code").isin(CODES["whitespace"], CODES["empty_key"]), F.col("sc") + F.col("eq") - 1).otherwise(F.col("sc"))
+    place = F.when(F.col("error_code") == CODES["invalid_utf8"], F.instr("line", "\ufffd") - 1).when(F.col("error_code") == CODES["double_equals"], F.col("sc") + F.col("eq")).when(F.col("error_code") == CODES["whitespace"], F.col("ec")).when(F.col("error_code") == CODES["empty_key"], F.col("sc") + F.col("eq") - 1).otherwise(F.col("sc"))
     return out.withColumn("error_at", F.when(F.col("error_code").isNotNull(), place)).drop("eq", "line")
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from envatlas.functions import errors
 from envatlas.sources.languages import BY_EXTENSION, BY_ID, BY_NAME, END, Language
 from envatlas.sources.lexing import Code, scan
 
@@ -26,27 +27,32 @@ FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
 _END = re.compile(END)
 _TAIL = re.compile(r"(?:\s+as\s+[\w$<>\[\]. |&{}:;'\"]+|!)+$")
 _PROPERTY = re.compile(r"\s*(?P<key>[A-Za-z_$][\w$]*)(?:\s*:\s*(?P<local>[A-Za-z_$][\w$]*))?(?:\s*=[\s\S]*)?\s*$")
-_KEYWORDS = frozenset("true false null undefined None True False nil this self super new function await if else return for while do end then not and or in is let const var def class import from export default async static public private yield throw try catch typeof void delete match pub use mut fn func package type struct".split())
+_COMMON = "true false null undefined None True False nil this self super new function await if else return for while do in const var class import from export default async static public private yield throw try catch typeof void delete let"
+#: Words that are no names, by language, besides the common ones.
+_OWN_KEYWORDS = {
+    "python": "def pass lambda elif except with as is not and or match finally raise global nonlocal del assert", "rust": "pub use mut fn match struct impl enum trait mod as move ref where", "go": "func package type struct defer go range chan map", "php": "use fn echo as match foreach elseif list array",
+    "ruby": "def end then elsif unless until module begin rescue ensure and or not", "lua": "local end then elseif until repeat and or not", "elixir": "def defp defmodule end fn use alias require when and or not", "kotlin": "fun val when is as object", "bash": "fi then done esac case elif echo local", "zig": "pub fn orelse comptime struct switch",
+}
+_KEYWORDS_OF = {x: frozenset(f"{_COMMON} {_OWN_KEYWORDS.get(x, '')}".split()) for x in BY_NAME}
 _CLOSERS = frozenset(("end", "until", "fi", "done", "esac"))
 _BASH_BLOCKS = r"(?:(?<=\n)|(?<=[;&|])|^)[ \t]*(?:if|case|do)\b|(?:(?<=\n)|(?<=[;&|])|^)[ \t]*(?:fi|esac|done)\b"
 _METHOD = re.compile(r"\)\s*(?:(?:->|:)\s*[^{=;]+|throws\s+[\w., ]+|const|override|noexcept|where\s[^{]*)?\s*$")
 MOST_SHOWN = 30
 
 
+def compiled(pattern: str, lang: str) -> re.Pattern:
+    """The pattern, or after a warning one that matches nothing: a language with one bad pattern keeps its others."""
+    return errors.ok_warn(lambda: re.compile(pattern), f"a pattern of {lang}") or re.compile(r"(?!)")
+
+
 @lru_cache(64)
 def _patterns(lang: str) -> dict[str, list[re.Pattern]]:
     spec = BY_NAME[lang]
-    return {
-        "reference": [re.compile(r) for r in spec.references],
-        "declare": [re.compile(rf"(?<![\w.$@]){d}") for d in spec.declares],
-        "keyed": [re.compile(k) for k in spec.keyed],
-        "object": [re.compile(spec.object_alias)] if spec.object_alias else [],
-        "extra": [re.compile(e) for e in spec.extra_bindings],
-        "reassign": [re.compile(spec.reassigns.replace("%s", spec.identifier))],
-        "import": [re.compile(p) for p in spec.imports],
-        "export": [re.compile(p) for p in spec.exports],
-        "identifier": [re.compile(rf"(?<![\w$.])(?<![\w$]\s\.)({spec.identifier})")],
-    }
+    by_kind = {
+        "reference": spec.references, "declare": [rf"(?<![\w.$@]){d}" for d in spec.declares], "keyed": spec.keyed, "object": [spec.object_alias] if spec.object_alias else [], "extra": spec.extra_bindings,
+        "reassign": [spec.reassigns.replace("%s", spec.identifier)], "import": spec.imports, "export": spec.exports, "identifier": [rf"(?<![\w$.])(?<![\w$]\s\.)({spec.identifier})" + (r"(?![\"'])" if lang == "python" else "")],
+    }
+    return {kind: [compiled(p, lang) for p in patterns] for kind, patterns in by_kind.items()}
 
 
 def _listed(text: str, at: int) -> Iterator[tuple[str, str, tuple[int, int], tuple[int, int]]]:
@@ -255,6 +261,7 @@ def facts(file_id: int, lang: str, content: str | None, use_imports: bool = Fals
     pairs, alone = code.brackets()
     p = _patterns(lang)
     out: list[tuple] = []
+    keywords = _KEYWORDS_OF[lang]
     blocks = _scopes(code, spec, pairs)
     nest = _Nest(blocks)
 
@@ -327,7 +334,7 @@ def facts(file_id: int, lang: str, content: str | None, use_imports: bool = Fals
                 return
         m = re.compile(rf"(?:\$\{{?)?({spec.identifier}|[A-Za-z_]\w*)\}}?\"?" if spec.name == "bash" else rf"({spec.identifier})").match(text, v)
         clone = re.compile(r"\.clone\(\)").match(text, m.end()) if m and spec.name == "rust" else None
-        if m and m[1] not in _KEYWORDS and _END.match(bare, clone.end() if clone else m.end()):
+        if m and m[1] not in keywords and _END.match(bare, clone.end() if clone else m.end()):
             add("assignment", (span[0], m.end()), target, name, source=m[1])
 
     targets: set[int] = set()  # where declared names stand, and all that stands in their declarations before the value
@@ -344,7 +351,7 @@ def facts(file_id: int, lang: str, content: str | None, use_imports: bool = Fals
                     add("binding", (start, b), name, text[slice(*name)], key=ref["name"])
                 elif env:
                     add("object", (start, b), name, text[slice(*name)], source=spec.default_object)
-                elif source and bare_value not in _KEYWORDS:
+                elif source and bare_value not in keywords:
                     add("assignment", (start, b), name, text[slice(*name)], source=bare_value)
                 continue
             for i, j in _items(bare, name, pairs) if env or source else ():
@@ -355,12 +362,12 @@ def facts(file_id: int, lang: str, content: str | None, use_imports: bool = Fals
                     targets.add(span[0])
                     add("binding" if env else "destructure", (start, b), span, m[local], key=m["key"], source=None if env else bare_value, key_span=key)
         for m in re.finditer(rf"(?<![\w$.])(?P<target>{spec.identifier})\s*=(?![=>])\s*(?P<source>{spec.identifier})(?![\w$.(\[])", bare):
-            if m.start("target") not in targets and m["source"] not in _KEYWORDS and _END.match(bare, m.end()):
+            if m.start("target") not in targets and m["source"] not in keywords and _END.match(bare, m.end()):
                 add("assignment", m.span(), m.span("target"), m["target"], source=m["source"])
         for m in re.finditer(rf"(?<![\w$.])(?P<target>{spec.identifier})\s*=(?![=>])|(?<![\w$.])(?P<up>{spec.identifier})(?:\+\+|--)|(?:\+\+|--)(?P<down>{spec.identifier})", bare):
             group = "target" if m["target"] else "up" if m["up"] else "down"
             before = bare[max(0, m.start() - 200) : m.start()].rstrip(" \t")
-            if m.start(group) not in targets and m[group] not in _KEYWORDS and (group != "target" or not before or before[-1] in ";{}\n=&|?:!)"):
+            if m.start(group) not in targets and m[group] not in keywords and (group != "target" or not before or before[-1] in ";{}\n=&|?:!)"):
                 add("reassignment", m.span(group), m.span(group), m[group])
     else:
         strict = spec.name == "python"
@@ -368,7 +375,7 @@ def facts(file_id: int, lang: str, content: str | None, use_imports: bool = Fals
             start = m.start("target")
             # of several targets on one left side none takes the first value
             beside = spec.name in ("python", "ruby", "lua", "elixir") and re.search(r",[ \t]*$", text[max(0, start - 40) : start])
-            if start in targets or m["target"] in _KEYWORDS or beside:
+            if start in targets or m["target"] in keywords or beside:
                 continue
             targets.update(range(start, m.end()))
             valued(m.span(), m.span("target"), m.end(), strict)
@@ -377,7 +384,7 @@ def facts(file_id: int, lang: str, content: str | None, use_imports: bool = Fals
             if v:
                 add("binding", m.span(), m.span("target"), m["target"], key=v["name"])
         for m in p["reassign"][0].finditer(bare):
-            if m["target"] not in _KEYWORDS:
+            if m["target"] not in keywords:
                 add("reassignment", m.span("target"), m.span("target"), m["target"])
 
     for m in each("export"):
@@ -401,11 +408,11 @@ def facts(file_id: int, lang: str, content: str | None, use_imports: bool = Fals
         add("scope", (a, b), (a, b), kind)
         out[-1] = (*out[-1][:-3], nest.parents[i], i + 2, nest.path(i + 2))
     for m in p["identifier"][0].finditer(bare):
-        if m[1] not in _KEYWORDS:
+        if m[1] not in keywords:
             add("identifier", m.span(1), m.span(1), m[1])
     if spec.is_js:
         for m in re.finditer(r"(?<![\w$.])([A-Za-z_$][\w$]*)(?:\s*\??\.\s*([A-Za-z_$][\w$]*)|\[\s*[\"'](\w+)[\"']\s*\])", text):
-            if not code.is_dead(m.start()) and m[1] not in _KEYWORDS - {"this"}:
+            if not code.is_dead(m.start()) and m[1] not in keywords - {"this"}:
                 group = 2 if m[2] else 3
                 add("property", m.span(), m.span(group), m[group], source=m[1])
     for place, c in alone:
