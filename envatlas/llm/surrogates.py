@@ -167,29 +167,24 @@ def _norm(kind: Column, e: Column) -> Column:
     )
 
 
-def _parts(e: Column) -> Column:
-    """(kind, norm, said) parts of an entity, which stand one after the other: a name's words, an email's local part and its domain, others have one part."""
-    kind = _kind(e)
-    words = F.filter(F.split(e, " "), lambda w: ~w.rlike(r"^\p{Lu}\.$"))
-    title = F.rtrim(F.element_at(words, 1), F.lit("."))
-    titled = title.isin(*TITLES_F, *TITLES_M, *TITLES_N)
-    given = F.when(titled, F.when(F.size(words) > 2, F.element_at(words, 2))).otherwise(F.element_at(words, 1))
-    gender = F.when(titled & title.isin(*TITLES_F) | F.coalesce(given, F.lit("")).isin(*GIVEN_F), "f").when(titled & title.isin(*TITLES_M) | F.coalesce(given, F.lit("")).isin(*GIVEN_M), "m").otherwise("n")
-    last = F.size(F.split(e, " ")) - 1
-
-    def part(k: Column, said: Column, norm: Column | None = None) -> Column:
-        return F.struct(k.alias("kind"), (_norm(k, said) if norm is None else norm).alias("norm"), said.alias("said"))
-
-    def word(w: Column, i: Column) -> Column:
-        # only Cyrillic surnames have a gender
-        family = F.when(w.rlike(r"\p{IsCyrillic}") & (gender == "f"), "surname_f").otherwise("surname")
-        k = F.when((i == 0) & titled, "title").when(w.rlike(r"^\p{Lu}\.$"), "initial").when((i < last) & w.eqNullSafe(given), F.concat(F.lit("given_"), gender)).otherwise(family)
-        return part(k, w)
-
-    at = F.instr(e, "@")
-    domain = F.substring(e, at + 1, F.length(e))
-    email = F.array(part(F.lit("email"), F.substring(e, F.lit(1), at - 1), F.lower(e)), part(F.lit("domain"), domain, F.lower(domain)))
-    return F.when(kind == "name", F.transform(F.split(e, " "), word)).when(kind == "email", email).otherwise(F.array(part(kind, e)))
+def _parts(said: DataFrame) -> DataFrame:
+    """(e, j, kind, norm, said): the parts of distinct entities (e, kind), which stand one after the other: a name's words, an email's local part and its domain; others have one part."""
+    named = said.where("kind = 'name'").withColumn("all", F.split("e", " ")).withColumn("words", F.filter("all", lambda w: ~w.rlike(r"^\p{Lu}\.$")))
+    named = named.withColumn("title", F.rtrim(F.element_at("words", 1), F.lit("."))).withColumn("titled", F.col("title").isin(*TITLES_F, *TITLES_M, *TITLES_N))
+    named = named.withColumn("given", F.when(F.col("titled"), F.when(F.size("words") > 2, F.element_at("words", 2))).otherwise(F.element_at("words", 1)))
+    woman = (F.col("titled") & F.col("title").isin(*TITLES_F)) | F.coalesce(F.col("given").isin(*GIVEN_F), F.lit(False))
+    man = (F.col("titled") & F.col("title").isin(*TITLES_M)) | F.coalesce(F.col("given").isin(*GIVEN_M), F.lit(False))
+    named = named.withColumn("gender", F.when(woman, "f").when(man, "m").otherwise("n"))
+    each = named.select("e", "titled", "given", "gender", (F.size("all") - 1).alias("last"), F.posexplode("all").alias("j", "said"))
+    # only Cyrillic surnames have a gender
+    family = F.when(F.col("said").rlike(r"\p{IsCyrillic}") & (F.col("gender") == "f"), "surname_f").otherwise("surname")
+    kind = F.when((F.col("j") == 0) & F.col("titled"), "title").when(F.col("said").rlike(r"^\p{Lu}\.$"), "initial").when((F.col("j") < F.col("last")) & F.col("said").eqNullSafe(F.col("given")), F.concat(F.lit("given_"), "gender")).otherwise(family)
+    names = each.select("e", "j", kind.alias("kind"), F.lower("said").alias("norm"), "said")
+    at = F.instr("e", "@")
+    domain = F.substring(F.col("e"), at + 1, F.length("e"))
+    emails = said.where("kind = 'email'").select("e", F.posexplode(F.array(F.struct(F.lit("email").alias("kind"), F.lower("e").alias("norm"), F.substring(F.col("e"), F.lit(1), at - 1).alias("said")), F.struct(F.lit("domain").alias("kind"), F.lower(domain).alias("norm"), domain.alias("said")))).alias("j", "x")).select("e", "j", "x.*")
+    others = said.where("kind not in ('name', 'email')").select("e", F.lit(0).alias("j"), "kind", _norm(F.col("kind"), F.col("e")).alias("norm"), F.col("e").alias("said"))
+    return names.unionByName(emails).unionByName(others)
 
 
 def _initial(said: Column, key: str = KEY) -> Column:
@@ -246,17 +241,16 @@ def replace(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     found = F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
     scanned = save(df.withColumn(spans, found), "scanned")
     dirty = scanned.where(F.size(spans) > 0).withColumn(tag, F.md5(F.col(text).cast("binary")))
-    said = dirty.select(F.col(tag).alias("tag"), F.posexplode(F.col(spans)).alias("i", "e")).distinct()
-    each = save(said.select("tag", "i", F.posexplode(_parts(F.col("e"))).alias("j", "x")).select("tag", "i", "j", "x.*"), "mentions")
-    # a form that stands anywhere is dressed once, however often it stands
-    forms = each.select("kind", "norm", "said").distinct()
+    mentions = save(dirty.select(F.col(tag).alias("tag"), F.posexplode(F.col(spans)).alias("i", "e")).distinct(), "mentions")
+    # all that follows is worked out once for each distinct string, however often it stands anywhere
+    said = save(mentions.select("e").distinct().withColumn("kind", _kind(F.col("e"))), "said")
+    parts = save(_parts(said), "parts")
+    forms = parts.select("kind", "norm", "said").distinct()
     table = surrogate_map(forms.where("kind not in ('title', 'initial')").select("kind", "norm"), key)
     dressed = save(forms.join(table, ["kind", "norm"], "left").select("kind", "norm", "said", _dressed(F.col("kind"), F.col("said"), F.col("new")).alias("to")), "forms")
     lead = F.when(F.col("kind").rlike("^(title|initial|given|surname)") & (F.col("j") > 0), F.lit(" ")).otherwise(F.lit(""))
-    parts = each.join(dressed, ["kind", "norm", "said"]).select("tag", F.struct("i", "j", F.concat(lead, "to").alias("to")).alias("x"))
-    # one string an entity, then one list a text: each in the order of its places
-    entities = parts.groupBy("tag", "x.i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.j", "x.to"))), lambda p: p["to"]), "").alias("to"))
-    lists = entities.groupBy(F.col("tag").alias(tag)).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "to"))), lambda p: p["to"]).alias(news))
+    whole = parts.join(dressed, ["kind", "norm", "said"]).groupBy("e").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", F.concat(lead, "to").alias("to")))), lambda p: p["to"]), "").alias("to"))
+    lists = mentions.join(save(whole, "surrogates-said"), "e").groupBy(F.col("tag").alias(tag)).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "to"))), lambda p: p["to"]).alias(news))
     pieces = F.split(F.col(text), ANY, -1)
     joined = F.array_join(F.zip_with(pieces, F.col(news), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     clean = scanned.where(F.size(spans) == 0).withColumn(own, F.lit(0)).select(*df.columns, own)
