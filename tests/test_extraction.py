@@ -62,3 +62,11 @@ def test_unclosed_and_strange_text():
     for lang in ("javascript", "python", "ruby", "rust", "bash", "kotlin", "csharp", "elixir", "php"):
         for text in ('"' * 3, "'", "`${", '"#{' * 50, "{" * 200, "\x00é" + "(" * 50, 'f"{' * 40, "/*", "=begin", 'r#"'):
             extract.facts(1, lang, text + "\n x = 1")
+
+
+def test_failures_are_told_and_passed_over(caplog):
+    from envatlas.functions import errors
+
+    assert errors.ok_logged(lambda: 1 // 0, "a division") is None and errors.ok_warn(lambda: 2, "nothing") == 2
+    assert "a division failed" in caplog.text
+    assert not extract.compiled("(", "nowhere").search("(") and extract.compiled("a", "nowhere").search("a")
