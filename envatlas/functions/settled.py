@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -19,3 +20,13 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{root}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_all(left: DataFrame, right: DataFrame, key: str, spread: int = 64) -> DataFrame:
+    """Every row of `left` with every row of `right`, where that is the result's own size, as an equi-join over `spread` shares of `left` by `key`.
+
+    `right` is copied into each share, so no task gets all rows, and neither side is broadcast.
+    """
+    a = left.withColumn("share_", F.pmod(F.xxhash64(key), F.lit(spread)).cast("int"))
+    b = right.withColumn("share_", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return a.join(b, "share_").drop("share_")

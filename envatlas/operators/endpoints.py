@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envatlas.functions import ranges, text
+from envatlas.functions.settled import with_all
 from envatlas.operators import locations, positions, values
 from envatlas.operators.graph import Graph, of_kind
 
@@ -61,9 +62,9 @@ def completion(probes: DataFrame, graph: Graph, values_: DataFrame, objects: dic
         if imported is not None:
             held = held.union(imported.where("res_kind = 'EnvObject'").select("file_id", "alias"))
         asked = asked.join(held.distinct().withColumn("held", F.lit(True)), ["file_id", "context"], "left").where(standard | F.col("held").isNotNull())
-    asked = asked.select("file_id", "probe_id").distinct().withColumn("one", F.lit(1))
-    labels = values_.select(F.col("key").alias("label"), text.source_name(F.col("source"), F.col("source_path"), F.lit("")).alias("detail"), F.concat(F.lit("**Value**: "), F.when(F.col("value") == "", "*(empty)*").otherwise(F.concat(F.lit("`"), F.col("value"), F.lit("`")))).alias("documentation"), F.lit(1).alias("one"))
-    return asked.join(labels, "one").drop("one")  # the result's own size: every asker gets every variable
+    asked = asked.select("file_id", "probe_id").distinct()
+    labels = values_.select(F.col("key").alias("label"), text.source_name(F.col("source"), F.col("source_path"), F.lit("")).alias("detail"), F.concat(F.lit("**Value**: "), F.when(F.col("value") == "", "*(empty)*").otherwise(F.concat(F.lit("`"), F.col("value"), F.lit("`")))).alias("documentation"))
+    return with_all(asked, labels, "probe_id")  # every asker gets every variable
 
 
 def definition(hits: DataFrame, definitions_: DataFrame, values_: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envatlas.functions import text
-from envatlas.functions.settled import settled
+from envatlas.functions.settled import settled, with_all
 from envatlas.operators import values
 
 
@@ -76,7 +76,7 @@ def values_by_context(rows: DataFrame, roots: DataFrame, precedence: DataFrame,
     others = rows.where("source <> 'File'")
     by_file = filed.join(F.broadcast(precedence), "source").groupBy("package_root", "key").agg(F.min(F.struct("source_rank", (-F.col("near")).alias("near"), (-F.col("file_rank")).alias("file"), "value", "source", "source_path")).alias("x"))  # one row a source
     by_rest = others.join(F.broadcast(precedence), "source").groupBy("key").agg(F.min(F.struct("source_rank", F.lit(0).alias("near"), (-F.col("file_rank")).alias("file"), "value", "source", "source_path")).alias("x"))
-    everywhere = spots.select("package_root").distinct().withColumn("all", F.lit(1)).join(by_rest.withColumn("all", F.lit(1)), "all").select("package_root", "key", "x")  # packages by shared keys: the result's own size
+    everywhere = with_all(spots.select("package_root").distinct(), by_rest, "package_root").select("package_root", "key", "x")
     best = by_file.unionByName(everywhere).groupBy("package_root", "key").agg(F.min("x").alias("x")).select("package_root", "key", "x.value", "x.source", "x.source_path")
     if not interpolate:
         return best
