@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from envatlas.llm.shared import column_named, tidy
 
 #: Words kept with their ids by each Python worker, in each of two generations; others are merged again.
-CACHED_WORDS = 120_000
+CACHED_WORDS = 40_000
 #: Characters of texts whose words are merged together.
-_TOGETHER = 4 << 20
+_TOGETHER = 1 << 20
 _NEVER = np.int64(1 << 60)
 _NONE = (1 << 62, 0)
 

@@ -605,7 +605,7 @@ def test_pipeline_run_equals_its_stages_by_definition(spark):
 def test_pipeline_takes_hard_rows(spark, docs):
     import corpus_pipeline
 
-    state = spark.createDataFrame([*docs, *docs[:3], (500, "x" * 300_000 + " a@b.com", "en", None)], DOC).withColumns({n: F.lit("own") for n in ("lang_pred", "mark", "news", "mix_copies", "again", "row", "tag")})
+    state = spark.createDataFrame([*docs, *docs[:3], (500, "x" * 300_000 + " a@b.com", "en", None)], DOC).withColumn("n_chars", F.length("text").cast("bigint")).withColumns({n: F.lit("own") for n in ("lang_pred", "mark", "news", "mix_copies", "again", "row", "tag")})
     for name, stage in corpus_pipeline.STAGES:
         columns = state.columns
         state = stage(spark, state, SF)
