@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envatlas.llm import bpe, jaccard_join, language_id, lattice_dedup, permutation_index, resharding, source_mixing, substring_dedup, surrogates, token_counts
+from envatlas.llm import bpe, jaccard_join, language_id, lattice_dedup, permutation_index, resharding, source_mixing, substring_dedup, surrogates, token_counts, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -72,5 +72,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary()).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op4_permutation_index, op5_source_mixing, op6_jaccard_join, op7_lattice_dedup, op8_surrogates, op9_resharding, op10_bpe)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op4_permutation_index, op5_source_mixing, op6_jaccard_join, op7_lattice_dedup, op8_surrogates, op9_resharding, op10_bpe, op12_whitening)}
 ORACLES: dict[str, str] = {}
