@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from envatlas.llm.shared import column_named, tidy
+from envatlas.llm.shared import column_named, shipped, tidy
 
 #: Words kept with their ids by each Python worker, in each of two generations; others are merged again.
 CACHED_WORDS = 40_000
@@ -333,21 +333,13 @@ def _load(name: str, _version: str) -> WordBpe:
     return WordBpe(Path(SparkFiles.get(name)).read_text(encoding="utf-8"))
 
 
-def _shipped(df: DataFrame, path: str) -> tuple[str, str]:
-    """Hands the vocabulary file, of fixed size, to every executor; returns its name there and a mark of its content."""
-    sc = df.sparkSession.sparkContext
-    sc.addFile(path)
-    name = Path(path).name
-    return name, hashlib.md5(Path(path).read_bytes()).hexdigest()
-
-
 def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 of each row's whole text; with `full`, also token_ids and decoded.
 
     `path` is a vocabulary file on the driver; executors receive it from Spark. A clashing column keeps its name and the
     operator's takes a trailing underscore.
     """
-    name, version = _shipped(df, path)
+    name, version = shipped(df, path)
     own = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     own += [("token_ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())] if full else []
     own = [(column_named(df, c), t) for c, t in own]
@@ -371,7 +363,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = Fal
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """Adds `decoded`: the strings of the ids, joined by one blank; null ids decode to an empty string."""
-    name, version = _shipped(df, path)
+    name, version = shipped(df, path)
     own = column_named(df, "decoded")
     schema = T.StructType([*df.schema.fields, T.StructField(own, T.StringType())])
     where = df.columns.index(ids)
@@ -387,7 +379,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
 
 def encoded_lengths(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """One column n_tokens: the encoded length of each row's whole text."""
-    name, version = _shipped(df, path)
+    name, version = shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(name, version)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +93,12 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
+def shipped(df: DataFrame, path: str) -> tuple[str, str]:
+    """Hands a vocabulary file, of fixed size, to every executor; returns its name there and a mark of its content."""
+    df.sparkSession.sparkContext.addFile(path)
+    return Path(path).name, hashlib.md5(Path(path).read_bytes()).hexdigest()
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected `edges` (a, b), for each node with an edge.
 
