@@ -36,10 +36,14 @@ from envatlas.llm.blocks import Numbered, chunks, items, met
 from envatlas.llm.shared import save, shipped, tidy
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Units kept with their alignment by each Python worker, in each of two generations, and their greatest length.
-KEPT_UNITS, KEPT_LENGTH = 40_000, 64
-_AT_ONCE = 4096
+KEPT_UNITS, KEPT_LENGTH = 25_000, 64
+_AT_ONCE = 2048
+#: Units of characters below this one (Latin letters, known alike to every regex library) are encoded together.
+_PLAIN = "\u0250"
+# Fixed value: the pieces of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANK = "▁"
 _CUT = re.compile(rf"(?<=[^ {_BLANK}]) (?=\S)")
 _HARD = re.compile(rf"\A | \s| \Z|{_BLANK}")
@@ -74,11 +78,17 @@ def expand(group: np.ndarray, a: np.ndarray, b: np.ndarray, groups_of_b: np.ndar
     return left, start + np.arange(len(left))
 
 
+def _place(units: int) -> type:
+    """The kind of number that tells a block's units apart."""
+    return np.uint16 if units <= 1 << 16 else np.int32
+
+
 class Aligner:
     """Both tokenizers, the bytes of their tokens, and the units aligned of late. Its pairs are links or, with `products`, those of whole groups."""
 
     def __init__(self, a: str, b: str, products: bool = False):
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the cores
@@ -87,7 +97,8 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         letter = letters_to_bytes()
-        vocabulary = json.loads(Path(a).read_text(encoding="utf-8"))["model"]["vocab"]
+        model = json.loads(Path(a).read_text(encoding="utf-8"))["model"]
+        vocabulary = model["vocab"]
         of_a = {i: bytes(letter[c] for c in s) for s, i in vocabulary.items() if all(c in letter for c in s)}
         self.bytes_a = [of_a.get(i) or self.a.id_to_token(i).encode() for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -96,11 +107,15 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace(_BLANK, " ").encode() for p in pieces]
         self.long_a, self.long_b = (np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b))
         self.texts = [f"{i}{end}" for n, ends in ((len(pieces), ",;"), (len(self.bytes_a), ",|")) for end in ends for i in range(n)]  # B's, then A's
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.plain = None
+        if [vocabulary[m] for m in merged] == list(range(256, 256 + len(merged))):  # an id is its merge's rank, as tiktoken takes it
+            self.plain = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={self.bytes_a[i]: i for i in range(256 + len(merged))}, special_tokens={})
         self.products = products
         self.kept: tuple[dict, dict] = {}, {}
 
     def align(self, some: list[str]) -> list[tuple | None]:
-        """(tokens of A, tokens of B, groups, their string, pairs as a << 32 | b) of each unit, null where the bytes differ."""
+        """(tokens of A, tokens of B, groups, their string, pairs as bytes of a << 32 | b) of each unit, null where the bytes differ."""
         out: list[tuple | None] = [None] * len(some)
         todo = []
         for i, u in enumerate(some):
@@ -120,17 +135,29 @@ class Aligner:
         return out
 
     def _align(self, some: list[str]) -> list[tuple | None]:
-        blanked = [" " + u for u in some]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(blanked, add_special_tokens=False)]
-        ids_b = self.b.encode(some, num_threads=1)
-        raw = [u.encode() for u in blanked]
-        good = [b"".join(map(self.bytes_a.__getitem__, x)) == r and b"".join(map(self.bytes_b.__getitem__, y)) == r for x, y, r in zip(ids_a, ids_b, raw, strict=True)]
-        use = [i for i, ok in enumerate(good) if ok]
         out: list[tuple | None] = [None] * len(some)
-        if not use:
-            return out
-        a, b = (np.fromiter(chain.from_iterable(ids[i] for i in use), dtype=np.int64) for ids in (ids_a, ids_b))
-        bounds = np.cumsum([len(raw[i]) for i in use])
+        plain = [bool(self.plain and u and max(u) < _PLAIN and not u[0].isspace() and u[-1] != " ") for u in some]
+        if together := [i for i, x in enumerate(plain) if x]:  # their text is encoded in one call
+            text = " " + " ".join(some[i] for i in together)
+            raw = text.encode()
+            a, b = self.plain.encode_ordinary(text), self.b.encode(text[1:], num_threads=1)
+            if b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw:
+                self._intervals(out, together, [len(some[i].encode()) + 1 for i in together], np.array(a), np.array(b))
+            else:
+                plain = [False] * len(some)
+        if alone := [i for i, x in enumerate(plain) if not x]:
+            ids_a = [e.ids for e in self.a.encode_batch_fast([" " + some[i] for i in alone], add_special_tokens=False)]
+            ids_b = self.b.encode([some[i] for i in alone], num_threads=1)
+            raw = [(" " + some[i]).encode() for i in alone]
+            good = [k for k, (x, y, r) in enumerate(zip(ids_a, ids_b, raw, strict=True)) if b"".join(map(self.bytes_a.__getitem__, x)) == r and b"".join(map(self.bytes_b.__getitem__, y)) == r]
+            if good:
+                a, b = (np.fromiter(chain.from_iterable(ids[k] for k in good), dtype=np.int64) for ids in (ids_a, ids_b))
+                self._intervals(out, [alone[k] for k in good], [len(raw[k]) for k in good], a, b)
+        return out
+
+    def _intervals(self, out: list[tuple | None], use: list[int], sizes: list[int], a: np.ndarray, b: np.ndarray) -> None:
+        """Fills `out` for the units `use` of these sizes in bytes, whose tokens stand one after the other in a and b."""
+        bounds = np.cumsum(sizes)
         ends_a, ends_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
         ends = np.union1d(ends_a, ends_b)
         own_a, own_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
@@ -148,9 +175,8 @@ class Aligner:
         to_a, to_b, to_group = (np.searchsorted(x, bounds, side="right") for x in (ends_a, ends_b, shared))
         before = (0, 0, 0, 0)
         for i, *now in zip(use, to_a.tolist(), to_b.tolist(), to_group.tolist(), at.tolist(), strict=True):
-            out[i] = now[0] - before[0], now[1] - before[1], now[2] - before[2], "".join(names[before[0] + before[1] : now[0] + now[1]])[:-1], pairs[before[3] : now[3]]
+            out[i] = now[0] - before[0], now[1] - before[1], now[2] - before[2], "".join(names[before[0] + before[1] : now[0] + now[1]])[:-1], pairs[before[3] : now[3]].tobytes()
             before = now
-        return out
 
 
 @lru_cache(1)
@@ -190,7 +216,7 @@ def _aligned(df: DataFrame, a: str, b: str, text: str, full: bool, products: boo
             split = [None if x is None else np.fromiter(map(number.__getitem__, x), dtype=np.int32) for x in map(_units_of, texts)]
             aligned = aligner.align(list(number))
             sound = np.array([x is not None for x in aligned], dtype=bool)
-            sums = np.array([(*x[:3], len(x[4])) if x else (0, 0, 0, 0) for x in aligned], dtype=np.int64).reshape(-1, 4)
+            sums = np.array([(*x[:3], len(x[4]) >> 3) if x else (0, 0, 0, 0) for x in aligned], dtype=np.int64).reshape(-1, 4)
             strings = [x[3] if x else "" for x in aligned]
             invalid = [x is None or not sound[x].all() for x in split]
             used = np.zeros(len(aligned), dtype=np.int64)
@@ -203,12 +229,11 @@ def _aligned(df: DataFrame, a: str, b: str, text: str, full: bool, products: boo
                 else:
                     own, groups = sums[x].sum(axis=0).tolist(), ";".join(map(strings.__getitem__, x.tolist()))
                     used += np.bincount(x, minlength=len(used))
-                    places.append(x.tobytes())
+                    places.append(x.astype(_place(len(aligned))).tobytes())
                 for column, v in zip(out, [*own, "" if none else hashlib.sha256(groups.encode()).hexdigest(), *([groups] if full else [])], strict=True):
                     column.append(v)
-            lists = [x[4] if x else np.zeros(0, dtype=np.int64) for x in aligned]
-            ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
-            flat = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
+            ends = np.cumsum(sums[:, 3])
+            flat = np.frombuffer(b"".join([x[4] for x in aligned if x]), dtype=np.int64)
             pairs, at = np.unique(flat, return_inverse=True)
             counts = np.bincount(at, weights=np.repeat(used, np.diff(ends, prepend=0)), minlength=len(pairs)).astype(np.int64)
             if arrow is None:
@@ -240,7 +265,7 @@ def align(df: DataFrame, a: str, b: str, text: str = "text", full: bool = False)
     `a` is a byte-level `tokenizers` file, `b` a `sentencepiece` model, both on the driver; Spark hands them to the executors.
     """
     saved, docs, (block, places, lists, list_ends, pairs, counts) = _aligned(df, a, b, text, full, False)
-    per_block = items(saved, block, pairs, counts)
+    per_block = items(saved, block, pairs, counts).repartition("key")  # serves the counts and the join
     totals = per_block.groupBy("key").agg(F.sum("n").alias("total")).withColumn("b", F.col("key").bitwiseAND(_LOW))
     best = totals.groupBy("b").agg(F.max("total").alias("most"))
     known = totals.join(best, "b").select("key", "total", (F.col("total") == F.col("most")).alias("best"))
@@ -260,7 +285,7 @@ def align(df: DataFrame, a: str, b: str, text: str = "text", full: bool = False)
                 upto = np.zeros((len(at) + 1, 2), dtype=np.int64)
                 np.cumsum(np.stack([best[at], total[at]], axis=1), axis=0, out=upto[1:])
                 sums = np.diff(upto[ends], axis=0, prepend=upto[:1])
-        late = np.array([sums[np.frombuffer(x, dtype=np.int32)].sum(axis=0) if x else (0, 0) for x in own.column(places).to_pylist()], dtype=np.int64).reshape(-1, 2)
+        late = np.array([sums[np.frombuffer(x, dtype=_place(len(sums)))].sum(axis=0) if x else (0, 0) for x in own.column(places).to_pylist()], dtype=np.int64).reshape(-1, 2)
         columns = [own.column(c) for c in docs] + [pa.array(late[:, 0]), pa.array(late[:, 1])]
         return pa.Table.from_arrays(columns, names=[f.name for f in schema.fields])
 
