@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envatlas.llm import alignment, bpe, jaccard_join, language_id, lattice_dedup, permutation_index, resharding, source_mixing, substring_dedup, surrogates, token_counts, whitening
+from envatlas.llm import alignment, bpe, jaccard_join, language_id, lattice_dedup, maxent_lm, permutation_index, resharding, source_mixing, substring_dedup, surrogates, token_counts, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary()).drop("text")
 
 
+def op11_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return maxent_lm.score(read(spark, sf_dir, "documents", "doc_id", "text"), held_out)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
@@ -81,5 +86,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op4_permutation_index, op5_source_mixing, op6_jaccard_join, op7_lattice_dedup, op8_surrogates, op9_resharding, op10_bpe, op12_whitening, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_counts, op4_permutation_index, op5_source_mixing, op6_jaccard_join, op7_lattice_dedup, op8_surrogates, op9_resharding, op10_bpe, op11_maxent_lm, op12_whitening, op13_alignment)}
 ORACLES: dict[str, str] = {}
