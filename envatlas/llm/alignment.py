@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from envatlas.llm.blocks import Numbered, chunks, items, met
+from envatlas.llm.blocks import Numbered, chunks, items, met, packed, unpacked
 from envatlas.llm.shared import save, shipped, tidy
 
 #: Bytes of text in a block.
@@ -78,11 +78,6 @@ def expand(group: np.ndarray, a: np.ndarray, b: np.ndarray, groups_of_b: np.ndar
     return left, start + np.arange(len(left))
 
 
-def _place(units: int) -> type:
-    """The kind of number that tells a block's units apart."""
-    return np.uint16 if units <= 1 << 16 else np.int32
-
-
 class Aligner:
     """Both tokenizers, the bytes of their tokens, and the units aligned of late. Its pairs are links or, with `products`, those of whole groups."""
 
@@ -229,7 +224,7 @@ def _aligned(df: DataFrame, a: str, b: str, text: str, full: bool, products: boo
                 else:
                     own, groups = sums[x].sum(axis=0).tolist(), ";".join(map(strings.__getitem__, x.tolist()))
                     used += np.bincount(x, minlength=len(used))
-                    places.append(x.astype(_place(len(aligned))).tobytes())
+                    places.append(packed(x, len(aligned)))
                 for column, v in zip(out, [*own, "" if none else hashlib.sha256(groups.encode()).hexdigest(), *([groups] if full else [])], strict=True):
                     column.append(v)
             ends = np.cumsum(sums[:, 3])
@@ -285,8 +280,8 @@ def align(df: DataFrame, a: str, b: str, text: str = "text", full: bool = False)
                 upto = np.zeros((len(at) + 1, 2), dtype=np.int64)
                 np.cumsum(np.stack([best[at], total[at]], axis=1), axis=0, out=upto[1:])
                 sums = np.diff(upto[ends], axis=0, prepend=upto[:1])
-        late = np.array([sums[np.frombuffer(x, dtype=_place(len(sums)))].sum(axis=0) if x else (0, 0) for x in own.column(places).to_pylist()], dtype=np.int64).reshape(-1, 2)
+        late = np.array([sums[unpacked(x, len(sums))].sum(axis=0) if x else (0, 0) for x in own.column(places).to_pylist()], dtype=np.int64).reshape(-1, 2)
         columns = [own.column(c) for c in docs] + [pa.array(late[:, 0]), pa.array(late[:, 1])]
         return pa.Table.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return met(saved, block, back, finish, schema)
+    return met(saved.drop(pairs, counts), block, back, finish, schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,6 +47,20 @@ def chunks(batches: Iterator[pa.RecordBatch], where: int, most: int) -> Iterator
             i = j
 
 
+def packed(numbers: np.ndarray, kinds: int) -> bytes:
+    """Numbers below `kinds`: their low halves, then, where there are more than 2**16 kinds, the rest of each, nearly all of them zeros as frequent items come early."""
+    low = numbers.astype(np.uint16).tobytes()
+    return low if kinds <= 1 << 16 else low + (numbers >> 16).astype(np.uint8 if kinds <= 1 << 24 else np.uint16).tobytes()
+
+
+def unpacked(held: bytes, kinds: int) -> np.ndarray:
+    if kinds <= 1 << 16:
+        return np.frombuffer(held, dtype=np.uint16)
+    n = len(held) // (3 if kinds <= 1 << 24 else 4)
+    high = np.frombuffer(held, dtype=np.uint8 if kinds <= 1 << 24 else np.uint16, offset=2 * n)
+    return np.frombuffer(held, dtype=np.uint16, count=n) | high.astype(np.int64) << 16
+
+
 def items(saved: DataFrame, block: str, key: str, number: str) -> DataFrame:
     """(block, i, key, n...): the items of each block's own row, from its arrays `key` and `number`."""
     rows = saved.where(F.col(key).isNotNull()).select(F.col(block).alias("block"), F.posexplode(F.arrays_zip(F.col(key).alias("key"), F.col(number).alias("n"))).alias("i", "x"))

@@ -24,25 +24,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envatlas.llm.arrowtext import mix
-from envatlas.llm.blocks import Numbered, chunks, items, met
+from envatlas.llm.blocks import Numbered, chunks, items, met, packed, unpacked
 from envatlas.llm.shared import drop, save, tidy
 
-BLOCK_BYTES = 4 << 20
-HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 64, 64
+BLOCK_BYTES = 8 << 20
+HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 64, 32
 #: Rows of either table, a power of two.
 ROWS = 1 << 15
 ROUNDS = 2
 LEARNER_TOKENS = 8_000_000
-_STEP, _BATCH, _RATE = 2048, 1 << 14, 0.15
+_STEP, _BATCH, _RATE = 4096, 1 << 14, 0.15
 _END = b""
 _PART = 1 << 10
+_SHORT = 8
 
 
 @dataclass
@@ -88,18 +88,35 @@ def histories(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarr
     return flat[here], flat[here - 1], flat[here - 2]
 
 
-def _softmax(table: np.ndarray, bias: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and the logarithm of what they were divided by, less the logits' largest; logits in place."""
-    logits = table[features[0]]
+def _softmax(table: np.ndarray, bias: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of the sums of the features' rows and the bias."""
+    logits = table.take(features[0], axis=0)
     for f in features[1:]:
-        logits += table[f]
+        logits += table.take(f, axis=0)
     logits += bias
-    most = logits.max(axis=1, keepdims=True)
-    logits -= most
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    return logits, total
+    ones = np.ones(logits.shape[1], dtype=np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.exp(logits)
+        total = out @ ones
+    if not (np.isfinite(total).all() and total.min(initial=1.0) > 1e-30):  # seldom: then by the largest of each row
+        out = np.exp(logits - logits.max(axis=1, keepdims=True))
+        total = out @ ones
+    out *= (1 / total)[:, None]
+    return out
+
+
+def _summed(gradient: np.ndarray, order: np.ndarray, at: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of gradient[order] that start `at` and are `many` long: the first rows of all runs together, long runs' rest one by one."""
+    rows = gradient.take(order, axis=0)
+    out = rows.take(at, axis=0)
+    for r in range(1, _SHORT):
+        i = np.flatnonzero(many > r)
+        if not len(i):
+            return out
+        out[i] += rows.take(at[i] + r, axis=0)
+    for i in np.flatnonzero(many > _SHORT):
+        out[i] += rows[at[i] + _SHORT : at[i] + many[i]].sum(axis=0)
+    return out
 
 
 def _class_of(symbols: np.ndarray, head: int) -> np.ndarray:
@@ -113,12 +130,12 @@ def log10_probabilities(model: Model, symbols: np.ndarray, one: np.ndarray, two:
     for a in range(0, len(symbols), _STEP):
         s, x, y = symbols[a : a + _STEP], one[a : a + _STEP], two[a : a + _STEP]
         k = _class_of(s, head)
-        p, _ = _softmax(model.classes, model.class_bias, [_rows(1, x), _rows(2, y), _rows(3, x, y)])
+        p = _softmax(model.classes, model.class_bias, [_rows(1, x), _rows(2, y), _rows(3, x, y)])
         got = np.log10(p[np.arange(len(s)), k].astype(np.float64))
         i = np.flatnonzero(s < head)
         if len(i):
             c, x, y = k[i], x[i], y[i]
-            p, _ = _softmax(model.words, model.word_bias[c], [_rows(4, x, c), _rows(5, y, c), _rows(6, x, y, c)])
+            p = _softmax(model.words, model.word_bias[c], [_rows(4, x, c), _rows(5, y, c), _rows(6, x, y, c)])
             got[i] += np.log10(p[np.arange(len(i)), s[i] // HEAD_CLASSES].astype(np.float64))
         out[a : a + _STEP] = got
     return out
@@ -128,19 +145,20 @@ class _Table:
     """A table under training: weights, AdaGrad's sums by row, and how often each row was touched."""
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.start, self.start_bias = weights, bias
-        self.weights, self.bias = weights.copy(), bias.copy()
-        self.sums, self.hits, self.bias_sums = np.full(len(weights), 1e-2, dtype=np.float32), np.zeros(len(weights), dtype=np.int64), np.float32(1e-2)
+        self.start, self.weights, self.bias = weights, weights.copy(), bias
+        self.sums, self.hits = np.full(len(weights), 1e-2, dtype=np.float32), np.zeros(len(weights), dtype=np.int64)
 
     def step(self, features: list[np.ndarray], gradient: np.ndarray) -> None:
         for f in features:
             order = np.argsort(f, kind="stable")
             rows = f[order]
             at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            g, rows = np.add.reduceat(gradient[order], at, axis=0), rows[at].astype(np.int64)
-            self.hits[rows] += np.diff(at, append=len(f))
-            self.sums[rows] += (g * g).mean(axis=1)
-            self.weights[rows] -= (_RATE / np.sqrt(self.sums[rows]))[:, None] * g
+            many = np.diff(at, append=len(f))
+            g, rows = _summed(gradient, order, at, many), rows[at].astype(np.int64)
+            self.hits[rows] += many
+            self.sums[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+            g *= (_RATE / np.sqrt(self.sums[rows]))[:, None]
+            self.weights[rows] = self.weights.take(rows, axis=0) - g
 
 
 def learn_from(classes: _Table, words: _Table, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
@@ -150,14 +168,14 @@ def learn_from(classes: _Table, words: _Table, symbols: np.ndarray, one: np.ndar
         s, x, y = symbols[a : a + _STEP], one[a : a + _STEP], two[a : a + _STEP]
         k = _class_of(s, head)
         features = [_rows(1, x), _rows(2, y), _rows(3, x, y)]
-        p, _ = _softmax(classes.weights, classes.bias, features)
+        p = _softmax(classes.weights, classes.bias, features)
         p[np.arange(len(s)), k] -= 1
         classes.step(features, p)
         i = np.flatnonzero(s < head)
         if len(i):
             c, x, y = k[i], x[i], y[i]
             features = [_rows(4, x, c), _rows(5, y, c), _rows(6, x, y, c)]
-            p, _ = _softmax(words.weights, words.bias[c], features)
+            p = _softmax(words.weights, words.bias[c], features)
             p[np.arange(len(i)), s[i] // HEAD_CLASSES] -= 1
             words.step(features, p)
 
@@ -174,6 +192,8 @@ def _start(counts: Counts) -> Model:
     empty = head.sum(axis=1) == 0
     word_bias[empty] = 0.0  # a class without words has no mass either
     kinds = len(mass)
+    class_bias -= math.log(mass.sum())  # so that no logit is large
+    word_bias -= word_bias.max(axis=1, keepdims=True)
     return Model(np.zeros((ROWS, kinds), dtype=np.float32), class_bias.astype(np.float32), np.zeros((ROWS, CLASS_WORDS), dtype=np.float32), word_bias.astype(np.float32))
 
 
@@ -265,10 +285,6 @@ def _fields(have: list[T.StructField], more: list[tuple[str, T.DataType]]) -> li
     return out
 
 
-def _place(kinds: int) -> type:
-    return np.uint16 if kinds <= 1 << 16 else np.int32
-
-
 def _numbered(df: DataFrame, text: str, held_out: Column) -> tuple[DataFrame, list[T.StructField], list[str]]:
     """The saved first pass: a row a document (its columns, held_out, its words as numbers) and a row a block (its words, how often training texts hold them)."""
     keep = [f for f in df.schema.fields if f.name != text]
@@ -283,9 +299,9 @@ def _numbered(df: DataFrame, text: str, held_out: Column) -> tuple[DataFrame, li
             split = [np.fromiter(map(number.__getitem__, [*t.lower().split(), _END]), dtype=np.int32) for t in texts]
             learnt = [x for x, held in zip(split, batch.column(batch.num_columns - 1).to_pylist(), strict=True) if not held]
             counts = np.bincount(np.concatenate(learnt), minlength=len(number)) if learnt else np.zeros(len(number), dtype=np.int64)
-            place, some = _place(len(number)), batch.num_rows
+            some = batch.num_rows
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            own = [pa.array([block] * some), pa.array([x.astype(place).tobytes() for x in split], type=pa.binary()), *[pa.nulls(some, t) for t in kinds[2:]]]
+            own = [pa.array([block] * some), pa.array([packed(x, len(number)) for x in split], type=pa.binary()), *[pa.nulls(some, t) for t in kinds[2:]]]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], names=names)
             lead = [c.type for c in batch.columns[1:]]
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in lead], *[pa.array([v], type=t) for v, t in zip([block, None, list(number), counts], kinds, strict=True)]], names=names)
@@ -303,7 +319,7 @@ def _tail_class(word: Column) -> Column:
 def encode(df: DataFrame, text: str, held_out: Column) -> tuple[DataFrame, Counts, list[str], list[str]]:
     """Saved rows of the documents with n_tokens, n_known, train_tokens, base_score, tail_score (log10 of tail words in their classes) and ids (symbols); the counts; names."""
     saved, docs, (block, places, words, counts) = _numbered(df, text, held_out)
-    per_block = items(saved, block, words, counts).repartition("key")  # serves the counts and the join
+    per_block = items(saved, block, words, counts)
     totals = save(per_block.groupBy("key").agg(F.sum("n").alias("c")), "counts")
     most = HEAD_CLASSES * CLASS_WORDS
     head = [(r.key, r.c) for r in totals.where("c > 0").orderBy(F.desc("c"), "key").limit(most).collect()]  # the model's own size
@@ -326,8 +342,7 @@ def encode(df: DataFrame, text: str, held_out: Column) -> tuple[DataFrame, Count
         c[i], symbol[i] = known.column("c").to_numpy(), known.column("symbol").to_numpy()
         more = np.log10(c + 1)
         tail = np.where(symbol >= most, more - floor[np.maximum(symbol - most, 0)], 0.0)
-        own = rows.filter(pc.is_valid(rows.column(places)))
-        split = [np.frombuffer(x, dtype=_place(n)) for x in own.column(places).to_pylist()]
+        split = [unpacked(x, n) for x in rows.column(places).to_pylist()]
         ids = [symbol[x].astype(np.uint16).tobytes() for x in split]
         late = [
             pa.array([len(x) for x in split], type=pa.int64()),
@@ -336,12 +351,12 @@ def encode(df: DataFrame, text: str, held_out: Column) -> tuple[DataFrame, Count
             pa.array([float(more[x].sum() - whole * len(x)) for x in split], type=pa.float64()),
             pa.array([float(tail[x].sum()) for x in split], type=pa.float64()),
             pa.array(ids, type=pa.binary()),
-            own.column(block),
+            rows.column(block),
         ]
-        return pa.Table.from_arrays([*[own.column(f.name) for f in docs], *late], names=names)
+        return pa.Table.from_arrays([*[rows.column(f.name) for f in docs], *late], names=names)
 
     at = {x: names[len(fields) + i] for i, x in enumerate(("tail", "ids", "k"))}
-    rows = met(saved, block, back, finish, schema)
+    rows = met(saved.where(F.col(places).isNotNull()).drop(words, counts), block, back, finish, schema)
     # k orders the training texts: by hash, apart for copies in other blocks
     key = F.xxhash64(F.col(at["k"]), F.col(at["ids"]), *[F.col(f"`{f.name}`").cast("string") for f in docs if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))])
     out = save(rows.withColumn(at["k"], key), "encoded")

@@ -66,7 +66,7 @@ def test_probabilities_sum_to_one(spark, rows):
     model = maxent_lm.train(encoded, counts, "held_out", ids, k)
     assert counts.tokens == base(rows)[0][4] and len(counts.head) == counts.kinds - sum(counts.tail_kinds)
     events = np.array([*range(len(counts.head)), *range(model.head, model.head + maxent_lm.TAIL_CLASSES)])
-    for one, two in ((model.head + 64, model.head + 64), (0, 5), (7, model.head + 3)):
+    for one, two in ((model.head + maxent_lm.TAIL_CLASSES, model.head + maxent_lm.TAIL_CLASSES), (0, 5), (7, model.head + 3)):
         p = maxent_lm.log10_probabilities(model, events, np.full(len(events), one), np.full(len(events), two))
         assert (10.0**p).sum() == pytest.approx(1, abs=1e-4)
     # by hand for one history
