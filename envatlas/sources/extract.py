@@ -130,6 +130,11 @@ def _declarators(code: Code, pairs: dict[int, int]) -> Iterator[tuple[tuple[int,
             p = end + 1
 
 
+# The statements of Python that are scopes, and which of them a later part belongs to.
+_PYTHON_SCOPES = {"def": "Function", "class": "Class", "for": "Loop", "while": "Loop", "if": "Conditional", "try": "Conditional", "with": "Block"}
+_PYTHON_MORE = {"elif": ("if",), "else": ("if", "for", "while", "try"), "except": ("try",), "finally": ("try",)}
+
+
 def _python_scopes(code: Code, pairs: dict[int, int]) -> list[tuple[str, int, int]]:
     bare, out, stack, covered, at, last = code.bare, [], [], -1, 0, 0
     closing = sorted(pairs.items())
@@ -141,8 +146,10 @@ def _python_scopes(code: Code, pairs: dict[int, int]) -> list[tuple[str, int, in
             last = max(last, end) if body else last
             continue
         indent = len(line) - len(line.lstrip())
-        while stack and stack[-1][0] >= indent:
-            _, kind, a = stack.pop()
+        word = re.match(r"(?:async\s+)?(\w+)", body)
+        word = word[1] if word else ""
+        while stack and (stack[-1][0] > indent or stack[-1][0] == indent and not (word in _PYTHON_MORE and stack[-1][3] in _PYTHON_MORE[word])):
+            _, kind, a, _ = stack.pop()
             out.append((kind, a, last))
         i = bisect_right(starts, begin - 1)
         while i < len(closing) and closing[i][0] < end:
@@ -150,13 +157,11 @@ def _python_scopes(code: Code, pairs: dict[int, int]) -> list[tuple[str, int, in
                 covered = max(covered, closing[i][1])
                 end = max(end, closing[i][1])
             i += 1
-        word = re.match(r"(?:async\s+)?(\w+)", body)
-        kinds = {"def": "Function", "class": "Class", "for": "Loop", "while": "Loop", "if": "Conditional", "elif": "Conditional", "else": "Conditional", "match": "Conditional", "case": "Conditional", "with": "Block", "try": "Block", "except": "Block", "finally": "Block"}
-        if word and word[1] in kinds and re.search(r":\s*(?:$|\S)", bare[begin : bare.find("\n", end) if bare.find("\n", end) >= 0 else len(bare)]) and not (word[1] in ("match", "case") and not body.endswith(":")):
-            stack.append((indent, kinds[word[1]], begin + indent))
+        if word in _PYTHON_SCOPES and re.search(r":\s*(?:$|\S)", bare[begin : bare.find("\n", end) if bare.find("\n", end) >= 0 else len(bare)]):
+            stack.append((indent, _PYTHON_SCOPES[word], begin + indent, word))
         last = max(last, end)
     while stack:
-        _, kind, a = stack.pop()
+        _, kind, a, _ = stack.pop()
         out.append((kind, a, last))
     return out
 
@@ -375,10 +380,10 @@ def facts(file_id: int, lang: str, content: str | None, use_imports: bool = Fals
             start = m.start("target")
             # of several targets on one left side none takes the first value
             beside = spec.name in ("python", "ruby", "lua", "elixir") and re.search(r",[ \t]*$", text[max(0, start - 40) : start])
-            if start in targets or m["target"] in keywords or beside:
+            if start in targets or m["target"] in keywords or beside or code.is_dead(start):
                 continue
             targets.update(range(start, m.end()))
-            valued(m.span(), m.span("target"), m.end(), strict)
+            valued((start, m.end()) if strict else m.span(), m.span("target"), m.end(), strict)
         for m in each("extra"):
             v = next((x for r in p["reference"] if (x := r.match(text, m.start("value")))), None)
             if v:

@@ -56,6 +56,8 @@ class Language:
 
 
 _JS_REFS = (r"process\.env\.(?P<name>[A-Za-z_][A-Za-z0-9_]*)", rf"process\.env\[\s*{_S}\s*\]", r"import\.meta\.env\.(?P<name>[A-Za-z_][A-Za-z0-9_]*)")
+#: The head of a compound statement whose body follows on its line.
+_SUITE = r"^[ \t]*(?:async[ \t]+)?(?:if|elif|else|for|while|with|try|except|finally)\b[^\n#]*?:(?=[ \t])"
 _PY_CALL = r"\.(?:get|pop|setdefault)\(\s*"
 _PY_REFS = (
     rf"(?P<module>\w+)\.environ{_PY_CALL}{_S}", rf"(?P<module>\w+)\.environ\[\s*{_S}\s*\]", rf"(?P<module>\w+)\.getenv\(\s*{_S}", rf"(?<![\w.])(?P<object>\w+)\[\s*{_S}\s*\]", rf"(?<![\w.])(?P<object>\w+){_PY_CALL}{_S}",
@@ -84,10 +86,10 @@ LANGUAGES = (
     Language("typescript", ("ts", "mts", "cts"), ("typescript",), ("process.env", "import.meta.env"), "process.env", ("process",), (".", '"', "'"), _JS_REFS, object_alias=r"(?:process|import\.meta)\.env", imports=_JS_IMPORTS, exports=_JS_EXPORTS, quotes="\"'`"),
     Language("typescriptreact", ("tsx",), ("typescriptreact",), ("process.env", "import.meta.env"), "process.env", ("process",), (".", '"', "'"), _JS_REFS, object_alias=r"(?:process|import\.meta)\.env", imports=_JS_IMPORTS, exports=_JS_EXPORTS, quotes="\"'`"),
     Language(
-        "python", ("py",), ("python",), ("os.environ", "os"), "os.environ", ("os", "dotenv", "decouple"), (".", '["', "['", '("', "('"), _PY_REFS, (r"(?m:^|(?<=;))[ \t]*(?P<target>[A-Za-z_]\w*)\s*(?::[^=\n()]+?)?\s*=(?!=)\s*", r"(?P<target>[A-Za-z_]\w*)\s*:=\s*"), ("#",), None, r"os\.environ(?:\.copy\(\s*\))?",
+        "python", ("py",), ("python",), ("os.environ", "os"), "os.environ", ("os", "dotenv", "decouple"), (".", '["', "['", '("', "('"), _PY_REFS, (rf"(?m:{_SUITE}|^|(?<=;))[ \t]*(?P<target>[A-Za-z_]\w*)\s*(?::[^=\n()]+?)?\s*=(?!=)\s*", r"(?P<target>[A-Za-z_]\w*)\s*:=\s*"), ("#",), None, r"os\.environ(?:\.copy\(\s*\))?",
         (r"(?P<source>[A-Za-z_]\w*)\[\s*[\"'](?P<key>\w+)[\"']\s*\]", rf"(?P<source>[A-Za-z_]\w*){_PY_CALL}[\"'](?P<key>\w+)[\"']"),
         (r"(?m)^[ \t]*import\s+(?P<path>[\w.]+)(?:\s+as\s+(?P<alias>\w+))?", r"(?m)^[ \t]*from\s+(?P<path>[\w.]+)\s+import\s+(?:\((?P<list>[^()]*)\)|(?P<more>[^()\n#]+))"), (r"(?m)^(?P<export>[A-Za-z_]\w*)\s*(?::[^=\n]+)?=(?!=)\s*(?P<value>[^\n]*)", r"(?m)^(?:async\s+)?(?:def|class)\s+(?P<export>\w+)"),
-        indented=True, any_assignment_reassigns=True, identifier=r"[A-Za-z_]\w*", reassigns=r"(?m)(?:^|;)[ \t]*(?P<target>%s)\s*(?::[^=\n]+)?=(?!=)",
+        indented=True, any_assignment_reassigns=True, identifier=r"[A-Za-z_]\w*", reassigns=rf"(?m)(?:{_SUITE}|^|;)[ \t]*(?P<target>%s)\s*(?::[^=\n]+)?=(?!=)",
     ),
     Language(
         "rust", ("rs",), ("rust",), ("std::env", "std", "env"), None, ("std::env", "env"), ('("', "('"), (rf"(?<![\w:])(?:std::)?(?P<module>\w+)::var(?:_os)?\(\s*{_S}", rf"(?:option_)?env!\(\s*{_S}", rf"(?<!\w)dotenvy?::var\(\s*{_S}"), (rf"let\s+(?:mut\s+)?(?P<target>{_ID})\s*(?::[^=;]+)?=\s*", rf"(?:pub\s+)?(?:const|static(?:\s+mut)?)\s+(?P<target>{_ID})\s*:[^=;]+=\s*", rf"if\s+let\s+(?:Ok|Some)\(\s*(?P<target>{_ID})\s*\)\s*=\s*", _PLAIN),

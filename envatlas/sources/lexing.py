@@ -34,6 +34,12 @@ _STRINGS = {
 }
 _ALIKE = {"javascript": "js", "typescript": "js", "typescriptreact": "js", "cpp": "c"}
 _REGEX = r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])+/[a-z]*"
+#: By language: what announces a document that starts on the next line, the line that ends it, and what is code inside it unless its word is quoted.
+_HERE = {
+    "bash": (r"(?<!<)<<-?[ \t]*(?P<quote>[\"'\\]?)(?P<tag>[A-Za-z_]\w*)[\"']?", r"^[ \t]*{}[ \t]*\r?$", re.compile(r"(?<!\\)\$(?:\{[^{}]*\}|\([^()]*\)|\w+)"), "\"'\\"),
+    "php": (r"<<<[ \t]*(?P<quote>[\"']?)(?P<tag>[A-Za-z_]\w*)(?P=quote)", r"^[ \t]*{}(?!\w)", None, "'"),
+    "ruby": (r"<<[~-]?(?P<quote>[\"'`]?)(?P<tag>[A-Za-z_]\w*)(?P=quote)", r"^[ \t]*{}[ \t]*\r?$", None, "'"),
+}
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
@@ -78,6 +84,8 @@ def _scanner(lang: str, line_comments: tuple[str, ...], block: tuple[str, str] |
         parts.append(r"(?P<begin>^=begin[\s\S]*?(?:^=end[^\n]*|\Z))")
     lead = r"(?<![^\s;(|&`])" if lang == "bash" else ""
     parts += [rf"(?P<line{i}>{lead}{re.escape(c)}[^\n]*)" for i, c in enumerate(line_comments)]
+    if lang in _HERE:
+        parts.append(f"(?P<here>{_HERE[lang][0]})")
     parts += [f"(?P<s{i}>{s})" for i, s in enumerate(strings)]
     if _ALIKE.get(lang) == "js":
         parts.append(f"(?P<regex>{_REGEX})")
@@ -86,15 +94,62 @@ def _scanner(lang: str, line_comments: tuple[str, ...], block: tuple[str, str] |
 
 
 def scan(text: str, lang: str, line_comments: tuple[str, ...], block: tuple[str, str] | None) -> Code:
-    """Positions stay as they are. A JavaScript regular expression counts as a string where an operand may start."""
+    """Positions stay as they are. A JavaScript regular expression counts as a string where an operand may start.
+
+    Here-documents are strings from the line after the one that announces them; one that nothing ends is none.
+    """
     pattern, live = _scanner(lang, line_comments, block)
     out, bare, dead, comments, stray, at, done = [], [], [], [], [], 0, 0
 
     def blank(s: str) -> str:
         return re.sub(r"[^\n]", " ", s)
 
-    while m := pattern.search(text, at):
+    def strung(a: int, b: int, codes: list[tuple[int, int]]) -> str:
+        """The text from a to b with all but `codes` blanked."""
+        spans, inside = [], a
+        for x, y in codes:
+            spans.append((inside, x))
+            inside = y
+        spans = [(x, y) for x, y in [*spans, (inside, b)] if y > x]
+        dead.extend(spans)
+        piece, last = [], a
+        for x, y in spans:
+            piece += [text[last:x], blank(text[x:y])]
+            last = y
+        return "".join(piece) + text[last:b]
+
+    def documents(begin: int) -> int:
+        """Takes in the announced here-documents, the first of which begins there; returns where the scan goes on."""
+        nonlocal done
+        _, closing, code, silent = _HERE[lang]
+        for tag, quote in announced:
+            end = re.compile(closing.format(re.escape(tag)), re.M).search(text, begin)
+            if not end:
+                break
+            code = code or live
+            codes = [x.span() for x in code.finditer(text, begin, end.start())] if not quote or quote not in silent else []
+            out.append(text[done : end.start()])
+            bare.append(text[done:begin] + strung(begin, end.start(), codes))
+            done, begin = end.start(), end.end()
+        return done
+
+    announced: list[tuple[str, str]] = []
+    line_end = 0
+    while True:
+        m = pattern.search(text, at)
+        if announced and (not m or m.start() >= line_end):
+            at = max(at, documents(line_end)) if line_end >= done else at
+            announced.clear()
+            continue
+        if not m:
+            break
         kind, a, b = m.lastgroup, m.start(), m.end()
+        if kind == "here":
+            at = b
+            line_end = line_end if announced else text.find("\n", b) + 1
+            if line_end:
+                announced.append((m["tag"], m["quote"]))
+            continue
         if kind in ("hashes", "equals"):
             kind = "s0"
         at = max(b, a + 1)
@@ -119,18 +174,8 @@ def scan(text: str, lang: str, line_comments: tuple[str, ...], block: tuple[str,
             codes = []
             if live and kind != "regex" and (lang != "python" or "f" in m[0][:lead].lower()):
                 codes = [(a + x.start(), a + x.end()) for x in live.finditer(m[0])]
-            inside, spans = a + lead + edge, []
-            for x, y in codes:
-                spans.append((inside, x))
-                inside = y
-            spans.append((inside, b - edge))
-            spans = [(x, y) for x, y in spans if y > x]
-            dead += spans
-            piece, last = [], a
-            for x, y in spans:
-                piece += [text[last:x], blank(text[x:y])]
-                last = y
-            bare.append("".join(piece) + text[last:b])
+            inside = a + lead + edge
+            bare.append(text[a:inside] + strung(inside, b - edge, codes) + text[max(inside, b - edge) : b])
         done = b
     out.append(text[done:])
     bare.append(text[done:])

@@ -27,6 +27,15 @@ def facts(lang, content, kind, use_imports=False):
         ("typescript", "for (let i = 0; i < 3; i++) {\n}\nfunction f()\n{\n}\nconst o = { a: 1 };", "scope", ["Loop", "Function"]),
         ("python", "class A:\n  def f(\n    a,\n  ):\n    if a:\n      b", "scope", ["Class", "Function", "Conditional"]),
         ("lua", "function f()\n  for i = 1, 2 do\n    if x then y() end\n  end\nend", "scope", ["Function", "Loop", "Conditional"]),
+        ("python", "if a:\n  b\nelif c:\n  d\nelse:\n  e\ntry:\n  f\nexcept X:\n  g\nfinally:\n  h\nfor i in j:\n  k\nelse:\n  l\nwith m: n\nmatch o:\n  case 1:\n    p", "scope", ["Conditional", "Conditional", "Loop", "Block"]),
+        ("python", "def f():\n  if a:\n    b\n  else:\n    if c:\n      d\n    else:\n      e\nelse_ = 1", "scope", ["Function", "Conditional", "Conditional"]),
+        ("python", "if x: a = os.environ['A']; b = os.getenv('B')\nelse: a = os.environ['C']\nfor i in d[1: 2]: c: str = os.environ['D']\nif s == \"x: q = os.environ['N']\": pass", "binding", [("a", "A"), ("b", "B"), ("a", "C"), ("c", "D")]),
+        ("python", "x: int = y\nz = {a: b}\nif x: v = 1", "reassignment", ["x", "z", "v"]),
+        ("bash", "cat <<EOF > f\nit's $A (and ${B}\n# $C\nEOF\necho $D", "reference", ["A", "C", "D", "B"]),
+        ("bash", "cat <<'EOF'\n$A \"\nEOF\ncat <<-\"X\" <<Y\n$B\n\tX\n$C\nY\necho $D $((1 << 2))", "reference", ["C", "D"]),
+        ("bash", "cat <<EOF\n( ' \" [\nEOF\n", "error", []),
+        ("php", "$a = <<<EOT\ngetenv('A') {$x[getenv('B')]} \"\n  EOT;\n$b = getenv('C'); $c = <<<'N'\n{$_ENV['D']}\nN;", "reference", ["B", "C"]),
+        ("ruby", "f(<<~EOS, ENV['A'])\n  ENV['B'] #{ENV['C']} it's\n  EOS\nx << y\ng(<<-'Q')\n#{ENV['D']}\n  Q\nENV['E']", "reference", ["A", "C", "E"]),
         ("javascript", "f(1;", "error", ["Missing: )"]),
         ("javascript", "f() ];", "error", ["Unexpected: ];"]),
         ("javascript", "x = a / b; y = c / d; // '", "error", []),
