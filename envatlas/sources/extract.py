@@ -498,6 +498,15 @@ def is_env_source(lang: str, value: str | None) -> str | None:
     return "Variable" if any(r.match(value.strip()) for r in p["reference"]) else None
 
 
+def with_env_source(values: DataFrame, value: str = "value") -> DataFrame:
+    """Adds source, is_env_source() of the column `value` in the language of the column lang."""
+
+    def run(lang: pd.Series, said: pd.Series) -> pd.Series:
+        return pd.Series([is_env_source(a, b) for a, b in zip(lang, said, strict=True)], dtype=object)
+
+    return values.withColumn("source", F.pandas_udf(run, "string")("lang", value))
+
+
 def by_cursor(probes: DataFrame, contents: DataFrame) -> DataFrame:
     """Adds context, object and property to probes (file_id, probe_id, line, character), from the cursor's line alone.
 
