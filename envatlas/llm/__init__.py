@@ -1,4 +1,4 @@
-"""Corpus operators for building training data: ten operators and their queries.
+"""Corpus operators for building training data: thirteen operators and their queries.
 
 Nothing else in the library imports this subpackage.
 """

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies one, with production parameters, to its whole table."""
+"""The registered queries of the thirteen operators: each applies one, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
