@@ -133,6 +133,18 @@ class Index:
         env = endpoints.env_diagnostics(self.entries).withColumn("message", F.col("code"))
         return code.unionByName(env if enabled else env.limit(0))
 
+    def refreshed(self, open_: DataFrame, enabled: bool = True) -> DataFrame:
+        """(file_id, diagnostics): what each open document (file_id) is sent after a change that may touch all of them; an empty list where there is nothing."""
+        documents = open_.select("file_id").distinct()
+        found = self.diagnostics(enabled).join(documents, "file_id", "left_semi")
+        rows = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("sl", "sc", "el", "ec", "severity", "code", "message"))).alias("found"))
+        empty = F.array().cast(rows.schema["found"].dataType)
+        return documents.join(rows, "file_id", "left").select("file_id", F.coalesce("found", empty).alias("diagnostics"))
+
+    def metrics(self) -> DataFrame:
+        """One row: total_files, env_files, total_env_vars and exported_env_vars."""
+        return self.stats().crossJoin(self.all_exported_env_vars().agg(F.count("*").alias("exported_env_vars")))  # one row by one row
+
     def inlay_hints(self, **options) -> DataFrame:
         return endpoints.inlay_hints(self.locations, self.values, known=self.graph.all_env_vars(), **options)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from envatlas.functions import text
 from envatlas.operators import modules, scopes, symbols, values
-from envatlas.plans import forms, index_queries, more_queries, registry, source_queries  # noqa: F401
+from envatlas.plans import forms, index_queries, more_queries, registry, session_queries, source_queries  # noqa: F401
 from envatlas.sources import dotenv, extract, files
 from envatlas.streaming import index
 
