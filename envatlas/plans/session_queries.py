@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from envatlas.functions.settled import shared_folder
 from envatlas.operators import values
-from envatlas.plans.index_queries import indexed, the_index
+from envatlas.plans import stored
+from envatlas.plans.index_queries import indexed, the_index, workspace_files
 from envatlas.plans.registry import query, table
 from envatlas.streaming import index as streaming
 
@@ -59,3 +61,32 @@ def qry11_refresh_all_diagnostics(spark, sf_dir):
 @indexed("SELECT count(DISTINCT n.f) + (SELECT count(DISTINCT f) FROM def) AS total_files, (SELECT count(DISTINCT f) FROM def) AS env_files, (SELECT count(*) FROM (SELECT name FROM loc WHERE kind <> 'BindingUsage' AND kind <> 'PropertyAccess' UNION SELECT key FROM def)) AS total_env_vars, (SELECT count(*) FROM n WHERE form = 5) AS exported_env_vars FROM n")
 def agg10_workspace_metrics(spark, sf_dir):
     return the_index(spark, sf_dir).metrics()
+
+
+def _saved(spark, sf_dir) -> str:
+    """The folder of the workspace's index. So few buckets that small tables stay few files."""
+    path = shared_folder(spark, "index")
+    stored.save(the_index(spark, sf_dir), path, buckets=8)
+    return path
+
+
+@indexed("SELECT file_id, name, kind, CAST(sl AS INTEGER) AS sl, CAST(sc AS INTEGER) AS sc FROM loc")
+def snk04_stored_index(spark, sf_dir):
+    """The locations that a later session reads from the stored index."""
+    return stored.load(spark, _saved(spark, sf_dir)).locations.select("file_id", "name", "kind", "sl", "sc")
+
+
+_FIRST = "(SELECT p_partkey // 50 AS f, arg_min(p_size, p_partkey) AS s FROM part GROUP BY 1)"
+
+
+@indexed(f"""SELECT f AS file_id, CASE form WHEN 0 THEN 'V' WHEN 1 THEN 'W' WHEN 3 THEN 'Q' WHEN 4 THEN 'R' ELSE 'X' END || k AS name FROM n JOIN {_FIRST} USING (f) WHERE form <> 2 AND s > 15 AND s < 35
+    UNION ALL SELECT f, 'Z' || f FROM {_FIRST} WHERE s <= 15 UNION ALL SELECT file_id, key FROM def""")
+def str04_refreshed_index(spark, sf_dir):
+    """The stored index after code files changed (their first part's size is 15 at most) or went (35 at least)."""
+    path = _saved(spark, sf_dir)
+    first = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 50").alias("file_id")).agg(F.min_by("p_size", "p_partkey").alias("s"))
+    now = workspace_files(spark, sf_dir).join(first, "file_id", "left").where("s is null or s < 35")
+    changed = F.coalesce(F.col("s") <= 15, F.lit(False))
+    content = F.when(changed, F.concat(F.lit("const z = process.env.Z"), "file_id", F.lit(";"))).otherwise(F.col("content"))
+    stored.refresh(spark, path, now.select("file_id", "path", content.alias("content"), F.when(changed, F.lit("2024-02-01").cast("timestamp")).otherwise(F.col("mtime")).alias("mtime")))
+    return stored.load(spark, path).env_to_files.select("file_id", "name")
