@@ -6,6 +6,9 @@ data: with more data than cells the estimates grow coarser, never wrong in that
 
 Partition sketches travel as lists of cells by block of 2**16 cells (two bytes a value), each cell at most as often as the top
 level asks, so a value that fills a third of the data costs no more than a rare one.
+
+Where a sketch has fewer cells than there are values, repeated() tells exactly which of some values occur more than once: they are
+dealt by hash, so that no task holds more than a slice of them, and only those found come back, as a Bloom filter of fixed size.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from envatlas.llm.shared import tidy
 _BLOCK = 16
 #: Values that a task holds before it sends their cells on.
 _HELD = 2 << 20
+#: Slices of repeated(), as a power of two, and the multipliers that name a value's bits in its slice of the filter.
+_SLICES = 10
+_ODD = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
 def cells_of(values: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -121,3 +127,80 @@ def reaches(planes: np.ndarray, values: np.ndarray, level: int) -> np.ndarray:
         c = cells_of(values, row, bits)
         out &= (planes[row, level][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 == 1
     return out
+
+
+def _sliced(values: np.ndarray) -> np.ndarray:
+    """42 bits of each value's hash: the slice, then 32 bits that tell values of a slice apart."""
+    return mix(values, 200) >> np.uint64(64 - 32 - _SLICES)
+
+
+def _places(low: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Where a value's bits are in its slice of a filter of 2**bits bits."""
+    for odd in _ODD:
+        yield (low.astype(np.uint32) * np.uint32(odd)) >> np.uint32(32 - (bits - _SLICES))
+
+
+def repeated(df: DataFrame, values: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int) -> Broadcast:
+    """A Bloom filter of 2**bits bits, broadcast, of the 64-bit `values` of all batches of `df` that occur more than once."""
+    bits = max(bits, _SLICES + 3)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h = np.sort(_sliced(np.concatenate(held)))
+            held.clear()
+            keep = np.ones(len(h), dtype=bool)
+            keep[2:] = h[2:] != h[:-2]
+            h = h[keep]
+            at = np.searchsorted(h, np.arange((1 << _SLICES) + 1, dtype=np.uint64) << np.uint64(32))
+            low, own = h.astype(np.uint32), np.flatnonzero(np.diff(at))
+            return pa.RecordBatch.from_arrays([pa.array(own, type=pa.int32()), pa.array([low[at[i] : at[i + 1]].tobytes() for i in own], type=pa.binary())], names=["slice", "low"])
+
+        for v in values(batches):
+            held.append(v)
+            n += len(v)
+            if n >= _HELD:
+                yield flush()
+                n = 0
+        if n:
+            yield flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices arrive one after the other, so that one slice's values are held at a time."""
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            low = np.sort(np.frombuffer(b"".join(held), dtype=np.uint32))
+            more = low[1:][low[1:] == low[:-1]]
+            hit = np.zeros(1 << (bits - _SLICES), dtype=bool)
+            for place in _places(more, bits):
+                hit[place] = True
+            return pa.RecordBatch.from_arrays([pa.array([now], type=pa.int32()), pa.array([np.packbits(hit, bitorder="little").tobytes()], type=pa.binary())], names=["slice", "bits"])
+
+        for batch in batches:
+            for slice_, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if slice_ != now:
+                    if now is not None:
+                        yield done()
+                    now = slice_
+                    held.clear()
+                held.append(low)
+        if now is not None:
+            yield done()
+
+    plane = np.zeros((1 << _SLICES, 1 << (bits - _SLICES - 3)), dtype=np.uint8)
+    merged = df.mapInArrow(tidy(partial), "slice int, low binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(tidy(merge), "slice int, bits binary")
+    for r in merged.repartition(8).toLocalIterator():
+        plane[r.slice] = np.frombuffer(r.bits, dtype=np.uint8)
+    return df.sparkSession.sparkContext.broadcast(plane)
+
+
+def holds(plane: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the filter of repeated() holds each value; never False for one that occurs more than once."""
+    bits = plane.size.bit_length() - 1 + 3
+    h = _sliced(values)
+    row, out = (h >> np.uint64(32)).astype(np.int64), np.ones(len(values), dtype=bool)
+    for place in _places(h, bits):
+        out &= (plane[row, place >> np.uint32(3)] >> (place & np.uint32(7)).astype(np.uint8)) & 1 == 1
+    return out
