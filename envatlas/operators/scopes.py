@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from envatlas.functions import ranges
@@ -76,6 +76,26 @@ def overlapping(scopes: DataFrame, windows: DataFrame) -> DataFrame:
     return hit.where(F.col("bucket") == F.greatest(bucket(F.col("start")), bucket(F.col("ws")))).select("file_id", "scope_id", "window_id")
 
 
+def overlap_counts(scopes: DataFrame, windows: DataFrame) -> DataFrame:
+    """(file_id, window_id, n): how many rows overlapping() has for each window that has some; no start may be after its end.
+
+    No pair is made: the scopes that overlap a window are those that start before its end but for those that end by its start, and both are running
+    sums over a file's distinct positions, which its text bounds. An empty scope at an empty window's place is among the ended only, and is given back.
+    """
+    s = scopes.where("start is not null and end is not null").groupBy("file_id", "start", "end").agg(F.count("*").alias("c"))
+    w = windows.select("file_id", "window_id", F.col("start").alias("ws"), F.col("end").alias("we")).where("ws is not null and we is not null")
+    none = F.lit(0).cast("bigint")
+    marks = F.array(F.struct(F.col("start").alias("at"), F.col("c").alias("started"), none.alias("ended"), F.when(F.col("start") == F.col("end"), F.col("c")).otherwise(none).alias("empty")), F.struct(F.col("end").alias("at"), none.alias("started"), F.col("c").alias("ended"), none.alias("empty")))
+    asked = w.select("file_id", F.explode(F.array("ws", "we")).alias("at")).distinct().select("file_id", "at", none.alias("started"), none.alias("ended"), none.alias("empty"))
+    at = s.select("file_id", F.explode(marks).alias("x")).select("file_id", "x.*").unionByName(asked).groupBy("file_id", "at").agg(F.sum("started").alias("started"), F.sum("ended").alias("ended"), F.sum("empty").alias("empty"))
+    upto = Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = at.select("file_id", "at", (F.sum("started").over(upto) - F.col("started")).alias("before"), F.sum("ended").over(upto).alias("ended"), "empty")
+    spans = w.groupBy("file_id", "ws", "we").agg(F.count("*").alias("many"))
+    spans = spans.join(sums.select("file_id", F.col("at").alias("ws"), "ended", "empty"), ["file_id", "ws"]).join(sums.select("file_id", F.col("at").alias("we"), "before"), ["file_id", "we"])
+    n = F.col("before") - F.col("ended") + F.when(F.col("ws") == F.col("we"), F.col("empty")).otherwise(none)
+    return w.join(spans.select("file_id", "ws", "we", n.alias("n")).where("n > 0"), ["file_id", "ws", "we"]).select("file_id", "window_id", "n")
+
+
 def bucket(point: Column) -> Column:
     """The bucket of 64 lines that a position of ranges.point() stands in."""
     return F.shiftright(point, 32 + 6)
