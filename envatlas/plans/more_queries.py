@@ -126,7 +126,7 @@ def str03_edit_ranges(spark, sf_dir):
 
 @query("SELECT c_custkey AS file_id, s_suppkey AS symbol_id FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE NOT (s_suppkey % 90 + 4 > c_custkey % 50 AND c_custkey % 50 + 9 > s_suppkey % 90)")
 def str10_symbols_outside_ranges(spark, sf_dir):
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    c, s = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").repartition("c_custkey"), table(spark, sf_dir, "supplier")  # dealt by file while there is a row a file
     symbols = c.join(s, c["c_nationkey"] == s["s_nationkey"]).select(F.col("c_custkey").alias("file_id"), F.col("s_suppkey").alias("symbol_id"), (F.col("s_suppkey") % 90).alias("start"), (F.col("s_suppkey") % 90 + 4).alias("end"))
     edits = c.select(F.col("c_custkey").alias("file_id"), (F.col("c_custkey") % 50).alias("start"), (F.col("c_custkey") % 50 + 9).alias("end"))
     none = symbols.limit(0).withColumn("usage_id", F.lit(0))

@@ -1,7 +1,7 @@
 """Queries whose middle must not grow faster than what they read and return."""
 
 from envatlas.operators import scopes
-from envatlas.streaming import index
+from envatlas.plans import more_queries
 
 
 def test_overlap_counts_agree_with_the_pairs(spark):
@@ -12,3 +12,8 @@ def test_overlap_counts_agree_with_the_pairs(spark):
     want = {(f, i): n for f, i, a, b in w if (n := sum(f == g and y > a and b > x for g, _, x, y in s))}
     got = scopes.overlap_counts(scoped, asked)
     assert {(r.file_id, r.window_id): r.n for r in got.collect()} == want
+
+
+def test_symbols_outside_ranges_are_not_shuffled(spark):
+    plan = more_queries.str10_symbols_outside_ranges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
