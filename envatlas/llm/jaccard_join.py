@@ -51,10 +51,11 @@ CLASSES = (2, 64)
 DIRECT = 256
 
 
-def _sets(df: DataFrame, size: int, percent: int, lower: bool, bits: int) -> DataFrame:
+def _sets(df: DataFrame, size: int, percent: int, lower: bool, bits: int, used: list | None = None) -> DataFrame:
     """(id, n, name, prefix, places, alone, mark, text) of each row; all but the first three once a task for each set that may have a partner, else null.
 
     places: where in the set's global order each shingle of the prefix stands; alone: how many of its shingles are known to be unique.
+    used: gets the broadcasts, which nobody needs once the rows are saved.
     """
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -93,6 +94,8 @@ def _sets(df: DataFrame, size: int, percent: int, lower: bool, bits: int) -> Dat
                     yield prefix
 
     shared = repeated(texts, left, bits - 1)
+    if used is not None:
+        used += [planes, shared]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -181,6 +184,17 @@ def _distances(pairs: DataFrame, texts: DataFrame, size: int, lower: bool) -> Da
     return rows.mapInArrow(tidy(run), "pivot binary, name binary, both bigint, either bigint")
 
 
+def _regions(sets: DataFrame) -> DataFrame:
+    """(region, place, name, c: how many sets) of the regions of two sets or more: a row for each set in each.
+
+    Of regions of the same sets the first in the global order stays alone: the first shingle that two sets share is then of a region that stays.
+    """
+    rows = sets.select("name", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("region"), F.col("x.places").alias("place"), "name")
+    held = rows.groupBy("region").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("name")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("b"), F.min("place").alias("place")).where("c > 1")
+    kept = held.groupBy("c", "a", "b").agg(F.min(F.struct("place", "region")).alias("x")).select(F.col("x.region").alias("region"), "c")
+    return rows.join(kept, "region")
+
+
 def _active(regions: DataFrame) -> DataFrame:
     """Rows of the regions that have a home member and two components."""
     open_ = regions.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("home").alias("h")).where("a <> b and h").select("region")
@@ -190,12 +204,15 @@ def _active(regions: DataFrame) -> DataFrame:
 def link(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, lower: bool = True, bits: int = SKETCH_BITS, direct: float = DIRECT) -> DataFrame:
     """(id, n_shingles, component_id) for each row."""
     docs = df.select(F.col(ident).alias("id"), F.col(text).alias("text"))
-    rows = save(_sets(docs, size, percent, lower, bits), "sets")
+    used: list = []
+    rows = save(_sets(docs, size, percent, lower, bits, used), "sets")
+    for x in used:
+        x.unpersist()
     width = (100 - percent) / 100.0
     sets = save(rows.where("prefix is not null").groupBy("name").agg(F.min("prefix").alias("prefix"), F.min("places").alias("places"), F.min("n").alias("n"), (F.min("alone") / F.min("n")).alias("alone"), F.min("mark").alias("mark")), "shared")
     same = ["name", "n", "place", "alone", "mark"]
-    regions = sets.select(F.explode(F.arrays_zip("prefix", "places")).alias("x"), "*").select(F.col("x.prefix").alias("region"), F.col("x.places").alias("place"), "name", F.col("name").alias("component"), F.lit(True).alias("home"), "n", "alone", "mark")
-    regions = save(_active(regions), "regions")
+    own = sets.select("name", F.col("name").alias("component"), F.lit(True).alias("home"), "n", "alone", "mark")
+    regions = save(_regions(sets).join(own, "name").select("region", "place", "c", *own.columns), "regions")
     drop(sets)
     edges, joined, n = None, None, 0
     while regions.limit(1).count():
@@ -213,7 +230,7 @@ def link(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = S
         some = large.limit(1).count() > 0
         done = n and not some
         if some:
-            wide = save(regions.join(large, "region", "left_semi"), "regions")
+            wide = save(regions.join(large, "region", "left_semi").select("region", *same, "component", "home"), "regions")
             spread = F.pmod(F.xxhash64("name", F.lit(n)), F.lit(1 << n)).cast("int")
             chosen = wide.where("home").groupBy("region", spread.alias("cell")).agg(F.min(F.struct("alone", F.xxhash64("name", F.lit(n)).alias("p"), "name")).alias("x")).select("region", "cell", F.col("x.name").alias("pivot"))
             chosen = save(chosen, "pivots")
@@ -228,7 +245,7 @@ def link(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = S
         joined = save(components(edges), "components")
         if done:
             break
-        rest = None if n else small.select("region", *same, "home")
+        rest = None if n else small.where("c > 2").select("region", *same, "home")  # two sets have met
         if some:
             first = chosen.groupBy("region").agg(F.min_by("pivot", "cell").alias("pivot"))
             gone = chosen.select("region", F.col("pivot").alias("name"))

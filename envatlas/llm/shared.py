@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What is imported by now stays, so that no later search for cycles in a worker goes over it again.
+gc.freeze()
+
 _made: list[tuple[SparkSession, str]] = []
 
 

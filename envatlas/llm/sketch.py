@@ -78,11 +78,16 @@ def sketch(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks arrive one after the other, so that one block's counts are held at a time."""
+        """Blocks arrive one after the other, so that one block's counts are held at a time; its cells are counted together, a few million at once."""
         types = [pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-        now, seen = None, np.zeros(1 << _BLOCK, dtype=np.int64)
+        now, seen, held, n = None, np.zeros(1 << _BLOCK, dtype=np.int64), [], 0
+
+        def count() -> None:
+            seen[:] += np.bincount(np.frombuffer(b"".join(held), dtype=np.uint16), minlength=1 << _BLOCK)
+            held.clear()
 
         def done() -> pa.RecordBatch:
+            count()
             out: list[list] = [[], [], [], []]
             for t, level in enumerate(levels):
                 hit = np.flatnonzero(seen >= level)
@@ -94,13 +99,17 @@ def sketch(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(out, types, strict=True)], names=["block", "level", "sparse", "bits"])
 
         for batch in batches:
-            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if block != now:
                     if now is not None:
                         yield done()
-                    now = block
+                    now, n = block, 0
                     seen[:] = 0
-                seen += np.bincount(np.frombuffer(cells.as_buffer(), dtype=np.uint16), minlength=1 << _BLOCK)
+                held.append(cells)
+                n += len(cells)
+                if n >= _HELD:
+                    count()
+                    n = 0
         if now is not None:
             yield done()
 

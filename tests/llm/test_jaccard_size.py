@@ -25,3 +25,32 @@ def test_marks_differ_in_no_more_bits_than_sets_do():
         x = r.integers(0, 2**63, n + m - common, dtype=np.uint64)
         a, b = x[:n], x[n - common :]
         assert jaccard_join._apart([jaccard_join._mark(a)], [jaccard_join._mark(b)])[0] <= n + m - 2 * common
+
+
+def test_regions_of_the_same_sets_stay_once(spark):
+    r = random.Random(7)
+    rows = [(i, " ".join(f"v{r.randrange(10**6)}" for _ in range(400))) for i in range(60)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(40)] + [(2000 + i, rows[i][1] + " than that") for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    sets = jaccard_join._sets(df, 4, 85, True, 20).where("prefix is not null").dropDuplicates(["name"]).cache()
+    members, place = {}, {}
+    for x in sets.collect():
+        for region, at in zip(x.prefix, x.places, strict=True):
+            members.setdefault(region, set()).add(bytes(x.name))
+            place[region, bytes(x.name)] = at
+    held, first = {}, {}
+    for x in jaccard_join._regions(sets).collect():
+        held.setdefault(x.region, set()).add(bytes(x.name))
+        assert place[x.region, bytes(x.name)] == x.place
+    for region, some in held.items():
+        assert some == members[region] and len(some) > 1
+        assert frozenset(some) not in first  # one region for the same sets
+        first[frozenset(some)] = region
+    assert first.keys() == {frozenset(x) for x in members.values() if len(x) > 1}
+    for region, some in members.items():
+        if len(some) > 1:
+            assert all(place[first[frozenset(some)], x] <= place[region, x] for x in some)  # the first in the order
+    assert len(held) <= 200  # of some 2,000 regions
+    out = {x.id: x.component_id for x in jaccard_join.link(df, "id", bits=20).collect()}
+    assert out == {i: i % 1000 for i, _ in rows}
+    sets.unpersist()
