@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envatlas.llm.blocks import Numbered, chunks, items, met, packed, unpacked
-from envatlas.llm.shared import save, shipped, tidy
+from envatlas.llm.shared import kept, save, shipped, tidy
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
@@ -174,6 +174,7 @@ class Aligner:
             before = now
 
 
+@kept
 @lru_cache(1)
 def _load(a: str, b: str, _versions: str, products: bool) -> Aligner:
     return Aligner(SparkFiles.get(a), SparkFiles.get(b), products)
@@ -242,7 +243,7 @@ def _aligned(df: DataFrame, a: str, b: str, text: str, full: bool, products: boo
                 lead = len(arrow) - len(row)
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in arrow[:lead]], *[pa.array([v], type=t) for v, t in zip(row, arrow[lead:], strict=True)]], names=names)
 
-    return save(rows.mapInArrow(tidy(run), schema), "aligned"), [f.name for f in docs], names[len(docs) :]
+    return save(rows.mapInArrow(tidy(run, _load), schema), "aligned"), [f.name for f in docs], names[len(docs) :]
 
 
 def pair_counts(df: DataFrame, a: str, b: str, text: str = "text", products: bool = False) -> DataFrame:

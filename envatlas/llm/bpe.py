@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from envatlas.llm.shared import column_named, shipped, tidy
+from envatlas.llm.shared import column_named, kept, shipped, tidy
 
 #: Words kept with their ids by each Python worker, in each of two generations; others are merged again.
 CACHED_WORDS = 40_000
@@ -328,6 +328,7 @@ class WordBpe:
             i = j
 
 
+@kept
 @lru_cache(2)
 def _load(name: str, _version: str) -> WordBpe:
     return WordBpe(Path(SparkFiles.get(name)).read_text(encoding="utf-8"))
@@ -358,7 +359,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", full: bool = Fal
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[f.name for f in schema.fields])
         bpe.rest()
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, _load), schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
@@ -374,7 +375,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
             back = pa.array([bpe.decode(x.as_py() or []) for x in batch.column(where)], type=pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, back], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, _load), schema)
 
 
 def encoded_lengths(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -388,4 +389,4 @@ def encoded_lengths(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(n, type=pa.int64())], names=["n_tokens"])
         bpe.rest()
 
-    return df.select(F.col(text)).mapInArrow(tidy(run), "n_tokens bigint")
+    return df.select(F.col(text)).mapInArrow(tidy(run, _load), "n_tokens bigint")

@@ -73,13 +73,31 @@ def column_named(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+#: What worker processes keep from task to task: caches that hold vocabularies and the words used of late.
+_kept: list = []
+
+
+def kept(cache: Callable) -> Callable:
+    """`cache`, made by lru_cache; tidy() empties it in a worker process that goes on to other work."""
+    _kept.append(cache)
+    return cache
+
+
+def _forget(keep: Callable | None) -> None:
+    for cache in _kept:
+        if cache is not keep:
+            cache.cache_clear()
+
+
+def tidy(run: Callable[[Iterator], Iterator], keep: Callable | None = None) -> Callable[[Iterator], Iterator]:
     """`run` for mapInArrow, in a worker process that Spark uses again: afterwards freed memory goes back to the system.
 
     The functions here make many small objects and no cycles, so the search for cycles pauses while they run.
+    keep: the cache of kept() that `run` uses; what other functions have left in the process goes first.
     """
 
     def whole(batches: Iterator) -> Iterator:
+        _forget(keep)
         searched = gc.isenabled()
         gc.disable()
         try:
@@ -105,11 +123,10 @@ def shipped(df: DataFrame, path: str) -> tuple[str, str]:
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected `edges` (a, b), for each node with an edge.
 
-    Alternates large-star and small-star; both aggregate before they shuffle neighbours, each round is written to the
-    shared folder, and nothing but the count of changes reaches the driver. Edges with a null end are dropped.
+    Alternates large-star and small-star until only stars are left; both aggregate before they shuffle neighbours, each round is
+    written to the shared folder, and nothing but whether there is another graph than a star reaches the driver. Edges with a null end are dropped.
     """
     now = save(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "edges")
-    before = None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
@@ -118,11 +135,11 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = save(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        x = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(now)
-        now, done, before = after, x == before, x
-        if done:
-            break
+        now = after
+        ends = now.select(F.col("a").alias("u"), F.lit(1).alias("down")).union(now.select("b", F.lit(0)))
+        if not ends.groupBy("u").agg(F.sum("down").alias("down"), F.min("down").alias("least")).where("down > 1 or down = 1 and least = 0").limit(1).count():
+            break  # each larger end has one smaller end, which is no larger one: stars
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
