@@ -8,7 +8,9 @@ all documents, then the hash). A set belongs to the region of its first shingle,
 e = 1 - t replicates it into the regions of its first n - ceil(t * n) + 1 shingles: two sets within e share one of
 them. Shingles that the sketch proves unique have empty regions and are left out. The sketch has a fixed size, and with more shingles than cells (2**28: some GB
 of text) it proves few unique; so the shingles that are left in those first places are counted exactly, over all sets, and one that no other
-set has there is left out as well. A set's text goes on only with a shingle that another set has, so that what is carried grows with the sets that may have a partner.
+set has there is left out as well. Of two sets within e the smaller one has the first shingle that they share in its first n - ceil(2t / (1 + t) * n) + 1
+places: it is home there, and in the places after those a set is a guest, which needs to meet smaller homes only; a guest that no home of its region
+is small enough for is left out. A set's text goes on only with a shingle that another set has, so that what is carried grows with the sets that may have a partner.
 
 Recursion. Within a region documents are the pivots. All members' distances d to the pivot are computed exactly; members within
 e are linked to it. The rest is cut into Voronoi shells of width e around the pivot. By the triangle inequality two members
@@ -184,14 +186,15 @@ def _distances(pairs: DataFrame, texts: DataFrame, size: int, lower: bool) -> Da
     return rows.mapInArrow(tidy(run), "pivot binary, name binary, both bigint, either bigint")
 
 
-def _regions(sets: DataFrame) -> DataFrame:
-    """(region, place, name, c: how many sets) of the regions of two sets or more: a row for each set in each.
+def _regions(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(region, place, name, n, c: how many sets, home, least: the smallest home's n) of the regions of two sets or more: a row for each set in each.
 
     Of regions of the same sets the first in the global order stays alone: the first shingle that two sets share is then of a region that stays.
     """
-    rows = sets.select("name", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("region"), F.col("x.places").alias("place"), "name")
-    held = rows.groupBy("region").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("name")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("b"), F.min("place").alias("place")).where("c > 1")
-    kept = held.groupBy("c", "a", "b").agg(F.min(F.struct("place", "region")).alias("x")).select(F.col("x.region").alias("region"), "c")
+    rows = sets.select("name", "n", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("region"), F.col("x.places").alias("place"), "name", "n")
+    rows = rows.withColumn("home", F.expr(f"{100 + percent} * (n - place) >= {2 * percent} * n"))
+    held = rows.groupBy("region").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("name")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("b"), F.min("place").alias("place"), F.min(F.when(F.col("home"), F.col("n"))).alias("least")).where("c > 1")
+    kept = held.groupBy("c", "a", "b").agg(F.min(F.struct("place", "region", "least")).alias("x")).select(F.col("x.region").alias("region"), "c", "x.least")
     return rows.join(kept, "region")
 
 
@@ -211,10 +214,11 @@ def link(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = S
     width = (100 - percent) / 100.0
     sets = save(rows.where("prefix is not null").groupBy("name").agg(F.min("prefix").alias("prefix"), F.min("places").alias("places"), F.min("n").alias("n"), (F.min("alone") / F.min("n")).alias("alone"), F.min("mark").alias("mark")), "shared")
     same = ["name", "n", "place", "alone", "mark"]
-    own = sets.select("name", F.col("name").alias("component"), F.lit(True).alias("home"), "n", "alone", "mark")
-    regions = save(_regions(sets).join(own, "name").select("region", "place", "c", *own.columns), "regions")
+    own = sets.select("name", F.col("name").alias("component"), "alone", "mark")
+    met = _regions(sets, percent).where(f"home or {100 + percent} * (n - place) >= {percent} * (n + least)")
+    regions = save(met.join(own, "name").select("region", "c", "home", "component", *same), "regions")
     drop(sets)
-    edges, joined, n = None, None, 0
+    joined, n = None, 0
     while regions.limit(1).count():
         sums = regions.groupBy("region", "component").agg(F.count("*").alias("c"), F.count_if("home").alias("h")).groupBy("region").agg(F.sum("c").alias("c"), F.sum("h").alias("h"), F.sum(F.col("c") * F.col("h")).alias("ch"), F.sum(F.col("h") * F.col("h")).alias("hh"))
         large = save(sums.where(F.col("c") * F.col("h") - F.col("ch") - (F.col("h") * F.col("h") - F.col("hh")) / 2 > direct * F.col("c")).select("region"), "large")
@@ -222,7 +226,7 @@ def link(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = S
         if n:
             a, each = small, "a.home and (not b.home or a.name < b.name)"
         else:  # the pivots alone, so that a group of near copies is mostly one component before its members meet
-            a, each = small.groupBy("region").agg(F.min(F.struct("alone", F.xxhash64("name", F.lit(n)).alias("p"), "name", "n", "place", "mark", "component")).alias("x")).select("region", "x.*"), "a.name <> b.name"
+            a, each = small.where("home").groupBy("region").agg(F.min(F.struct("alone", F.xxhash64("name", F.lit(n)).alias("p"), "name", "n", "place", "mark", "component")).alias("x")).select("region", "x.*"), "a.name <> b.name"
         near = a.alias("a").join(small.alias("b"), "region").where(f"""a.component <> b.component and {each}
             and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
             and (100 + {percent}) * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n)""").select(F.least("a.name", "b.name").alias("pivot"), F.greatest("a.name", "b.name").alias("name"), (F.col("a.n") + F.col("b.n")).alias("total"), F.col("a.mark").alias("a"), F.col("b.mark").alias("b"))
@@ -241,8 +245,9 @@ def link(df: DataFrame, ident: str = "doc_id", text: str = "text", size: int = S
         found = save(_distances(pairs, texts, size, lower), "distances")
         drop(pairs, wanted, texts)
         linked = found.where(F.col("both") * 100 >= F.col("either") * percent).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
-        edges = save(linked if edges is None else linked.union(edges), "links")
-        joined = save(components(edges), "components")
+        before, joined = joined, save(components(linked if joined is None else linked.union(joined)), "components")
+        if before is not None:
+            drop(before)
         if done:
             break
         rest = None if n else small.where("c > 2").select("region", *same, "home")  # two sets have met

@@ -54,3 +54,46 @@ def test_regions_of_the_same_sets_stay_once(spark):
     out = {x.id: x.component_id for x in jaccard_join.link(df, "id", bits=20).collect()}
     assert out == {i: i % 1000 for i, _ in rows}
     sets.unpersist()
+
+
+def test_a_group_of_far_copies_of_one_text_ends_soon(spark, monkeypatch):
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(147)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 161):  # 1 to 5 words are others: sets of 4 and more of them link with nothing, though all share the rarer shingles
+        text = list(base)
+        for k in r.sample(range(147), 1 + i % 5):
+            text[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(text[: 147 - i % 3])))
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    saved = []
+
+    def save(df, name, f=jaccard_join.save):
+        out = f(df, name)
+        saved.append((name, out.count() if name == "regions" else 0))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "save", save)
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    out = {x.id: x.component_id for x in jaccard_join.link(df, "id", bits=20).collect()}
+    assert out == least and 30 < len(set(least.values())) < 130
+    assert saved[2][0] == "regions" and saved[2][1] <= 1200, saved
+
+
+def test_sets_meet_where_one_of_them_is_home(spark):
+    r = random.Random(13)
+    rows = []
+    for i in range(40):  # pairs of every size around the limit
+        a = [f"c{i}_{k}" for k in range(r.randrange(5, 120))]
+        b = a[r.randrange(0, 1 + len(a) // 8) :] + [f"d{i}_{k}" for k in range(r.randrange(0, 1 + len(a) // 10))]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    sets = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} for i, t in rows for w in [t.split()]}
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    for percent in (70, 85, 95, 100):
+        out = {x.id: x.component_id for x in jaccard_join.link(df, "id", percent=percent, bits=20).collect()}
+        assert out == {i: i - i % 2 if 100 * len(sets[i] & sets[i ^ 1]) >= percent * len(sets[i] | sets[i ^ 1]) else i for i in sets}
